@@ -13,6 +13,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 DIGITS = 6
+#: Moves values off exact rounding ties, which the two engines resolve differently.
+NUDGE = 3.1415926e-8
 
 
 class Tables:
@@ -52,6 +54,27 @@ class Tables:
             "volume",
         )
 
+    def wild(self) -> DataFrame:
+        """Ticks as a feed delivers them: hour-stamped duplicates, gaps, bad signs, crossed highs and lows."""
+        s = F.col("seq")
+        return self.ticks().select(
+            "symbol",
+            F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"),
+            "seq",
+            F.when(s % 97 != 0, F.when(s % 89 == 0, -F.col("price")).otherwise(F.col("price"))).alias("price"),
+            F.when(s % 83 == 0, 0.0).otherwise(F.col("high")).alias("high"),
+            F.when(s % 79 == 0, F.col("high") * 1.5).otherwise(F.col("low")).alias("low"),
+            F.when(s % 73 == 0, -1.0).when(s % 71 != 0, F.col("volume")).alias("volume"),
+        )
+
+    def rough(self) -> DataFrame:
+        """Session bars with silent stretches, frozen quotes and missing closes."""
+        b, s = self.bars(), F.col("seq")
+        frozen = (s / 40).cast("long") % 3 == 0
+        px = {c: F.when(frozen, F.lit(float(i + 10))).otherwise(F.col(c)) for i, c in enumerate(("low", "open", "close", "high"))}
+        b = b.withColumns(px).withColumn("volume", F.when((s / 60).cast("long") % 2 == 0, 0.0).otherwise(F.col("volume")))
+        return b.withColumns({c: F.when(s % 6 > 2, F.col(c)) for c in ("open", "close")})
+
     def panel(self) -> DataFrame:
         """Daily constituent panel: brand closes from line items."""
         li = self.raw("lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
@@ -76,6 +99,23 @@ BARS = (
 bars AS (SELECT symbol, ts, seq, CAST(ts AS DATE) AS session_date, open,
   greatest(open, price) * 1.001e0 AS high, least(open, price) * 0.999e0 AS low, price AS close, volume FROM bars0)"""
 )
+WILD = (
+    TICKS
+    + """, wild AS (SELECT symbol, date_trunc('hour', ts) AS ts, seq,
+  CASE WHEN seq % 97 = 0 THEN NULL WHEN seq % 89 = 0 THEN -price ELSE price END AS price,
+  CASE WHEN seq % 83 = 0 THEN 0e0 ELSE high END AS high,
+  CASE WHEN seq % 79 = 0 THEN high * 1.5e0 ELSE low END AS low,
+  CASE WHEN seq % 73 = 0 THEN -1e0 WHEN seq % 71 = 0 THEN NULL ELSE volume END AS volume FROM ticks)"""
+)
+ROUGH = (
+    BARS
+    + """, rough0 AS (SELECT *, (seq // 40) % 3 = 0 AS frozen FROM bars),
+rough AS (SELECT symbol, ts, seq, session_date,
+  CASE WHEN seq % 6 > 2 THEN CASE WHEN frozen THEN 11e0 ELSE open END END AS open,
+  CASE WHEN frozen THEN 13e0 ELSE high END AS high, CASE WHEN frozen THEN 10e0 ELSE low END AS low,
+  CASE WHEN seq % 6 > 2 THEN CASE WHEN frozen THEN 12e0 ELSE close END END AS close,
+  CASE WHEN (seq // 60) % 2 = 0 THEN 0e0 ELSE volume END AS volume FROM rough0)"""
+)
 PANEL = """panel AS (SELECT l_shipdate AS ts, p_brand AS symbol, sum(l_extendedprice) / sum(l_quantity) AS close,
   sum(l_quantity) AS volume FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2)"""
 
@@ -86,7 +126,7 @@ def tidy(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), DIGITS)
+            c = F.round(c.cast("double") + NUDGE, DIGITS)
         out.append(c.alias(f.name))
     return df.select(*out)
 
@@ -94,7 +134,7 @@ def tidy(df: DataFrame) -> DataFrame:
 def sql(ctes: str, ids: str, nums: str = "", source: str = "final") -> str:
     """Final SELECT with identifiers as they are and numbers rounded."""
     cols = [c.strip() for c in ids.split(",") if c.strip()]
-    cols += [f"round({n}, {DIGITS}) + 0e0 AS {n}" for n in nums.split()]
+    cols += [f"round({n} + {NUDGE!r}, {DIGITS}) + 0e0 AS {n}" for n in nums.split()]
     return f"WITH {ctes} SELECT {', '.join(cols)} FROM {source}"
 
 
