@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bar_start(ts: Column, freq: str, anchor: str = "0 minutes") -> Column:
-    return F.window(ts, freq, startTime=anchor)["start"]
-
-
 def resample(df: DataFrame, freq: str = "1 minute", keys: Sequence[str] = ("symbol",), anchor: str = "0 minutes") -> DataFrame:
     """Last price, highest high, lowest low and total volume per bar; bars without ticks do not appear.
 
@@ -27,6 +23,11 @@ def resample(df: DataFrame, freq: str = "1 minute", keys: Sequence[str] = ("symb
     return out.select(*keys, F.col("_bar.start").alias("ts"), "price", "high", "low", "volume")
 
 
-def slices_per_day(df: DataFrame, zone_day: Column, keys: Sequence[str]) -> DataFrame:
-    """Distinct trading days per key."""
-    return df.select(*keys, zone_day.alias("session_date")).distinct()
+def trading_days(df: DataFrame, day: Column, start: str | None = None, end: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct days with data inside a range."""
+    out = df.select(*keys, day.alias("session_date"))
+    if start:
+        out = out.where(F.col("session_date") >= F.lit(start).cast("date"))
+    if end:
+        out = out.where(F.col("session_date") <= F.lit(end).cast("date"))
+    return out.distinct()
