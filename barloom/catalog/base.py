@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +89,31 @@ class Tables:
         )
 
 
+    def panel_returns(self) -> DataFrame:
+        """Panel with log returns per brand and a stale flag."""
+        w = Window.partitionBy("symbol").orderBy("ts")
+        r = F.ln(F.col("close") / F.lag("close", 1).over(w))
+        return self.panel().select("ts", "symbol", r.alias("log_ret"), (F.col("volume") < 5).alias("is_stale"))
+
+    def chain(self) -> DataFrame:
+        """Option rows from line items: the ship date is the slice."""
+        day, strike = F.dayofmonth("l_shipdate"), 100.0 + (F.col("l_partkey") % 40) * 5
+        noise = F.when(F.col("l_orderkey") % 37 == 0, 0.5).otherwise(F.col("l_discount") * 0.1)
+        return self.raw("lineitem").select(
+            F.col("l_shipdate").cast("timestamp_ntz").alias("ts"),
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+            F.col("l_partkey").alias("part"),
+            strike.alias("strike"),
+            F.when(F.col("l_linenumber") % 2 == 0, "C").otherwise("p").alias("option_type"),
+            (0.2 + (strike - 200.0) * (strike - 200.0) * 4e-6 + noise).alias("iv"),
+            (F.col("l_tax") * 10).alias("delta"),
+            (F.col("l_discount") / 10).alias("gamma"),
+            (F.col("l_quantity") / 10).alias("vega"),
+            F.col("l_quantity").alias("volume"),
+            F.when(F.col("l_suppkey") % 9 > 0, F.col("l_suppkey").cast("double")).alias("oi"),
+            F.when(day % 7 != 0, 200.0 + day % 11).alias("spot"),
+        )
+
 # CTE texts that give DuckDB the same domain views.
 TICKS = """ticks AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price,
   value * (1e0 + (event_id % 5) * 2e-3) AS high, value * (1e0 - (event_id % 3) * 3e-3) AS low,
@@ -164,3 +189,12 @@ def scan(source: str, x: str, step: str, keys: str = "symbol", order: str = "ts,
     list_reduce(list_transform(list({x} ORDER BY {order}), lambda x: [x]),
       lambda acc, v: list_append(acc, ({step.replace('$a', 'acc[-1]').replace('$x', 'v[1]')}))) AS ys
   FROM {source} GROUP BY {keys}))"""
+
+
+PANEL_RETURNS = PANEL + """, panel_returns AS (SELECT ts, symbol, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS log_ret,
+  volume < 5 AS is_stale FROM panel)"""
+CHAIN = """chain AS (SELECT l_shipdate AS ts, l_orderkey * 10 + l_linenumber AS id, l_partkey AS part, 100e0 + (l_partkey % 40) * 5 AS strike,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'C' ELSE 'p' END AS option_type,
+  2e-1 + (100e0 + (l_partkey % 40) * 5 - 200e0) * (100e0 + (l_partkey % 40) * 5 - 200e0) * 4e-6 + CASE WHEN l_orderkey % 37 = 0 THEN 5e-1 ELSE l_discount * 1e-1 END AS iv,
+  l_tax * 10 AS delta, l_discount / 10 AS gamma, l_quantity / 10 AS vega, l_quantity AS volume,
+  CASE WHEN l_suppkey % 9 > 0 THEN CAST(l_suppkey AS DOUBLE) END AS oi, CASE WHEN day(l_shipdate) % 7 <> 0 THEN 200e0 + day(l_shipdate) % 11 END AS spot FROM lineitem)"""
