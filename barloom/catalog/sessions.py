@@ -84,13 +84,19 @@ session(
     "vov",
     f"{RV}, {RV5}, final AS (SELECT symbol, seq, CASE WHEN count(rv_5) {win(12)} >= 2 THEN stddev_samp(rv_5) {win(12)} END AS vov FROM rv5)",
 )
-session(
+@query(
     "win_37",
-    sf.momentum_sums,
-    "m_5 m_15 m_30 mds",
-    f"""{RV}, m AS (SELECT symbol, seq, sum(r) {win(5)} AS m_5, sum(r) {win(15)} AS m_15, sum(r) {win(30)} AS m_30 FROM rv),
-final AS (SELECT *, (m_5 - m_15) / (abs(m_15) + 1e-8) AS mds FROM m)""",
+    sql(
+        f"""{RETURNS}, {RV}, m AS (SELECT symbol, seq, sum(r) {win(5)} AS m_5, sum(r) {win(15)} AS m_15, sum(r) {win(30)} AS m_30 FROM rv),
+d AS (SELECT *, (m_5 - m_15) / (abs(m_15) + 1e-8) AS raw FROM m), final AS (SELECT *, raw / (1 + abs(raw)) AS mds FROM d)""",
+        "symbol, seq",
+        "m_5 m_15 m_30 mds",
+    ),
 )
+def _momentum(t):
+    """The decay is squashed for the comparison: a middle sum of zero leaves only rounding in its divisor."""
+    df = on_series(returns(t), sf.momentum_sums(), S)
+    return df.select("symbol", "seq", "m_5", "m_15", "m_30", (F.col("mds") / (1 + F.abs("mds"))).alias("mds"))
 
 ADR = "adr0 AS (SELECT ts, 1 AS k, count(*) FILTER (log_ret > 0) / 25e0 AS adv FROM panel_returns GROUP BY ts)"
 

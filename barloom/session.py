@@ -59,6 +59,9 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the side is counted to be below ``limit`` rows; else leave the join to the planner."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+    """Pin a derived side and hint a broadcast only when it is counted to be below ``limit`` rows.
+
+    Pinning keeps the count from running the side's plan a second time; a larger side is left to the planner.
+    """
+    pinned = durable(df)
+    return F.broadcast(pinned) if pinned.limit(limit + 1).count() <= limit else pinned
