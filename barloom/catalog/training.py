@@ -422,4 +422,4 @@ def _spread(t):
 def _per_session(t):
     from barloom.functions.custom import session_transform
 
-    return session_transform(t.bars(), "close", "centred", lambda s: s - s.mean()).select("symbol", "seq", "centred")
+    return session_transform(t.bars(), "close", "centred", {"mean": F.avg("close")}, lambda x, m: x - m).select("symbol", "seq", "centred")

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.plans.steps import TICK_ORDER, Step
 from barloom.plans.timeline import Timeline, biggest_group
-from barloom.session import max_group_rows
+from barloom.session import max_group_rows, small_side
 
 
 def rolling_apply(x: str, n: int, fn: Callable[[np.ndarray], float], name: str) -> Step:
     """``fn`` over the last ``n`` values; the windows are bounded arrays sent in Arrow batches."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def call(windows: pd.Series) -> pd.Series:
         return pd.Series([fn(np.asarray(w, dtype="float64")) if w is not None else None for w in windows], dtype="float64")
 
@@ -31,16 +33,39 @@ def rolling_apply(x: str, n: int, fn: Callable[[np.ndarray], float], name: str)
 
 
 def session_transform(
+    df: DataFrame, x: str, name: str, stats: dict[str, Column], fn: Callable[..., pd.Series], keys: Sequence[str] = ("symbol", "session_date")
+) -> DataFrame:
+    """``fn(x, *stats)`` over Arrow batches, with per-session statistics from built-in aggregates.
+
+    Splitting a group transform this way never gathers a session in one task.
+    """
+    per = df.groupBy(*keys).agg(*[c.alias(f"_st_{n}") for n, c in stats.items()])
+
+    @F.pandas_udf(T.DoubleType())
+    def call(values: pd.Series, *rest: pd.Series) -> pd.Series:
+        return fn(values, *rest)
+
+    out = df.join(small_side(per), list(keys))
+    return out.withColumn(name, call(F.col(x), *[F.col(f"_st_{n}") for n in stats])).drop(*[f"_st_{n}" for n in stats])
+
+
+def session_apply(
     df: DataFrame, x: str, name: str, fn: Callable[[pd.Series], pd.Series], keys: Sequence[str] = ("symbol", "session_date"), order: Sequence[str] = TICK_ORDER
 ) -> DataFrame:
-    """``fn`` over each whole session, as a pandas series.  A session must fit one task, which is checked."""
+    """``fn`` over each whole session as one series, for functions that need all of it.  The session must fit one task."""
     size, limit = biggest_group(df, keys), max_group_rows(df.sparkSession)
     if size > limit:
-        raise ValueError(f"a group of {size} rows exceeds {limit}; use window functions for it")
-    schema = df.schema.add(name, "double")
+        raise ValueError(f"a group of {size} rows exceeds {limit}; split the function into statistics and a row part")
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order))
         return pdf.assign(**{name: fn(pdf[x])})
 
     return df.groupBy(*keys).applyInPandas(call, schema)
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_cdf(x: pd.Series) -> pd.Series:
+    """Standard normal distribution function (Spark SQL has no error function); meant for aggregated rows."""
+    return x.map(lambda v: None if v is None else 0.5 * (1.0 + math.erf(v / math.sqrt(2.0)))).astype("float64")

@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from barloom.plans.steps import Step, on_series
+from barloom.plans.timeline import Timeline, lay_out
+
+MAX_NODES = 64
+#: Rows handled at once by the matrix kernels; bounds the memory of a task.
+KERNEL_ROWS = 2048
 
 
 def sample_ends(index: DataFrame, seq_len: int, corr_window: int, horizon: int, pos: str = "end_index") -> DataFrame:
@@ -12,3 +25,133 @@ def sample_ends(index: DataFrame, seq_len: int, corr_window: int, horizon: int,
     first = max(seq_len, corr_window) - 1
     ok = (F.col(pos) >= first) & (F.col(pos) < F.col("_n") - horizon)
     return index.crossJoin(F.broadcast(total)).where(ok).drop("_n")
+
+
+def pair_name(a: str, b: str) -> str:
+    return f"corr_{a}__{b}"
+
+
+def rolling_correlations(wide: DataFrame, names: Sequence[str], n: int = 20, keys: Sequence[str] = (), order: Sequence[str] = ("ts",)) -> DataFrame:
+    """One column per pair of a bounded list of nodes, from a wide panel, over the last ``n`` rows.
+
+    A pair that is not finite turns the whole matrix of that timestamp into the identity.
+    """
+    if len(names) > MAX_NODES:
+        raise ValueError(f"{len(names)} nodes exceed {MAX_NODES}; use map_correlations")
+    pairs = list(itertools.combinations(names, 2))
+
+    def run(tl: Timeline) -> Timeline:
+        w = tl.over(-(n - 1), 0)
+        tl = tl.add({pair_name(a, b): F.corr(a, b).over(w) for a, b in pairs} | {"_ready": tl.pos >= n - 1})
+        ok = F.lit(True)
+        for a, b in pairs:
+            c = F.col(pair_name(a, b))
+            ok = ok & c.isNotNull() & ~F.isnan(c)
+        tl = tl.add({"_ok": ok})
+        tidy = {p: F.when(F.col("_ok"), F.greatest(F.least(F.col(p), F.lit(1.0)), F.lit(-1.0))).otherwise(0.0) for p in (pair_name(*q) for q in pairs)}
+        return tl.add(tidy)._drop("_ok")
+
+    out = on_series(wide, Step(run, back=n), keys, order).where("_ready")
+    return out.select(*keys, *order, *[pair_name(a, b) for a, b in pairs])
+
+
+def normalised_adjacency(corr: DataFrame, names: Sequence[str], eps: float = 1e-6) -> DataFrame:
+    """Pair columns to D^-1/2 (A + I) D^-1/2 with A's unit diagonal; also the node degrees."""
+
+    def cell(a: str, b: str) -> Column:
+        if a == b:
+            return F.lit(2.0)
+        return F.col(pair_name(a, b) if names.index(a) < names.index(b) else pair_name(b, a))
+
+    degree = {}
+    for a in names:
+        total = F.lit(0.0)
+        for b in names:
+            total = total + cell(a, b)
+        degree[f"degree_{a}"] = F.greatest(total, F.lit(eps))
+    out = corr.withColumns(degree)
+    norm = {f"adj_{a}__{b}": cell(a, b) / F.sqrt(F.col(f"degree_{a}") * F.col(f"degree_{b}")) for i, a in enumerate(names) for b in names[i:]}
+    return out.withColumns(norm)
+
+
+# -- matrices inside tasks -------------------------------------------------------------------------
+
+
+def _rolling_corr(values: np.ndarray, n: int) -> np.ndarray:
+    """(rows, k, k) correlations of the last ``n`` rows, identity where undefined; rows before ``n`` are NaN."""
+    rows, k = values.shape
+    out = np.full((rows, k, k), np.nan)
+    if rows < n:
+        return out
+    windows = np.lib.stride_tricks.sliding_window_view(values, n, axis=0)
+    for a in range(0, len(windows), KERNEL_ROWS):
+        w = windows[a : a + KERNEL_ROWS]
+        centred = w - w.mean(axis=2, keepdims=True)
+        cov = np.einsum("rin,rjn->rij", centred, centred)
+        dev = np.sqrt(np.einsum("rii->ri", cov))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            corr = cov / (dev[:, :, None] * dev[:, None, :])
+        bad = ~np.isfinite(corr).all(axis=(1, 2))
+        corr[bad] = np.eye(k)
+        corr = np.clip(corr, -1.0, 1.0)
+        corr[:, np.arange(k), np.arange(k)] = 1.0
+        out[n - 1 + a : n - 1 + a + len(corr)] = corr
+    return out
+
+
+def map_correlations(df: DataFrame, cols: Sequence[str], n: int = 60, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"), keep: Sequence[str] = (), spectrum: bool = False) -> DataFrame:
+    """Rolling correlation matrix of up to 16 indicators per row as a flat array, or its eigenvalues, descending.
+
+    Each task gets a bounded chunk once (k numbers per row, not a window per row) and builds the matrices in numpy.
+    """
+    cols, name = list(cols), "eigenvalues" if spectrum else "corr"
+    tl = lay_out(df.select(*keys, *order, *keep, *[F.col(c).cast("double").alias(f"_v_{c}") for c in cols]), keys, order)
+    tl = tl.spread(n)
+    fields = [tl.df.schema[c] for c in (*keys, *order, *keep)] + [tl.df.schema[f"_v_{c}"] for c in cols]
+    schema = T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    vs = [f"_v_{c}" for c in cols]
+
+    def call(pdf: pd.DataFrame) -> pd.DataFrame:
+        corr = _rolling_corr(np.nan_to_num(pdf[vs].to_numpy(dtype="float64")), n)
+        ready = np.arange(len(pdf)) >= n - 1
+        out: list = [None] * len(pdf)
+        if ready.any():
+            block = np.linalg.eigvalsh(corr[ready])[:, ::-1] if spectrum else corr[ready].reshape(ready.sum(), -1)
+            for i, row in zip(np.flatnonzero(ready), block):
+                out[i] = row
+        return pdf.assign(**{name: out})
+
+    out = tl.map_chunks(call, schema).where(F.col(name).isNotNull())
+    return out.withColumnsRenamed({f"_v_{c}": c for c in cols})
+
+
+def latest_correlation(df: DataFrame, cols: Sequence[str], n: int = 60, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+    """Correlation matrix of the last ``n`` rows per key as (row_name, col_name, corr)."""
+    cols = list(cols)
+    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    last = df.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n)
+    cells = [(a, b) for a in cols for b in cols]
+    agg = last.groupBy(*keys).agg(*[F.corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(cells)])
+    ok = F.lit(True)
+    for i in range(len(cells)):
+        ok = ok & F.col(f"_c{i}").isNotNull() & ~F.isnan(f"_c{i}")
+    rows = []
+    for i, (a, b) in enumerate(cells):
+        value = F.lit(1.0) if a == b else F.when(F.col("_ok"), F.greatest(F.least(F.col(f"_c{i}"), F.lit(1.0)), F.lit(-1.0))).otherwise(0.0)
+        rows.append(F.struct(F.lit(a).alias("row_name"), F.lit(b).alias("col_name"), value.alias("corr")))
+    return agg.withColumn("_ok", ok).select(*keys, F.inline(F.array(*rows)))
+
+
+# -- persistence -----------------------------------------------------------------------------------
+
+
+def hurst(df: DataFrame, x: str, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"), max_lag: int = 20) -> DataFrame:
+    """Twice the slope of ln sqrt(deviation of lagged differences) on ln lag; 0.5 for a short series."""
+    ks = list(range(2, max_lag))
+    step = Step(lambda tl: tl.add({f"_d{k}": F.col(x) - F.lag(x, k).over(tl.over()) for k in ks}), back=max_lag)
+    out = on_series(df.select(*keys, *order, x), step, keys, order)
+    agg = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.stddev_pop(f"_d{k}").alias(f"_s{k}") for k in ks])
+    logs = F.array(*[F.struct(F.lit(float(np.log(k))).alias("x"), F.ln(F.sqrt(f"_s{k}")).alias("y")) for k in ks])
+    points = agg.select(*keys, "_n", F.inline(logs))
+    slope = points.groupBy(*keys, "_n").agg(F.regr_slope("y", "x").alias("_b"))
+    return slope.select(*keys, F.when(F.col("_n") < 2 * max_lag, 0.5).otherwise(2.0 * F.col("_b")).alias("hurst"))

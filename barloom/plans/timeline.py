@@ -18,11 +18,13 @@ over blocks of ``BLOCK`` rows plus the end value of the block before.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.session import durable, max_group_rows
 
@@ -96,6 +98,20 @@ class Timeline:
     def finish(self, *drop: str) -> DataFrame:
         return self.gather().df.drop(_POS, _CHUNK, *drop)
 
+    def map_chunks(self, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> DataFrame:
+        """``fn`` over each bounded chunk in row order (pandas, Arrow batches); halo rows are dropped from its result.
+
+        ``fn`` gets the columns plus ``_pos`` and must keep the row order and count; ``schema`` is its output.
+        """
+        core, keep = self.spread_out, [f.name for f in schema.fields]
+
+        def call(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(_POS, ignore_index=True)
+            out = fn(pdf)[keep]
+            return out[pdf[_CORE].to_numpy()] if core else out
+
+        return self.df.groupBy(*self._groups()).applyInPandas(call, schema)
+
     # -- running aggregates -------------------------------------------------------------------------
 
     def running(self, cols: dict[str, tuple[str, Column]]) -> Timeline:
