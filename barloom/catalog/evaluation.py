@@ -18,7 +18,8 @@ from barloom.plans.steps import Step, on_series
 
 PAIRS = [(a, b) for i, a in enumerate(SYMBOLS) for b in SYMBOLS[i + 1 :]]
 W20 = "OVER (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
-RETURNS = f"""{FILLED}, lr AS (SELECT ts, symbol, ln(price / greatest(lag(price) OVER (PARTITION BY symbol ORDER BY ts), 1e-8)) AS ret FROM filled),
+RETURNS = f"""{FILLED}, lr0 AS (SELECT ts, symbol, price, lag(price) OVER (PARTITION BY symbol ORDER BY ts) AS b FROM filled),
+lr AS (SELECT ts, symbol, ln(price / greatest(b, 1e-8)) AS ret FROM lr0 WHERE b IS NOT NULL),
 wd AS (SELECT ts, {', '.join(f"max(ret) FILTER (symbol = '{s}') AS {s}" for s in SYMBOLS)} FROM lr GROUP BY ts HAVING count(ret) > 0),
 rc AS (SELECT ts, row_number() OVER (ORDER BY ts) AS rn, {', '.join(f'corr({a}, {b}) {W20} AS {matrix.pair_name(a, b)}' for a, b in PAIRS)} FROM wd),
 cr AS (SELECT * FROM rc WHERE rn >= 20)"""
