@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.base import TICKS, query, scan, sql
+from barloom.catalog.base import ORACLES, TICKS, query, scan, sql
 from barloom.operators import indicators as ind
 from barloom.plans.steps import on_series
 
@@ -252,11 +252,6 @@ final AS (SELECT ticks.symbol, ticks.seq, -list_sum(list_transform(list_filter(d
 )
 
 
-@query("win_22")
-def _all(t):
-    return ind.with_indicators(t.ticks()).drop("ts")
-
-
 register(
     "win_23",
     lambda: [ind.lags(["price", "volume"], [1, 2, 3])],
@@ -288,6 +283,20 @@ register(
 )
 
 
+# The whole frame is the join of the single indicators, without the rows that lack one of them.
+PARTS = [f"win_{i:02d}" for i in (1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21)]
+FRAME = (
+    f"SELECT * FROM ({sql(TICKS, IDS, 'price high low volume', 'ticks')}) p0 "
+    + " ".join(f"JOIN ({ORACLES[n]}) USING (symbol, seq)" for n in PARTS)
+)
+COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in ind.feature_names())
+
+
+@query("win_22", f"SELECT symbol, seq, {', '.join(ind.feature_names())} FROM ({FRAME}) WHERE {COMPLETE}")
+def _all(t):
+    return ind.with_indicators(t.ticks()).drop("ts")
+
+
 @query(
     "prj_14",
     sql(

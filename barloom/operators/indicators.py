@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.plans.steps import RECALL, SERIES, TICK_ORDER, Step, col, full, on_series
+from barloom.plans.steps import RECALL, SERIES, TICK_ORDER, Recurrence, Step, col, full, mean_from, on_series, sweep
 from barloom.plans.timeline import Timeline
 
 EPS = 1e-12
@@ -55,8 +55,15 @@ def lags(xs: list[str], ns: list[int]) -> Step:
     return Step(lambda tl: tl.add({f"{x}_lag_{n}": F.lag(x, n).over(tl.over()) for x in xs for n in ns}), back=max(ns))
 
 
+def ema_part(x: str, n: int, name: str, start: int = 0) -> Recurrence:
+    return Recurrence(
+        spec=lambda tl: {name: mean_from(tl, col(x), span_alpha(n), start)},
+        after=lambda tl: {name: F.when(tl.pos >= start + n - 1, F.col(name))},
+    )
+
+
 def ema(x: str, n: int, name: str) -> Step:
-    return Step(lambda tl: tl.ewm({name: (col(x), span_alpha(n), 0)}, min_rows=n), back=RECALL)
+    return Step(lambda tl: sweep(tl, [ema_part(x, n, name)]), back=RECALL)
 
 
 def warm_mean(x: str, n: int, name: str) -> Step:
@@ -67,42 +74,46 @@ def warm_mean(x: str, n: int, name: str) -> Step:
 # -- oscillators -----------------------------------------------------------------------------------
 
 
-def rsi(x: str, n: int, name: str) -> Step:
-    return Step(lambda tl: _rsi(tl, x, n, name), back=RECALL + 1)
+def rsi_part(x: str, n: int, name: str) -> Recurrence:
+    zero = F.lit(0.0)
+    return Recurrence(
+        before=lambda tl: {"_move": col(x) - F.lag(x, 1).over(tl.over())},
+        spec=lambda tl: {
+            "_gain": mean_from(tl, F.greatest(F.col("_move"), zero), 1.0 / n, 1),
+            "_loss": mean_from(tl, F.greatest(-F.col("_move"), zero), 1.0 / n, 1),
+        },
+        after=lambda tl: {name: F.when(tl.pos >= n, 100.0 - 100.0 / (1.0 + F.col("_gain") / (F.col("_loss") + EPS)))},
+    )
 
 
-def _rsi(tl: Timeline, x: str, n: int, name: str) -> Timeline:
-    up = col(x) - F.lag(x, 1).over(tl.over())
-    tl = tl.add({"_move": up})
-    move, zero = F.col("_move"), F.lit(0.0)
-    tl = tl.ewm(
-        {"_up": (F.greatest(move, zero), 1.0 / n, 1), "_down": (F.greatest(-move, zero), 1.0 / n, 1)}, min_rows=n
-    )
-    strength = F.col("_up") / (F.col("_down") + EPS)
-    return tl.add({name: 100.0 - 100.0 / (1.0 + strength)})._drop("_move", "_up", "_down")
+RSI_SCRATCH = ("_move", "_gain", "_loss")
+
+
+def rsi(x: str, n: int, name: str) -> Step:
+    return Step(lambda tl: sweep(tl, [rsi_part(x, n, name)])._drop(*RSI_SCRATCH), back=RECALL + 1)
 
 
 def macd(x: str = "price", fast: int = 12, slow: int = 26, signal: int = 9) -> Step:
     def run(tl: Timeline) -> Timeline:
-        tl = tl.ewm(
-            {"_fast": (col(x), span_alpha(fast), 0), "_slow": (col(x), span_alpha(slow), 0)},
-            min_rows={"_fast": fast, "_slow": slow},
-        )
+        tl = sweep(tl, [ema_part(x, fast, "_fast"), ema_part(x, slow, "_slow")])
         tl = tl.add({"macd": F.col("_fast") - F.col("_slow")})
-        first = max(fast, slow) - 1
-        tl = tl.ewm({"macd_signal": (F.col("macd"), span_alpha(signal), first)}, min_rows=signal)
+        tl = sweep(tl, [ema_part("macd", signal, "macd_signal", max(fast, slow) - 1)])
         return tl.add({"macd_hist": F.col("macd") - F.col("macd_signal")})._drop("_fast", "_slow")
 
     return Step(run, back=2 * RECALL)
 
 
+def _stochastic(tl: Timeline, x: str, n: int, k: int, d: int) -> Timeline:
+    lo, hi = full(tl, F.min, F.col(x), n), full(tl, F.max, F.col(x), n)
+    tl = tl.add({"stoch_rsi": (F.col(x) - lo) / (hi - lo + EPS)})
+    tl = tl.add({"stoch_rsi_k": full(tl, F.avg, F.col("stoch_rsi"), k)})
+    return tl.add({"stoch_rsi_d": full(tl, F.avg, F.col("stoch_rsi_k"), d)})
+
+
 def stoch_rsi(x: str = "price", n: int = 14, k: int = 3, d: int = 3) -> Step:
     def run(tl: Timeline) -> Timeline:
-        tl = _rsi(tl, x, n, "_rsi")
-        lo, hi = full(tl, F.min, F.col("_rsi"), n), full(tl, F.max, F.col("_rsi"), n)
-        tl = tl.add({"stoch_rsi": (F.col("_rsi") - lo) / (hi - lo + EPS)})
-        tl = tl.add({"stoch_rsi_k": full(tl, F.avg, F.col("stoch_rsi"), k)})
-        return tl.add({"stoch_rsi_d": full(tl, F.avg, F.col("stoch_rsi_k"), d)})._drop("_rsi")
+        tl = sweep(tl, [rsi_part(x, n, "_rsi")])._drop(*RSI_SCRATCH)
+        return _stochastic(tl, "_rsi", n, k, d)._drop("_rsi")
 
     return Step(run, back=RECALL + 1 + n + k + d)
 
@@ -116,12 +127,17 @@ def true_range(tl: Timeline, close: str = "price") -> Column:
     return F.greatest(F.abs(h - lo), F.abs(h - before), F.abs(lo - before))
 
 
-def atr(n: int, name: str, close: str = "price", min_rows: int | None = None) -> Step:
-    def run(tl: Timeline) -> Timeline:
-        tl = tl.add({"_tr": true_range(tl, close)})
-        return tl.ewm({name: (F.col("_tr"), 1.0 / n, 0)}, min_rows=n if min_rows is None else min_rows)._drop("_tr")
+def atr_part(n: int, name: str, close: str = "price", min_rows: int | None = None) -> Recurrence:
+    need = n if min_rows is None else min_rows
+    return Recurrence(
+        before=lambda tl: {"_tr": true_range(tl, close)},
+        spec=lambda tl: {name: mean_from(tl, F.col("_tr"), 1.0 / n)},
+        after=lambda tl: {name: F.when(tl.pos >= need - 1, F.col(name))},
+    )
 
-    return Step(run, back=RECALL + 1)
+
+def atr(n: int, name: str, close: str = "price", min_rows: int | None = None) -> Step:
+    return Step(lambda tl: sweep(tl, [atr_part(n, name, close, min_rows)])._drop("_tr"), back=RECALL + 1)
 
 
 def bollinger(x: str = "price", n: int = 20, k: float = 2.0) -> Step:
@@ -135,15 +151,15 @@ def bollinger(x: str = "price", n: int = 20, k: float = 2.0) -> Step:
     return Step(run, back=n)
 
 
+def _channels(tl: Timeline, atr_col: str, k: float) -> Timeline:
+    reach = F.lit(k) * F.col(atr_col)
+    return tl.add({"kc_upper": F.col("kc_mid") + reach, "kc_lower": F.col("kc_mid") - reach})
+
+
 def keltner(n: int = 20, atr_n: int = 14, k: float = 1.5) -> Step:
     def run(tl: Timeline) -> Timeline:
-        tl = tl.add({"_tr": true_range(tl)})
-        tl = tl.ewm(
-            {"kc_mid": (F.col("price"), span_alpha(n), 0), "_atr": (F.col("_tr"), 1.0 / atr_n, 0)},
-            min_rows={"kc_mid": n, "_atr": atr_n},
-        )
-        reach = F.lit(k) * F.col("_atr")
-        return tl.add({"kc_upper": F.col("kc_mid") + reach, "kc_lower": F.col("kc_mid") - reach})._drop("_tr", "_atr")
+        tl = sweep(tl, [ema_part("price", n, "kc_mid"), atr_part(atr_n, "_atr")])
+        return _channels(tl, "_atr", k)._drop("_tr", "_atr")
 
     return Step(run, back=RECALL + 1)
 
@@ -156,40 +172,50 @@ def parkinson(n: int = 20, name: str = "parkinson_vol") -> Step:
     return Step(run, back=n)
 
 
-def adx(n: int = 14) -> Step:
-    """Directional movement; the means here are bias-corrected (weighted sum over sum of weights)."""
+def _decay_weight(q: float, count: Column) -> Column:
+    """Sum of the weights 1, q, q^2, ... of ``count`` rows."""
+    return (1.0 - F.pow(F.lit(q), count)) / (1.0 - q)
+
+
+def movement_part(n: int) -> Recurrence:
+    """Bias-corrected means of the directional moves (weighted sum over sum of weights)."""
+    q, zero = 1.0 - 1.0 / n, F.lit(0.0)
+    up, dn = F.col("_up"), F.col("_dn")
+    return Recurrence(
+        before=lambda tl: {
+            "_up": F.col("high") - F.lag("high", 1).over(tl.over()),
+            "_dn": F.lag("low", 1).over(tl.over()) - F.col("low"),
+        },
+        spec=lambda tl: {
+            "_plus": (math.log(q), F.when(up > dn, F.greatest(up, zero)).otherwise(zero)),
+            "_minus": (math.log(q), F.when(dn > up, F.greatest(dn, zero)).otherwise(zero)),
+        },
+        after=lambda tl: {c: F.col(c) / _decay_weight(q, tl.pos + 1) for c in ("_plus", "_minus")},
+    )
+
+
+def strength_part(n: int) -> Recurrence:
+    """Bias-corrected mean of the directional index, which starts with the first row that has both directions."""
     q = 1.0 - 1.0 / n
+    p, m = F.col("plus_di"), F.col("minus_di")
+    return Recurrence(
+        spec=lambda tl: {"adx": (math.log(q), F.when(tl.pos >= n - 1, 100.0 * F.abs(p - m) / (p + m + EPS)).otherwise(F.lit(0.0)))},
+        after=lambda tl: {"adx": F.when(tl.pos >= 2 * n - 2, F.col("adx") / _decay_weight(q, tl.pos - (n - 2)))},
+    )
+
+
+def _directions(tl: Timeline, atr_col: str) -> Timeline:
+    return tl.add({f"{s}_di": 100.0 * F.col(f"_{s}") / (F.col(atr_col) + EPS) for s in ("plus", "minus")})
+
+
+MOVEMENT_SCRATCH = ("_tr", "_up", "_dn", "_plus", "_minus")
 
-    def weights(count: Column) -> Column:
-        return (1.0 - F.pow(F.lit(q), count)) / (1.0 - q)
 
+def adx(n: int = 14) -> Step:
     def run(tl: Timeline) -> Timeline:
-        tl = tl.add(
-            {
-                "_tr": true_range(tl),
-                "_up": F.col("high") - F.lag("high", 1).over(tl.over()),
-                "_dn": F.lag("low", 1).over(tl.over()) - F.col("low"),
-            }
-        )
-        up, dn, zero = F.col("_up"), F.col("_dn"), F.lit(0.0)
-        tl = tl.affine(
-            {
-                "_plus": (math.log(q), F.when(up > dn, F.greatest(up, zero)).otherwise(zero)),
-                "_minus": (math.log(q), F.when(dn > up, F.greatest(dn, zero)).otherwise(zero)),
-                "_atr": (math.log(q), F.when(tl.pos == 0, F.col("_tr")).otherwise(F.col("_tr") / n)),
-            }
-        )
-        ready, seen = tl.pos >= n - 1, weights(tl.pos + 1)
-        tl = tl.add(
-            {
-                "plus_di": F.when(ready, 100.0 * F.col("_plus") / seen / (F.col("_atr") + EPS)),
-                "minus_di": F.when(ready, 100.0 * F.col("_minus") / seen / (F.col("_atr") + EPS)),
-            }
-        )
-        p, m = F.col("plus_di"), F.col("minus_di")
-        tl = tl.affine({"_dx": (math.log(q), F.when(ready, 100.0 * F.abs(p - m) / (p + m + EPS)).otherwise(zero))})
-        done = F.when(tl.pos >= 2 * n - 2, F.col("_dx") / weights(tl.pos - (n - 2)))
-        return tl.add({"adx": done})._drop("_tr", "_up", "_dn", "_plus", "_minus", "_atr", "_dx")
+        tl = sweep(tl, [movement_part(n), atr_part(n, "_atr")])
+        tl = sweep(_directions(tl, "_atr"), [strength_part(n)])
+        return tl._drop(*MOVEMENT_SCRATCH, "_atr")
 
     return Step(run, back=2 * RECALL + 1)
 
@@ -289,38 +315,47 @@ def kalman_gains(noise: float = 0.01, drift: float = 1e-4, tol: float = 1e-16) -
     return gains
 
 
-def kalman(x: str = "price", noise: float = 0.01) -> Step:
-    """Filtered price and its ratio: gains depend on the row number only, so the filter is a linear recurrence."""
+def kalman_part(x: str = "price", noise: float = 0.01) -> Recurrence:
     gains = kalman_gains(noise)
     table = F.array(*[F.lit(g) for g in gains])
+    return Recurrence(
+        before=lambda tl: {"_k_gain": F.get(table, F.least(tl.pos, F.lit(len(gains) - 1)).cast("int"))},
+        spec=lambda tl: {
+            "kalman_price": (F.when(tl.pos == 0, F.lit(0.0)).otherwise(F.log1p(-F.col("_k_gain"))), F.col("_k_gain") * col(x))
+        },
+        after=lambda tl: {"price_kalman_ratio": col(x) / (F.col("kalman_price") + EPS)},
+    )
 
-    def run(tl: Timeline) -> Timeline:
-        at = F.least(tl.pos, F.lit(len(gains) - 1)).cast("int")
-        tl = tl.add({"_gain": F.get(table, at)})
-        keep = F.when(tl.pos == 0, F.lit(0.0)).otherwise(F.log1p(-F.col("_gain")))
-        tl = tl.affine({"kalman_price": (keep, F.col("_gain") * col(x))})
-        return tl.add({"price_kalman_ratio": col(x) / (F.col("kalman_price") + EPS)})._drop("_gain")
-
-    return Step(run, back=RECALL)
-
-
-def histogram_entropy(values: Column, bins: int, normalize: bool = False) -> Column:
-    """Entropy of an equal-width histogram of an array, on densities (or on shares with ``normalize``)."""
-
-    def of(v: Column) -> Column:
-        lo, hi = F.array_min(v), F.array_max(v)
-        flat = hi == lo
-        base = F.when(flat, lo - 0.5).otherwise(lo)
-        width = F.when(flat, F.lit(1.0)).otherwise(hi - lo) / bins
-        slots = F.transform(v, lambda e: F.least(F.floor((e - base) / width), F.lit(bins - 1)))
-        scale = F.lit(1.0) if normalize else width
-        shares = F.transform(
-            F.sequence(F.lit(0), F.lit(bins - 1)),
-            lambda b: F.size(F.filter(slots, lambda s: s == b)) / (F.size(v) * scale),
-        )
-        return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
 
-    return of(values)
+def kalman(x: str = "price", noise: float = 0.01) -> Step:
+    """Filtered price and its ratio: gains depend on the row number only, so the filter is a linear recurrence."""
+    return Step(lambda tl: sweep(tl, [kalman_part(x, noise)])._drop("_k_gain"), back=RECALL)
+
+
+def histogram_entropy(values: Column, n: int, bins: int, normalize: bool = False) -> Column:
+    """Entropy of an equal-width histogram of an array of ``n``, on densities (or on shares with ``normalize``).
+
+    The counts of all bins are packed into one 64-bit number in a single fold over the array.
+    """
+    bits = n.bit_length()
+    if bits * bins > 62:
+        raise ValueError(f"{bins} bins of up to {n} values do not fit one number")
+    lo, hi = F.array_min(values), F.array_max(values)
+    flat = hi == lo
+    base = F.when(flat, lo - 0.5).otherwise(lo)
+    width = F.when(flat, F.lit(1.0)).otherwise(hi - lo) / bins
+
+    def count(acc: Column, e: Column) -> Column:
+        slot = F.least(F.floor((e - base) / width), F.lit(bins - 1)).cast("int")
+        return acc + F.call_function("shiftleft", F.lit(1).cast("long"), slot * bits)
+
+    packed = F.aggregate(values, F.lit(0).cast("long"), count)
+    scale = F.lit(float(n)) if normalize else n * width
+    total = F.lit(0.0)
+    for b in range(bins):
+        share = F.shiftright(packed, b * bits).bitwiseAND(F.lit((1 << bits) - 1)) / scale
+        total = total - F.when(share > 0, share * F.log2(share)).otherwise(0.0)
+    return total
 
 
 def entropy(x: str = "price", n: int = 20, bins: int = 10, name: str = "entropy_20", normalize: bool = False) -> Step:
@@ -328,7 +363,7 @@ def entropy(x: str = "price", n: int = 20, bins: int = 10, name: str = "entropy_
         tl = tl.add({"_lr": F.ln(F.try_divide(col(x), F.lag(x, 1).over(tl.over())))})
         tl = tl.add({"_bag": F.collect_list("_lr").over(tl.over(-(n - 1), 0))})
         return tl.add(
-            {name: F.when(F.size("_bag") == n, histogram_entropy(F.col("_bag"), bins, normalize))}
+            {name: F.when(F.size("_bag") == n, histogram_entropy(F.col("_bag"), n, bins, normalize))}
         )._drop("_lr", "_bag")
 
     return Step(run, back=n + 1)
@@ -337,37 +372,49 @@ def entropy(x: str = "price", n: int = 20, bins: int = 10, name: str = "entropy_
 # -- everything together ---------------------------------------------------------------------------
 
 
-def indicator_steps(stochastic: bool = True) -> list[Step]:
-    steps = [
+def indicator_frame(stochastic: bool = True) -> Step:
+    """All features with shared sorts: bounded windows first, then two sweeps for all the recurrences."""
+    bounded = [
         sma("price", 14, "sma_14"),
         sma("price", 50, "sma_50"),
-        ema("price", 12, "ema_12"),
-        ema("price", 26, "ema_26"),
-        rsi("price", 14, "rsi_14"),
-        macd(),
-        atr(14, "atr_14"),
         bollinger(),
         parkinson(),
-        keltner(),
         vwap(),
         obv_momentum(),
         chaikin_flow(),
         tick_intensity(),
-        adx(),
         simple_returns(),
         momentum(),
         mean_ratio(),
         volume_z(),
-        kalman(),
         entropy(),
     ]
-    return [*steps, stoch_rsi()] if stochastic else steps
+
+    def run(tl: Timeline) -> Timeline:
+        for s in bounded:
+            tl = s.run(tl)
+        first = [
+            ema_part("price", 12, "ema_12"),
+            ema_part("price", 26, "ema_26"),
+            ema_part("price", 20, "kc_mid"),
+            rsi_part("price", 14, "rsi_14"),
+            atr_part(14, "atr_14"),
+            movement_part(14),
+            kalman_part(),
+        ]
+        tl = _directions(_channels(sweep(tl, first), "atr_14", 1.5), "atr_14")
+        tl = tl.add({"macd": F.col("ema_12") - F.col("ema_26")})
+        tl = sweep(tl, [ema_part("macd", 9, "macd_signal", 25), strength_part(14)])
+        tl = tl.add({"macd_hist": F.col("macd") - F.col("macd_signal")})._drop(*RSI_SCRATCH, *MOVEMENT_SCRATCH, "_k_gain")
+        return _stochastic(tl, "rsi_14", 14, 3, 3) if stochastic else tl
+
+    return Step(run, back=2 * RECALL + 60)
 
 
 def with_indicators(df: DataFrame, stochastic: bool = True, keys=SERIES, order=TICK_ORDER, drop_incomplete: bool = True) -> DataFrame:
     """The whole feature frame; rows with a missing or infinite feature are dropped unless asked otherwise."""
     names = feature_names(stochastic)
-    out = on_series(df, indicator_steps(stochastic), keys, order).select(*keys, *order, *names)
+    out = on_series(df, indicator_frame(stochastic), keys, order).select(*keys, *order, *names)
     if not drop_incomplete:
         return out
     ok = F.lit(True)

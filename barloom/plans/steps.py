@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
@@ -51,3 +52,27 @@ def full(tl: Timeline, agg: Callable[[Column], Column], x: Column, n: int, need:
     """``agg`` over the last ``n`` rows, null until ``need`` (default ``n``) values are present."""
     w = tl.over(-(n - 1), 0)
     return F.when(F.count(x).over(w) >= (n if need is None else need), agg(x).over(w))
+
+
+@dataclass(frozen=True)
+class Recurrence:
+    """Columns before, linear recurrences, and columns after; several of them share one sweep over the blocks."""
+
+    spec: Callable[[Timeline], dict[str, tuple[Column | float, Column]]]
+    before: Callable[[Timeline], dict[str, Column]] = lambda tl: {}
+    after: Callable[[Timeline], dict[str, Column]] = lambda tl: {}
+
+
+def sweep(tl: Timeline, parts: Sequence[Recurrence]) -> Timeline:
+    """Run recurrences together: scratch columns start with an underscore and are dropped by the caller."""
+    before = {k: v for p in parts for k, v in p.before(tl).items()}
+    tl = tl.add(before) if before else tl
+    tl = tl.affine({k: v for p in parts for k, v in p.spec(tl).items()})
+    after = {k: v for p in parts for k, v in p.after(tl).items()}
+    return tl.add(after) if after else tl
+
+
+def mean_from(tl: Timeline, x: Column, alpha: float, start: int = 0) -> tuple[float, Column]:
+    """Recurrence of an exponential mean without bias correction whose first value is in row ``start``."""
+    b = F.when(tl.pos < start, 0.0).when(tl.pos == start, x).otherwise(F.lit(alpha) * x)
+    return math.log1p(-alpha), b
