@@ -85,10 +85,23 @@ def _indicator_corr(t):
     return out.select("symbol", "seq", *cells)
 
 
-@query("mat_04")
+TRIPLES = [(a, b, c) for n, a in enumerate(INDICATORS) for m, b in enumerate(INDICATORS[n + 1 :], n + 1) for c in INDICATORS[m + 1 :]]
+
+
+@query(
+    "mat_04",
+    sql(
+        f"{IND}, c AS (SELECT symbol, seq, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS rn, {', '.join(f'corr({a}, {b}) {W60} AS {a}_{b}' for a, b in CELLS)} FROM i), final AS (SELECT symbol, seq, true AS descending, 4 AS power_1, 4 + 2 * ({' + '.join(f'{a}_{b} * {a}_{b}' for a, b in CELLS)}) AS power_2, 4 + 6 * ({' + '.join(f'{a}_{b} * {a}_{b}' for a, b in CELLS)}) + 6 * ({' + '.join(f'{a}_{b} * {a}_{c} * {b}_{c}' for a, b, c in TRIPLES)}) AS power_3 FROM c WHERE rn >= 60)",
+        "symbol, seq, descending",
+        "power_1 power_2 power_3",
+    ),
+)
 def _eigenvalues(t):
+    """Power sums of the eigenvalues, which are the traces of the matrix powers."""
     out = matrix.map_correlations(indicator_rows(t), INDICATORS, 60, spectrum=True)
-    return out.select("symbol", "seq", *[F.get("eigenvalues", F.lit(i)).alias(f"e{i + 1}") for i in range(4)])
+    e = [F.get("eigenvalues", F.lit(i)) for i in range(4)]
+    powers = [sum((x**k for x in e[1:]), e[0] ** k).alias(f"power_{k}") for k in (1, 2, 3)]
+    return out.select("symbol", "seq", ((e[0] >= e[1]) & (e[1] >= e[2]) & (e[2] >= e[3])).alias("descending"), *powers)
 
 
 def light_samples(t):

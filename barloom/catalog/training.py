@@ -123,6 +123,22 @@ def _purged(t):
     return folds.purged(df).select("fold", "seq", "role")
 
 
+COMBOS = folds.combination_rows(16, 8, 200, 42)
+
+
+@query(
+    "prp_08",
+    f"""WITH {ROWS}, combos(combo, grp, cl, cr) AS (VALUES {', '.join(f'({c},{g},{str(a).lower()},{str(b).lower()})' for c, g, a, b in COMBOS)}),
+uses AS (SELECT grp, cl, cr, count(*) AS n FROM combos GROUP BY ALL),
+g AS (SELECT seq, idx, total, ((idx + 1) * 16 - 1) // total AS grp FROM rows0),
+s AS (SELECT *, idx - (grp * total) // 16 AS from_left, ((grp + 1) * total) // 16 - 1 - idx AS from_right FROM g)
+SELECT seq, s.grp, CAST(sum(n) AS BIGINT) AS test_sets FROM s JOIN uses USING (grp) WHERE (NOT cl OR from_left >= 45) AND (NOT cr OR from_right >= 45) GROUP BY seq, s.grp""",
+)
+def _groups(t):
+    """Group of each row and the number of sampled test sets that keep it after trimming."""
+    return folds.test_membership(rows(t), trim=45).select("seq", "grp", "test_sets")
+
+
 @query("prp_17", sql(f"{ROWS}, {RATIO}, final AS (SELECT fold, count(*) FILTER (target = 0) / greatest(count(*) FILTER (target = 1), 1) AS scale_pos_weight FROM folded WHERE role = 'train' GROUP BY fold)", "fold", "scale_pos_weight"))
 def _weights(t):
     return folds.class_weight(scaling.train_rows(folded(t)), "target")

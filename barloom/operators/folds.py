@@ -200,6 +200,20 @@ def group_edge(g: Column, total: Column, groups: int) -> Column:
     return F.floor(g * total / groups)
 
 
+def test_membership(df: DataFrame, groups: int = 16, test_groups: int = 8, limit: int = 200, seed: int = 42, trim: int = 45, idx: str = "idx") -> DataFrame:
+    """Group of each row, and how many test sets keep the row: a group's border is trimmed where its neighbour
+    is not a test group.  Rows meet at most four counts per group instead of every test set."""
+    sets = combinations(df.sparkSession, groups, test_groups, limit, seed)
+    uses = sets.groupBy("grp", "cut_left", "cut_right").agg(F.count(F.lit(1)).alias("_n"))
+    n, i = F.col("total"), F.col(idx)
+    rows = with_total(df).withColumn("grp", group_of(i, n, groups))
+    keep = (~F.col("cut_left") | (i >= group_edge(F.col("grp"), n, groups) + trim)) & (
+        ~F.col("cut_right") | (i < group_edge(F.col("grp") + 1, n, groups) - trim)
+    )
+    hit = rows.join(F.broadcast(uses), "grp").where(keep)
+    return hit.groupBy(*df.columns, "grp").agg(F.sum("_n").alias("test_sets"))
+
+
 # -- other splits ----------------------------------------------------------------------------------
 
 

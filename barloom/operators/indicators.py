@@ -332,39 +332,44 @@ def kalman(x: str = "price", noise: float = 0.01) -> Step:
     return Step(lambda tl: sweep(tl, [kalman_part(x, noise)])._drop("_k_gain"), back=RECALL)
 
 
-def histogram_entropy(values: Column, n: int, bins: int, normalize: bool = False) -> Column:
+def histogram_entropy(tl: Timeline, bag: str, n: int, bins: int, name: str, normalize: bool = False) -> Timeline:
     """Entropy of an equal-width histogram of an array of ``n``, on densities (or on shares with ``normalize``).
 
-    The counts of all bins are packed into one 64-bit number in a single fold over the array.
+    The counts of all bins are packed into one 64-bit number in a single fold over the array.  The steps are
+    separate columns, so that nothing in the fold or after it is computed twice.
     """
     bits = n.bit_length()
     if bits * bins > 62:
         raise ValueError(f"{bins} bins of up to {n} values do not fit one number")
-    lo, hi = F.array_min(values), F.array_max(values)
-    flat = hi == lo
-    base = F.when(flat, lo - 0.5).otherwise(lo)
-    width = F.when(flat, F.lit(1.0)).otherwise(hi - lo) / bins
+    tl = tl.add({"_lo": F.array_min(bag), "_hi": F.array_max(bag)})
+    flat = F.col("_hi") == F.col("_lo")
+    tl = tl.add(
+        {
+            "_lo": F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")),
+            "_bin": F.when(flat, F.lit(1.0)).otherwise(F.col("_hi") - F.col("_lo")) / bins,
+        }
+    )
 
     def count(acc: Column, e: Column) -> Column:
-        slot = F.least(F.floor((e - base) / width), F.lit(bins - 1)).cast("int")
+        slot = F.least(F.floor((e - F.col("_lo")) / F.col("_bin")), F.lit(bins - 1)).cast("int")
         return acc + F.call_function("shiftleft", F.lit(1).cast("long"), slot * bits)
 
-    packed = F.aggregate(values, F.lit(0).cast("long"), count)
-    scale = F.lit(float(n)) if normalize else n * width
+    tl = tl.add({"_packed": F.aggregate(bag, F.lit(0).cast("long"), count)})
+    scale = F.lit(float(n)) if normalize else n * F.col("_bin")
+    tl = tl.add({f"_s{b}": F.shiftright("_packed", b * bits).bitwiseAND(F.lit((1 << bits) - 1)) / scale for b in range(bins)})
     total = F.lit(0.0)
     for b in range(bins):
-        share = F.shiftright(packed, b * bits).bitwiseAND(F.lit((1 << bits) - 1)) / scale
+        share = F.col(f"_s{b}")
         total = total - F.when(share > 0, share * F.log2(share)).otherwise(0.0)
-    return total
+    return tl.add({name: F.when(F.col("_packed").isNotNull(), total)})._drop("_lo", "_hi", "_bin", "_packed", *[f"_s{b}" for b in range(bins)])
 
 
 def entropy(x: str = "price", n: int = 20, bins: int = 10, name: str = "entropy_20", normalize: bool = False) -> Step:
     def run(tl: Timeline) -> Timeline:
         tl = tl.add({"_lr": F.ln(F.try_divide(col(x), F.lag(x, 1).over(tl.over())))})
         tl = tl.add({"_bag": F.collect_list("_lr").over(tl.over(-(n - 1), 0))})
-        return tl.add(
-            {name: F.when(F.size("_bag") == n, histogram_entropy(F.col("_bag"), n, bins, normalize))}
-        )._drop("_lr", "_bag")
+        tl = tl.add({"_bag": F.when(F.size("_bag") == n, F.col("_bag"))})
+        return histogram_entropy(tl, "_bag", n, bins, name, normalize)._drop("_lr", "_bag")
 
     return Step(run, back=n + 1)
 

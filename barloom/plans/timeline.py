@@ -71,16 +71,14 @@ class Timeline:
         if not self.chunked:
             return self
         size = self.chunk_rows
-        if max(back, ahead) > size:
-            raise ValueError(f"reach {max(back, ahead)} exceeds the chunk of {size} rows; raise barloom.maxGroupRows")
         at = F.pmod(F.col(_POS), F.lit(size))
-        homes = F.array_compact(
-            F.array(
-                F.col(_CHUNK),
-                F.when(at >= size - back, F.col(_CHUNK) + 1),
-                F.when((at < ahead) & (F.col(_CHUNK) > 0), F.col(_CHUNK) - 1),
-            )
-        )
+        homes = [F.col(_CHUNK)]
+        homes += [F.when(at >= k * size - back, F.col(_CHUNK) + k) for k in range(1, math.ceil(back / size) + 1)]
+        homes += [
+            F.when((at < ahead - (k - 1) * size) & (F.col(_CHUNK) >= k), F.col(_CHUNK) - k)
+            for k in range(1, math.ceil(ahead / size) + 1)
+        ]
+        homes = F.array_compact(F.array(*homes))
         df = (
             self.df.withColumn("_home", F.col(_CHUNK))
             .withColumn(_CHUNK, F.explode(homes))

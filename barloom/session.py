@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Largest group (rows) that one window task may own before it is split into chunks.
 GROUP_ROWS_CONF = "barloom.maxGroupRows"
-GROUP_ROWS_DEFAULT = 1_000_000
+GROUP_ROWS_DEFAULT = 500_000
 
 #: Largest side (rows) that may be hinted for broadcast.
 BROADCAST_ROWS = 200_000

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -77,6 +78,9 @@ def main(args):
         folder = f"/root/testdata/{args.pop(0)}"
     spark = build_session("parity", "8", 8)
     spark.sparkContext.setLogLevel("ERROR")
+    for pair in os.environ.get("PARITY_CONF", "").split(","):
+        if "=" in pair:
+            spark.conf.set(*pair.split("=", 1))
     con = duck(folder)
     wanted = [n for n in QUERIES if not args or any(n.startswith(a) for a in args)]
     failed = []
