@@ -103,7 +103,7 @@ def _listed(t):
 @query("src_09", f"WITH {TICKS} SELECT symbol, seq, {SECONDS} AS ts, volume AS open, volume + 3 AS high, volume - 2 AS low, volume + 1 AS close, CAST(seq AS DOUBLE) AS volume FROM ticks WHERE seq % 6 <> 5")
 def _candles(t):
     v = F.col("volume").cast("int")
-    cells = [F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX"), v, v + 3, v - 2, v + 1]
+    cells = [F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), v, v + 3, v - 2, v + 1]
     quoted = F.concat(F.lit('"'), cells[0], F.lit('"'))
     row = F.concat(F.lit("["), F.concat_ws(",", quoted, *cells[1:], F.when(F.col("seq") % 6 != 5, F.col("seq"))), F.lit("]"))
     s = F.col("seq") % 3

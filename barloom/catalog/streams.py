@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom.catalog.base import TICKS, query, sql
 from barloom.catalog.files import fresh
 from barloom.catalog.indicators import RSI, ewm_sql
+from barloom.functions.scalars import utc_wall
 from barloom.streaming import bars, latency, state
 
 SPLIT = "symbol, seq"
@@ -47,7 +48,7 @@ CLOSED = "(SELECT max(ts) - INTERVAL 2 MINUTE FROM ticks)"
 )
 def _bars(t):
     _, out = drained(t, bars.stream_bars(ticks(t), "1 hour"), "stream-bars")
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return out.withColumn("ts", utc_wall(F.col("ts")))
 
 
 @query("str_02", sql(f"{TICKS}, final AS (SELECT symbol, seq, CASE WHEN count(price) OVER w = 10 THEN avg(price) OVER w END AS score FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))", SPLIT, "score"))
@@ -73,9 +74,9 @@ def _recurrences(t):
 
 @query("str_04", f"WITH {TICKS} SELECT DISTINCT symbol, date_trunc('minute', ts) AS ts FROM ticks")
 def _first(t):
-    rows = ticks(t).withColumn("ts", F.date_trunc("minute", "ts"))
+    rows = ticks(t).withColumn("ts", F.date_trunc("minute", "ts").cast("timestamp_ntz"))
     _, out = drained(t, bars.stream_first(rows, "2 hours"), "stream-first")
-    return out.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return out.select("symbol", utc_wall(F.col("ts")).alias("ts"))
 
 
 @query(
@@ -87,7 +88,7 @@ SELECT * FROM r WHERE stale_since <= (SELECT max(ts) - INTERVAL 2 MINUTE FROM ti
 )
 def _stale(t):
     _, out = drained(t, bars.stream_stale(ticks(t), "15 minutes"), "stream-stale")
-    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("active_from", "stale_since")})
+    return out.withColumns({c: utc_wall(F.col(c)) for c in ("active_from", "stale_since")})
 
 
 @query("str_06")

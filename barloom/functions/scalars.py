@@ -47,6 +47,11 @@ def utc_wall(c: Column) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
 
 
+def instant(c: Column) -> Column:
+    """UTC wall time as an instant, whatever the session time zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), c.cast("timestamp_ntz")).cast("timestamp")
+
+
 def exchange_wall(c: Column, zone: str = EXCHANGE_ZONE) -> Column:
     """UTC wall time to exchange wall time."""
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), c)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions.scalars import instant
+
 
 def tick_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
     """Parquet files as they arrive in a folder."""
@@ -18,8 +20,9 @@ def tick_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: st
 
 
 def event_time(df: DataFrame, delay: str = "2 minutes", ts: str = "ts") -> DataFrame:
-    """Event time with a watermark (which needs an instant, not wall time)."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    """Event time with a watermark, which needs an instant: UTC wall time is converted, an instant is kept."""
+    when = F.col(ts) if dict(df.dtypes)[ts] == "timestamp" else instant(F.col(ts))
+    return df.withColumn(ts, when).withWatermark(ts, delay)
 
 
 def stream_bars(ticks: DataFrame, freq: str = "1 minute", delay: str = "2 minutes", keys: Sequence[str] = ("symbol",), slide: str | None = None) -> DataFrame:
