@@ -17,13 +17,14 @@ from barloom.plans.steps import Step, on_series
 # -- matrices --------------------------------------------------------------------------------------
 
 PAIRS = [(a, b) for i, a in enumerate(SYMBOLS) for b in SYMBOLS[i + 1 :]]
+PAIR_NAMES = [matrix.pair_name(a, b) for a, b in PAIRS]
+ALL_FINITE = " AND ".join(f"coalesce(isfinite({c}), false)" for c in PAIR_NAMES)
 W20 = "OVER (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
 RETURNS = f"""{FILLED}, lr0 AS (SELECT ts, symbol, price, lag(price) OVER (PARTITION BY symbol ORDER BY ts) AS b FROM filled),
 lr AS (SELECT ts, symbol, ln(price / greatest(b, 1e-8)) AS ret FROM lr0 WHERE b IS NOT NULL),
 wd AS (SELECT ts, {', '.join(f"max(ret) FILTER (symbol = '{s}') AS {s}" for s in SYMBOLS)} FROM lr GROUP BY ts HAVING count(ret) > 0),
 rc AS (SELECT ts, row_number() OVER (ORDER BY ts) AS rn, {', '.join(f'corr({a}, {b}) {W20} AS {matrix.pair_name(a, b)}' for a, b in PAIRS)} FROM wd),
-cr AS (SELECT * FROM rc WHERE rn >= 20)"""
-PAIR_NAMES = [matrix.pair_name(a, b) for a, b in PAIRS]
+cr AS (SELECT ts, {', '.join(f'CASE WHEN isfinite({c}) AND {ALL_FINITE} THEN {c} ELSE 0 END AS {c}' for c in PAIR_NAMES)} FROM rc WHERE rn >= 20)"""
 
 
 def correlations(t):
@@ -303,7 +304,7 @@ def probs(t):
 
 GROWTH = "OVER (PARTITION BY model ORDER BY idx ROWS UNBOUNDED PRECEDING)"
 WF = f"""gr AS (SELECT *, exp(sum(ln(1 + pnl)) {GROWTH}) AS g FROM lab), dd AS (SELECT model, max(dr) AS drawdown FROM (SELECT model, 1 - g / max(g) {GROWTH} AS dr FROM gr) GROUP BY model),
-dy AS (SELECT model, idx // 375 AS d, sum(pnl) AS r FROM lab GROUP BY ALL), sh AS (SELECT model, avg(r) / stddev_samp(r) * sqrt(252e0) AS sharpe FROM dy GROUP BY model),
+dy AS (SELECT model, idx // 375 AS d, sum(pnl) AS r FROM lab GROUP BY ALL), sh AS (SELECT model, coalesce(avg(r) / stddev_samp(r) * sqrt(252e0), 0) AS sharpe FROM dy GROUP BY model),
 fm AS (SELECT model, avg(CAST(pred_label = label AS INTEGER)) AS dir_acc, avg(pow(label - prob, 2)) AS loss FROM lab GROUP BY model)"""
 
 

@@ -74,7 +74,8 @@ def _chronological(t):
 @query(
     "prp_04",
     f"""WITH {ROWS}, f AS (SELECT fold, fold * 500 AS a FROM (SELECT unnest(range(0, (SELECT max(total) FROM rows0) // 500)) AS fold) WHERE fold * 500 + 4500 <= (SELECT max(total) FROM rows0))
-SELECT seq, fold, CASE WHEN idx < a + 4000 THEN 'train' ELSE 'val' END AS role FROM rows0 JOIN f ON idx >= a AND idx < a + 4500""",
+SELECT seq, fold, CASE WHEN idx < a + 4000 THEN 'train' ELSE 'val' END AS role FROM rows0 JOIN f ON idx >= a AND idx < a + 4500
+UNION ALL SELECT seq, 0, CASE WHEN idx < floor(0.8e0 * total) THEN 'train' ELSE 'val' END FROM rows0 WHERE total < 4500""",
 )
 def _walk(t):
     return folds.walk_forward(rows(t), 4000, 500).select("seq", "fold", "role")
@@ -84,7 +85,8 @@ def _walk(t):
     "prp_05",
     f"""WITH {ROWS}, n AS (SELECT max(total) AS n FROM rows0), s AS (SELECT n, CASE WHEN n - 4000 < 1500 * 5 THEN greatest((n - 4000) // 5, 375) ELSE 1500 END AS size FROM n),
 f AS (SELECT k AS fold, 4000 + k * size AS a, least(4000 + (k + 1) * size, n) AS b FROM s, range(5) r(k) WHERE least(4000 + (k + 1) * size, n) > 4000 + k * size)
-SELECT seq, fold, CASE WHEN idx < a THEN 'train' ELSE 'val' END AS role FROM rows0 JOIN f ON idx < b""",
+SELECT seq, fold, CASE WHEN idx < a THEN 'train' ELSE 'val' END AS role FROM rows0 JOIN f ON idx < b WHERE 4000 + (SELECT size FROM s) <= total
+UNION ALL SELECT seq, 0, CASE WHEN idx < floor(0.8e0 * total) THEN 'train' ELSE 'val' END FROM rows0 WHERE 4000 + (SELECT size FROM s) > total""",
 )
 def _anchored(t):
     df = rows(t)

@@ -28,6 +28,11 @@ def ratio(a: Column, b: Column, eps: float) -> Column:
     return a / (b + F.lit(eps))
 
 
+def pair_corr(a: Column, b: Column) -> Column:
+    """Correlation aggregate that is null for a flat side (the built-in one raises in ANSI mode); no null pairs."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def blank_zero(c: Column) -> Column:
     return F.when(c != 0, c)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions.scalars import pair_corr
 from barloom.plans.steps import Step, on_series
 from barloom.plans.timeline import Timeline, lay_out
 
@@ -42,7 +43,9 @@ def rolling_correlations(wide: DataFrame, names: Sequence[str], n: int = 20, key
 
     def run(tl: Timeline) -> Timeline:
         w = tl.over(-(n - 1), 0)
-        tl = tl.add({pair_name(a, b): F.corr(a, b).over(w) for a, b in pairs} | {"_ready": tl.pos >= n - 1})
+        dev = {f"_sd_{a}": F.when(F.count(a).over(w) == n, F.stddev_pop(a).over(w)) for a in names}
+        tl = tl.add({pair_name(a, b): F.covar_pop(a, b).over(w) for a, b in pairs} | dev | {"_ready": tl.pos >= n - 1})
+        tl = tl.add({pair_name(a, b): F.try_divide(F.col(pair_name(a, b)), F.col(f"_sd_{a}") * F.col(f"_sd_{b}")) for a, b in pairs})
         ok = F.lit(True)
         for a, b in pairs:
             c = F.col(pair_name(a, b))
@@ -131,7 +134,7 @@ def latest_correlation(df: DataFrame, cols: Sequence[str], n: int = 60, keys: Se
     newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     last = df.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n)
     cells = [(a, b) for a in cols for b in cols]
-    agg = last.groupBy(*keys).agg(*[F.corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(cells)])
+    agg = last.groupBy(*keys).agg(*[pair_corr(F.col(a), F.col(b)).alias(f"_c{i}") for i, (a, b) in enumerate(cells)])
     ok = F.lit(True)
     for i in range(len(cells)):
         ok = ok & F.col(f"_c{i}").isNotNull() & ~F.isnan(f"_c{i}")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import pair_corr
 from barloom.operators.scaling import quantiles
 from barloom.plans.steps import SERIES, TICK_ORDER, Step, on_series
 
@@ -16,7 +17,7 @@ def safe_corr(x: str, y: str) -> Column:
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
     flat = (F.stddev_pop(a) < 1e-12) | (F.stddev_pop(b) < 1e-12)
-    return F.when((F.count(a) < 3) | flat, 0.0).otherwise(F.corr(a, b))
+    return F.when((F.count(a) < 3) | flat, 0.0).otherwise(pair_corr(a, b))
 
 
 def skew_report(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), limit: float = 0.5) -> DataFrame:
