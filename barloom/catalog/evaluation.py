@@ -61,13 +61,13 @@ INDICATORS = ["price", "volume", "ret", "swing"]
 
 
 def indicator_rows(t):
-    df = t.ticks().withColumn("swing", F.col("high") / F.col("low"))
-    step = Step(lambda tl: tl.add({"ret": F.coalesce(F.ln(F.col("price") / F.lag("price", 1).over(tl.over())), F.lit(0.0))}), back=1)
+    df = t.ticks().withColumn("swing", F.col("high") - F.col("low"))
+    step = Step(lambda tl: tl.add({"ret": F.coalesce(F.ln(F.try_divide(F.col("price"), F.lag("price", 1).over(tl.over()))), F.lit(0.0))}), back=1)
     return on_series(df, step).select("symbol", "ts", "seq", *INDICATORS)
 
 
 W60 = "OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"
-IND = f"""{TICKS}, i AS (SELECT symbol, ts, seq, price, volume, coalesce(ln(price / lag(price) OVER (PARTITION BY symbol ORDER BY ts, seq)), 0) AS ret, high / low AS swing FROM ticks)"""
+IND = f"""{TICKS}, i AS (SELECT symbol, ts, seq, price, volume, coalesce(ln(price / lag(price) OVER (PARTITION BY symbol ORDER BY ts, seq)), 0) AS ret, high - low AS swing FROM ticks)"""
 CELLS = [(a, b) for n, a in enumerate(INDICATORS) for b in INDICATORS[n + 1 :]]
 
 
@@ -532,7 +532,7 @@ FEATURES = ["bb_pct_b", "vol_z_20", "momentum_10", "cmf_20"]
 def model_rows(t):
     df = on_series(t.ticks(), [ind.bollinger(), ind.volume_z(), ind.momentum(), ind.chaikin_flow()])
     df = df.select("symbol", "ts", "seq", "price", *FEATURES).na.drop()
-    ahead = Step(lambda tl: tl.add({"target": F.ln(F.lead("price", 1).over(tl.over()) / F.col("price"))}), ahead=1)
+    ahead = Step(lambda tl: tl.add({"target": F.ln(F.try_divide(F.lead("price", 1).over(tl.over()), F.col("price")))}), ahead=1)
     df = on_series(df, ahead).where("target IS NOT NULL").withColumn("label", (F.col("target") > 0).cast("int"))
     df = folds.indexed(df)
     return folds.assign(df, folds.anchored_ratio_table(folds.totals(df), folds=2))

@@ -87,12 +87,13 @@ def spectral_table(
 ) -> DataFrame:
     """Eigenvalues of the rolling indicator correlations, the scaled indicators, label and return.
 
-    ``fit_on`` limits selection and scaling to train rows; by default all rows are used.
+    The samples are pinned, since selection, scaling and the matrices each read them.  ``fit_on`` limits selection and scaling to train rows; by default all rows are used.
     """
+    samples = durable(samples)
     base = samples if fit_on is None else fit_on
     picked = select_indicators(base, top_n, names)
     params = scaling.fit_robust(base, picked, *scaling.sane_range(*quantile_range), keys=())
-    rows = scaling.apply_scale(samples.select("symbol", "ts", "seq", "target", *picked), durable(params), picked, keys=())
+    rows = scaling.apply_scale(samples.select("symbol", "ts", "seq", "target", *picked), params, picked, keys=())
     rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in picked})
     out = matrix.map_correlations(rows, picked, corr_window, keep=("target",), spectrum=True)
     return out.select(
