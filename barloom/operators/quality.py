@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.scalars import pair_corr
 from barloom.operators.scaling import quantiles
 from barloom.plans.steps import SERIES, TICK_ORDER, Step, on_series
+from barloom.session import durable
 
 
 def safe_corr(x: str, y: str) -> Column:
@@ -123,9 +124,10 @@ def edge_rows(df: DataFrame, n: int = 100, keys: Sequence[str] = ("fold",), orde
 def leakage_audit(df: DataFrame, cols: Sequence[str], target: str = "target", n: int = 100, limit: float = 0.05, keys: Sequence[str] = ("fold",), order: Sequence[str] = TICK_ORDER) -> DataFrame:
     """Correlation of each feature's last train values with the first validation targets, by position.
 
-    When one side is shorter, the tail keeps its last and the head its first rows.
+    When one side is shorter, the tail keeps its last and the head its first rows.  The edges are few rows per
+    fold and are pinned, since both sides read them.
     """
-    edges = edge_rows(df, n, keys, order)
+    edges = durable(edge_rows(df, n, keys, order))
     tail, head = edges.where("role = 'train'"), edges.where("role = 'val'")
     sizes = tail.groupBy(*keys).agg(F.count(F.lit(1)).alias("_t")).join(head.groupBy(*keys).agg(F.count(F.lit(1)).alias("_h")), list(keys))
     tail = tail.join(F.broadcast(sizes), list(keys)).withColumn("_at", F.col("edge_pos") - F.greatest(F.col("_t") - F.col("_h"), F.lit(0)))
