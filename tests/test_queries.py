@@ -6,8 +6,6 @@ from parity import check, duck
 from barloom.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-# Not enough rows at the smallest scale for these (they are checked at sf0.01 by tests/parity.py).
-TOO_SMALL = set()
 
 
 @pytest.fixture(scope="module")
@@ -15,8 +13,8 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES and n not in TOO_SMALL])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES])
 def test_query_equals_sql(spark, con, name):
     rows, problem = check(spark, con, name, FOLDER)
     assert problem is None, problem
-    assert rows > 0 or name in ("snk_08",)
+    assert rows > 0
