@@ -1,10 +1,10 @@
 """Text operators for training-data pipelines; their queries are QUERIES, their SQL counterparts ORACLES."""
 
-from barloom.llm import decontaminate, langid, line_chunks, mixing, simhash_tiles
+from barloom.llm import decontaminate, langid, line_chunks, merkle, mixing, simhash_tiles, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (decontaminate, langid, line_chunks, mixing, simhash_tiles):
+for _module in (decontaminate, langid, line_chunks, merkle, mixing, simhash_tiles, token_counts):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
 
