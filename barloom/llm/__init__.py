@@ -1,10 +1,10 @@
 """Text operators for training-data pipelines; their queries are QUERIES, their SQL counterparts ORACLES."""
 
-from barloom.llm import decontaminate, langid, line_chunks, merkle, mixing, simhash_tiles, token_counts
+from barloom.llm import decontaminate, langid, line_chunks, link_graph, merkle, mixing, simhash_tiles, token_counts, warc_archive
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (decontaminate, langid, line_chunks, merkle, mixing, simhash_tiles, token_counts):
+for _module in (decontaminate, langid, line_chunks, link_graph, merkle, mixing, simhash_tiles, token_counts, warc_archive):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
 
