@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.plans.steps import RECALL, SERIES, TICK_ORDER, Recurrence, Step, col, full, mean_from, on_series, sweep
+from barloom.plans.steps import SERIES, TICK_ORDER, Mean, Recurrence, Step, col, full, on_series, sweep
 from barloom.plans.timeline import Timeline
 
 EPS = 1e-12
@@ -56,14 +56,11 @@ def lags(xs: list[str], ns: list[int]) -> Step:
 
 
 def ema_part(x: str, n: int, name: str, start: int = 0) -> Recurrence:
-    return Recurrence(
-        spec=lambda tl: {name: mean_from(tl, col(x), span_alpha(n), start)},
-        after=lambda tl: {name: F.when(tl.pos >= start + n - 1, F.col(name))},
-    )
+    return Recurrence(spec=lambda tl: {name: Mean(col(x), span_alpha(n), start, n)})
 
 
 def ema(x: str, n: int, name: str) -> Step:
-    return Step(lambda tl: sweep(tl, [ema_part(x, n, name)]), back=RECALL)
+    return Step(lambda tl: sweep(tl, [ema_part(x, n, name)]), watch=(x,))
 
 
 def warm_mean(x: str, n: int, name: str) -> Step:
@@ -75,14 +72,14 @@ def warm_mean(x: str, n: int, name: str) -> Step:
 
 
 def rsi_part(x: str, n: int, name: str) -> Recurrence:
-    zero = F.lit(0.0)
+    zero, move = F.lit(0.0), F.col("_move")
     return Recurrence(
         before=lambda tl: {"_move": col(x) - F.lag(x, 1).over(tl.over())},
         spec=lambda tl: {
-            "_gain": mean_from(tl, F.greatest(F.col("_move"), zero), 1.0 / n, 1),
-            "_loss": mean_from(tl, F.greatest(-F.col("_move"), zero), 1.0 / n, 1),
+            "_gain": Mean(F.when(move.isNotNull(), F.greatest(move, zero)), 1.0 / n, 1, n),
+            "_loss": Mean(F.when(move.isNotNull(), F.greatest(-move, zero)), 1.0 / n, 1, n),
         },
-        after=lambda tl: {name: F.when(tl.pos >= n, 100.0 - 100.0 / (1.0 + F.col("_gain") / (F.col("_loss") + EPS)))},
+        after=lambda tl: {name: 100.0 - 100.0 / (1.0 + F.col("_gain") / (F.col("_loss") + EPS))},
     )
 
 
@@ -90,7 +87,7 @@ RSI_SCRATCH = ("_move", "_gain", "_loss")
 
 
 def rsi(x: str, n: int, name: str) -> Step:
-    return Step(lambda tl: sweep(tl, [rsi_part(x, n, name)])._drop(*RSI_SCRATCH), back=RECALL + 1)
+    return Step(lambda tl: sweep(tl, [rsi_part(x, n, name)])._drop(*RSI_SCRATCH), back=1, watch=(x,))
 
 
 def macd(x: str = "price", fast: int = 12, slow: int = 26, signal: int = 9) -> Step:
@@ -100,7 +97,7 @@ def macd(x: str = "price", fast: int = 12, slow: int = 26, signal: int = 9) -> S
         tl = sweep(tl, [ema_part("macd", signal, "macd_signal", max(fast, slow) - 1)])
         return tl.add({"macd_hist": F.col("macd") - F.col("macd_signal")})._drop("_fast", "_slow")
 
-    return Step(run, back=2 * RECALL)
+    return Step(run, watch=(x,))
 
 
 def _stochastic(tl: Timeline, x: str, n: int, k: int, d: int) -> Timeline:
@@ -115,7 +112,7 @@ def stoch_rsi(x: str = "price", n: int = 14, k: int = 3, d: int = 3) -> Step:
         tl = sweep(tl, [rsi_part(x, n, "_rsi")])._drop(*RSI_SCRATCH)
         return _stochastic(tl, "_rsi", n, k, d)._drop("_rsi")
 
-    return Step(run, back=RECALL + 1 + n + k + d)
+    return Step(run, back=1 + n + k + d, watch=(x,))
 
 
 # -- ranges, bands, channels -----------------------------------------------------------------------
@@ -131,13 +128,12 @@ def atr_part(n: int, name: str, close: str = "price", min_rows: int | None = Non
     need = n if min_rows is None else min_rows
     return Recurrence(
         before=lambda tl: {"_tr": true_range(tl, close)},
-        spec=lambda tl: {name: mean_from(tl, F.col("_tr"), 1.0 / n)},
-        after=lambda tl: {name: F.when(tl.pos >= need - 1, F.col(name))},
+        spec=lambda tl: {name: Mean(F.col("_tr"), 1.0 / n, 0, need)},
     )
 
 
 def atr(n: int, name: str, close: str = "price", min_rows: int | None = None) -> Step:
-    return Step(lambda tl: sweep(tl, [atr_part(n, name, close, min_rows)])._drop("_tr"), back=RECALL + 1)
+    return Step(lambda tl: sweep(tl, [atr_part(n, name, close, min_rows)])._drop("_tr"), back=1, watch=(close, "high", "low"))
 
 
 def bollinger(x: str = "price", n: int = 20, k: float = 2.0) -> Step:
@@ -161,7 +157,7 @@ def keltner(n: int = 20, atr_n: int = 14, k: float = 1.5) -> Step:
         tl = sweep(tl, [ema_part("price", n, "kc_mid"), atr_part(atr_n, "_atr")])
         return _channels(tl, "_atr", k)._drop("_tr", "_atr")
 
-    return Step(run, back=RECALL + 1)
+    return Step(run, back=1, watch=("price", "high", "low"))
 
 
 def parkinson(n: int = 20, name: str = "parkinson_vol") -> Step:
@@ -180,6 +176,7 @@ def _decay_weight(q: float, count: Column) -> Column:
 def movement_part(n: int) -> Recurrence:
     """Bias-corrected means of the directional moves (weighted sum over sum of weights)."""
     q, zero = 1.0 - 1.0 / n, F.lit(0.0)
+    log_q = math.log(q) if q else -700.0
     up, dn = F.col("_up"), F.col("_dn")
     return Recurrence(
         before=lambda tl: {
@@ -187,8 +184,8 @@ def movement_part(n: int) -> Recurrence:
             "_dn": F.lag("low", 1).over(tl.over()) - F.col("low"),
         },
         spec=lambda tl: {
-            "_plus": (math.log(q), F.when(up > dn, F.greatest(up, zero)).otherwise(zero)),
-            "_minus": (math.log(q), F.when(dn > up, F.greatest(dn, zero)).otherwise(zero)),
+            "_plus": (log_q, F.when(up > dn, F.greatest(up, zero)).otherwise(zero)),
+            "_minus": (log_q, F.when(dn > up, F.greatest(dn, zero)).otherwise(zero)),
         },
         after=lambda tl: {c: F.col(c) / _decay_weight(q, tl.pos + 1) for c in ("_plus", "_minus")},
     )
@@ -197,9 +194,10 @@ def movement_part(n: int) -> Recurrence:
 def strength_part(n: int) -> Recurrence:
     """Bias-corrected mean of the directional index, which starts with the first row that has both directions."""
     q = 1.0 - 1.0 / n
+    log_q = math.log(q) if q else -700.0
     p, m = F.col("plus_di"), F.col("minus_di")
     return Recurrence(
-        spec=lambda tl: {"adx": (math.log(q), F.when(tl.pos >= n - 1, 100.0 * F.abs(p - m) / (p + m + EPS)).otherwise(F.lit(0.0)))},
+        spec=lambda tl: {"adx": (log_q, F.when(tl.pos >= n - 1, 100.0 * F.abs(p - m) / (p + m + EPS)).otherwise(F.lit(0.0)))},
         after=lambda tl: {"adx": F.when(tl.pos >= 2 * n - 2, F.col("adx") / _decay_weight(q, tl.pos - (n - 2)))},
     )
 
@@ -217,7 +215,7 @@ def adx(n: int = 14) -> Step:
         tl = sweep(_directions(tl, "_atr"), [strength_part(n)])
         return tl._drop(*MOVEMENT_SCRATCH, "_atr")
 
-    return Step(run, back=2 * RECALL + 1)
+    return Step(run, back=1, watch=("price", "high", "low"))
 
 
 # -- volume ----------------------------------------------------------------------------------------
@@ -303,25 +301,37 @@ def mean_ratio(x: str = "price", n: int = 50, name: str = "price_sma_ratio") ->
     return Step(lambda tl: tl.add({name: col(x) / (full(tl, F.avg, col(x), n) + EPS)}), back=n)
 
 
+def kalman_gain(pos: Column, noise: float = 0.01, drift: float = 1e-4) -> Column:
+    """Gain of the scalar filter in row ``pos``; row 0 takes the value as is.
+
+    The error after a row is a fraction-linear map of the error before it, with the fixed points ``high`` and ``low``;
+    (error - high) / (error - low) shrinks by the same factor in every row, so any row's gain has a closed form.
+    """
+    root = math.sqrt(drift * drift + 4.0 * noise * drift)
+    high, low = (root - drift) / 2.0, (-root - drift) / 2.0
+    shrink = (noise - high) / (noise - low)
+    ratio = F.lit((1.0 - high) / (1.0 - low)) * F.pow(F.lit(shrink), (pos - 1).cast("double"))
+    error = (F.lit(high) - F.lit(low) * ratio) / (1.0 - ratio)  # after the row before
+    prior = error + drift
+    return F.when(pos == 0, 1.0).otherwise(prior / (prior + noise))
+
+
 def kalman_gains(noise: float = 0.01, drift: float = 1e-4, tol: float = 1e-16) -> list[float]:
-    """Gains of the scalar filter by row number until they stop changing; row 0 takes the value as is."""
+    """The same gains one by one, until they stop changing."""
     gains, err = [1.0], 1.0
-    while len(gains) < 1024:
+    while len(gains) < 3 or abs(gains[-1] - gains[-2]) >= tol:
         prior = err + drift
         gains.append(prior / (prior + noise))
         err = prior * noise / (prior + noise)
-        if abs(gains[-1] - gains[-2]) < tol:
-            break
     return gains
 
 
 def kalman_part(x: str = "price", noise: float = 0.01) -> Recurrence:
-    gains = kalman_gains(noise)
-    table = F.array(*[F.lit(g) for g in gains])
+    gain = F.col("_k_gain")
     return Recurrence(
-        before=lambda tl: {"_k_gain": F.get(table, F.least(tl.pos, F.lit(len(gains) - 1)).cast("int"))},
+        before=lambda tl: {"_k_gain": kalman_gain(tl.pos, noise)},
         spec=lambda tl: {
-            "kalman_price": (F.when(tl.pos == 0, F.lit(0.0)).otherwise(F.log1p(-F.col("_k_gain"))), F.col("_k_gain") * col(x))
+            "kalman_price": (F.when((tl.pos == 0) | col(x).isNull(), F.lit(0.0)).otherwise(F.log1p(-gain)), gain * col(x))
         },
         after=lambda tl: {"price_kalman_ratio": col(x) / (F.col("kalman_price") + EPS)},
     )
@@ -329,7 +339,7 @@ def kalman_part(x: str = "price", noise: float = 0.01) -> Recurrence:
 
 def kalman(x: str = "price", noise: float = 0.01) -> Step:
     """Filtered price and its ratio: gains depend on the row number only, so the filter is a linear recurrence."""
-    return Step(lambda tl: sweep(tl, [kalman_part(x, noise)])._drop("_k_gain"), back=RECALL)
+    return Step(lambda tl: sweep(tl, [kalman_part(x, noise)])._drop("_k_gain"))
 
 
 def histogram_entropy(tl: Timeline, bag: str, n: int, bins: int, name: str, normalize: bool = False) -> Timeline:
@@ -413,7 +423,7 @@ def indicator_frame(stochastic: bool = True) -> Step:
         tl = tl.add({"macd_hist": F.col("macd") - F.col("macd_signal")})._drop(*RSI_SCRATCH, *MOVEMENT_SCRATCH, "_k_gain")
         return _stochastic(tl, "rsi_14", 14, 3, 3) if stochastic else tl
 
-    return Step(run, back=2 * RECALL + 60)
+    return Step(run, back=60, watch=("price", "high", "low"))
 
 
 def with_indicators(df: DataFrame, stochastic: bool = True, keys=SERIES, order=TICK_ORDER, drop_incomplete: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import clip
 from barloom.operators.indicators import span_alpha, true_range
-from barloom.plans.steps import RECALL, SERIES, TICK_ORDER, Step, full, on_series
+from barloom.plans.steps import SERIES, TICK_ORDER, Step, full, on_series
 from barloom.plans.timeline import Timeline, lay_out
 from barloom.schema import ANNUAL_BARS, ATR_WINDOW, EPSILON, Z_CLIP, Z_WINDOW
 from barloom.session import small_side
@@ -97,7 +97,7 @@ def vwap_deviation(df: DataFrame, keys: Sequence[str] = SESSION, order: Sequence
         return tl.add({"vwap_dev": (F.col("close") - vwap) / F.greatest(F.col("_atr"), F.lit(EPSILON))})
 
     sums = {"_pv": ("sum", typical * F.col("volume")), "_v": ("sum", F.col("volume"))}
-    return on_series(df, Step(run, back=RECALL + 1), keys, order, running=sums, drop=("_pv", "_v", "_tr", "_atr"))
+    return on_series(df, Step(run, back=1, watch=("close", "high", "low")), keys, order, running=sums, drop=("_pv", "_v", "_tr", "_atr"))
 
 
 def session_zscore(
@@ -110,12 +110,15 @@ def session_zscore(
 ) -> DataFrame:
     """Rolling z-score inside the session; until enough values are in the window, all earlier ones are used.
 
-    The expanding part needs running sums only (values, squares, count), which also work in chunks.
+    The expanding part needs running sums only (values, squares, count), which also work in chunks. They are taken over the
+    distance from the first value of the group, so that a high level with a small spread keeps its digits.
     """
     need = max(20, n // 3)
+    firsts = df.groupBy(*keys).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"_f_{c}") for c in cols])
+    df = df.join(firsts, list(keys), "left") if keys else df.crossJoin(firsts)  # one row
     running = {}
     for c in cols:
-        x = F.col(c)
+        x = F.col(c) - F.col(f"_f_{c}")
         running |= {f"_s_{c}": ("sum", x), f"_q_{c}": ("sum", x * x), f"_n_{c}": ("count", x)}
 
     def run(tl: Timeline) -> Timeline:
@@ -123,7 +126,7 @@ def session_zscore(
         for c in cols:
             s, q, k = F.col(f"_s_{c}"), F.col(f"_q_{c}"), F.col(f"_n_{c}")
             enough = F.when(k >= 2, True)
-            mean = F.when(enough, F.try_divide(s, k))
+            mean = F.when(enough, F.try_divide(s, k) + F.col(f"_f_{c}"))
             spread = F.try_divide(q - F.try_divide(s * s, k), k - 1)
             dev = F.when(enough, F.sqrt(F.greatest(spread, F.lit(0.0))))
             out[f"_m_{c}"] = F.coalesce(full(tl, F.avg, F.col(c), n, need), mean)
@@ -135,7 +138,7 @@ def session_zscore(
             done[f"{c}_z"] = clip((F.col(c) - F.col(f"_m_{c}")) / dev, -Z_CLIP, Z_CLIP)
             if stats:
                 done |= {f"{c}_mu": F.col(f"_m_{c}"), f"{c}_std": dev}
-        return tl.add(done)._drop(*[f"{p}{c}" for c in cols for p in ("_s_", "_q_", "_n_", "_m_", "_d_")])
+        return tl.add(done)._drop(*[f"{p}{c}" for c in cols for p in ("_s_", "_q_", "_n_", "_m_", "_d_", "_f_")])
 
     return on_series(df, Step(run, back=n), keys, order, running=running)
 
@@ -175,7 +178,7 @@ def signed_range_target(h: int = 5, x: str = "price", name: str = "target") -> S
 
 def ema_over_time(df: DataFrame, cols: dict[str, str], span: int = 5, keys: Sequence[str] = (), order: Sequence[str] = ("ts",)) -> DataFrame:
     """Exponential means of per-timestamp columns, ``{new name: column}``."""
-    step = Step(lambda tl: tl.ewm({n: (F.col(c), span_alpha(span), 0) for n, c in cols.items()}), back=RECALL)
+    step = Step(lambda tl: tl.ewm({n: (F.col(c), span_alpha(span), 0) for n, c in cols.items()}), watch=tuple(cols.values()))
     return on_series(df, step, keys, order)
 
 
@@ -190,7 +193,7 @@ def open_interest_flow(df: DataFrame, span: int = 5, keys: Sequence[str] = (), o
         a = span_alpha(span)
         return tl.ewm({"oi_imbalance": (F.col("_imb"), a, 0), "oi_flow": (F.col("_flow"), a, 0)})._drop("_imb", "_flow")
 
-    return on_series(df, Step(run, back=RECALL + 1), keys, order)
+    return on_series(df, Step(run, back=1, watch=("call_oi", "put_oi")), keys, order)
 
 
 # -- panels ----------------------------------------------------------------------------------------

@@ -9,20 +9,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.plans.timeline import BLOCK, Timeline, lay_out
+from barloom.plans.timeline import Timeline, lay_out
 
 SERIES = ("symbol",)
 TICK_ORDER = ("ts", "seq")
 
-#: Rows a recurrence needs in the halo of a chunk.
-RECALL = 2 * BLOCK
-
 
 @dataclass(frozen=True)
 class Step:
     run: Callable[[Timeline], Timeline]
     back: int = 0
     ahead: int = 0
+    watch: tuple[str, ...] = ()  # columns of the input that exponential means read
 
 
 def on_series(
@@ -35,7 +33,7 @@ def on_series(
 ) -> DataFrame:
     """Run independent steps over one layout: one count, one shuffle, shared sorts."""
     steps = [steps] if isinstance(steps, Step) else list(steps)
-    tl = lay_out(df, keys, order)
+    tl = lay_out(df, keys, order, watch=sorted({c for s in steps for c in s.watch}))
     if running:
         tl = tl.running(running)
     tl = tl.spread(max((s.back for s in steps), default=0), max((s.ahead for s in steps), default=0))
@@ -54,11 +52,21 @@ def full(tl: Timeline, agg: Callable[[Column], Column], x: Column, n: int, need:
     return F.when(F.count(x).over(w) >= (n if need is None else need), agg(x).over(w))
 
 
+@dataclass(frozen=True)
+class Mean:
+    """Exponential mean without bias correction from row ``start`` on, null until ``need`` values."""
+
+    x: Column
+    alpha: float
+    start: int = 0
+    need: int = 1
+
+
 @dataclass(frozen=True)
 class Recurrence:
-    """Columns before, linear recurrences, and columns after; several of them share one sweep over the blocks."""
+    """Columns before, means or linear recurrences, and columns after; several of them share one sweep over the blocks."""
 
-    spec: Callable[[Timeline], dict[str, tuple[Column | float, Column]]]
+    spec: Callable[[Timeline], dict[str, Mean | tuple[Column | float, Column]]]
     before: Callable[[Timeline], dict[str, Column]] = lambda tl: {}
     after: Callable[[Timeline], dict[str, Column]] = lambda tl: {}
 
@@ -67,12 +75,23 @@ def sweep(tl: Timeline, parts: Sequence[Recurrence]) -> Timeline:
     """Run recurrences together: scratch columns start with an underscore and are dropped by the caller."""
     before = {k: v for p in parts for k, v in p.before(tl).items()}
     tl = tl.add(before) if before else tl
-    tl = tl.affine({k: v for p in parts for k, v in p.spec(tl).items()})
+    spec = {k: v for p in parts for k, v in p.spec(tl).items()}
+    means = {k: v for k, v in spec.items() if isinstance(v, Mean)}
+    if tl.gappy:
+        by_need: dict[int, dict] = {}
+        for k, m in means.items():
+            by_need.setdefault(m.need, {})[k] = (m.x, m.alpha, m.start)
+        for need, cols in by_need.items():
+            tl = tl.ewm(cols, need)
+        rest = {k: v for k, v in spec.items() if k not in means}
+        tl = tl.affine(rest) if rest else tl
+    else:
+        tl = tl.affine({k: mean_from(tl, v) if k in means else v for k, v in spec.items()})
+        tl = tl.add({k: F.when(tl.pos >= m.start + m.need - 1, F.col(k)) for k, m in means.items() if m.need > 1})
     after = {k: v for p in parts for k, v in p.after(tl).items()}
     return tl.add(after) if after else tl
 
 
-def mean_from(tl: Timeline, x: Column, alpha: float, start: int = 0) -> tuple[float, Column]:
-    """Recurrence of an exponential mean without bias correction whose first value is in row ``start``."""
-    b = F.when(tl.pos < start, 0.0).when(tl.pos == start, x).otherwise(F.lit(alpha) * x)
-    return math.log1p(-alpha), b
+def mean_from(tl: Timeline, m: Mean) -> tuple[float, Column]:
+    b = F.when(tl.pos < m.start, 0.0).when(tl.pos == m.start, m.x).otherwise(F.lit(m.alpha) * m.x)
+    return math.log1p(-m.alpha) if m.alpha < 1 else -700.0, b

@@ -11,8 +11,11 @@ combined aggregation on the key columns only) and picks one of two layouts:
   run per (key, chunk) after ``spread`` has copied the edge rows of the neighbouring chunk (the halo), and
   running aggregates get the result of the earlier chunks from a small per-chunk table.
 
-Recurrences (exponential averages, Kalman gains) are linear, so they are running sums of re-weighted values
-over blocks of ``BLOCK`` rows plus the end value of the block before.
+Recurrences (exponential averages, Kalman gains) are linear. Inside a stretch in which the decay stays below
+``e^300`` they are running sums of re-weighted values; the stretch before adds its end value, and the one before that
+has decayed below double precision by then. A constant decay has stretches of equally many rows, so several columns can
+share them; a decay that changes from row to row is cut where its running sum passes the next 300. In the chunked
+layout every chunk is an affine map of the value before it, and the maps of a key are chained over the table of chunks.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from pyspark.sql import types as T
 from barloom.session import durable, max_group_rows
 
 BLOCK = 1024
-#: ln of the weight below which an older value no longer changes a double.
+#: ln of the weight below which an older value no longer changes a double, and of the largest weight in a stretch.
 NEGLIGIBLE = 39.2
+STRETCH = 300.0
 
 _POS, _CHUNK, _CORE = "_pos", "_chunk", "_core"
 
@@ -42,6 +46,8 @@ class Timeline:
     order: tuple[str, ...]
     chunk_rows: int | None = None
     spread_out: bool = False
+    reach: tuple[int, int] = (0, 0)
+    gappy: bool = False  # a watched column has nulls: means must look for gaps
 
     @property
     def chunked(self) -> bool:
@@ -85,7 +91,7 @@ class Timeline:
             .withColumn(_CORE, F.col("_home") == F.col(_CHUNK))
             .drop("_home")
         )
-        return replace(self, df=df, spread_out=True)
+        return replace(self, df=df, spread_out=True, reach=(back, ahead))
 
     def gather(self) -> Timeline:
         """Drop the halo copies again."""
@@ -113,7 +119,8 @@ class Timeline:
     # -- running aggregates -------------------------------------------------------------------------
 
     def running(self, cols: dict[str, tuple[str, Column]]) -> Timeline:
-        """Unbounded running aggregates; kinds: sum, count, max, min, last, next (first value at or after)."""
+        """Unbounded running aggregates; kinds: sum, count, max, min, last, next (first value at or after), before (last value
+        of the earlier rows)."""
         if self.spread_out:
             raise ValueError("running aggregates come before spread()")
         df = self.df.withColumns({f"_in_{n}": c for n, (_, c) in cols.items()})
@@ -125,9 +132,8 @@ class Timeline:
             .orderBy(*[F.col(c).desc() for c in self._sorting()])
             .rowsBetween(Window.unboundedPreceding, 0)
         )
-        local = {}
-        for n, (kind, _) in cols.items():
-            local[n] = _fold(kind, F.col(f"_in_{n}")).over(backward if kind == "next" else forward)
+        frames = {"next": backward, "before": self.over(Window.unboundedPreceding, -1)}
+        local = {n: _fold(kind, F.col(f"_in_{n}")).over(frames.get(kind, forward)) for n, (kind, _) in cols.items()}
         if not self.chunked:
             out = df.withColumns(local)
             return replace(self, df=out.drop(*[f"_in_{n}" for n in cols]))
@@ -152,97 +158,121 @@ class Timeline:
 
     # -- linear recurrences -------------------------------------------------------------------------
 
-    def affine(self, cols: dict[str, tuple[Column | float, Column]], block: int = BLOCK) -> Timeline:
-        """``y[t] = a[t] * y[t-1] + b[t]`` for several columns that share one block grid.
+    def affine(self, cols: dict[str, tuple[Column | float, Column]]) -> Timeline:
+        """``y[t] = a[t] * y[t-1] + b[t]`` for several columns; each is ``(ln a, b)``, a Python float being a constant decay.
 
-        Each column is ``(ln a, b)``; a Python float means a constant decay.  ``y[0] = b[0]``.  The state
-        two blocks back must have decayed below double precision, so a chunked timeline needs a spread of
-        ``2 * block`` rows per chained recurrence.
+        ``y`` before the first row is 0; a null ``b`` adds nothing. Any decay will do: below ``e^-700`` it counts as zero.
         """
-        at = F.pmod(F.col(_POS), F.lit(block))
-        df = self.df.withColumn("_block", F.floor(F.col(_POS) / block))
-        inside = Window.partitionBy(*self._groups(), "_block").orderBy(*self._sorting()).rowsBetween(
-            Window.unboundedPreceding, 0
-        )
-        earlier = Window.partitionBy(*self._groups()).orderBy("_block", *self._sorting()).rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        depth = {}
+        if self.spread_out:
+            return self.gather().affine(cols).spread(*self.reach)
+        cols = {n: (max(a, -700.0) if isinstance(a, float) else a, b) for n, (a, b) in cols.items()}
+        out = self._scan(cols)
+        if self.chunked:
+            out = out._chain(list(cols))
+        return out._drop(*[f"_d_{n}" for n in cols])
+
+    def _scan(self, cols: dict[str, tuple[Column | float, Column]]) -> Timeline:
+        """The recurrences inside each window group, and the decay since its first row as ``_d_<name>`` (0 or more)."""
+        tl = self
+        start = F.col(_CHUNK) * self.chunk_rows if self.chunked else F.lit(0)
+        by_rows: dict[int, list[str]] = {}
         for n, (log_a, _) in cols.items():
             if isinstance(log_a, float):
-                _check_decay(log_a, block)
-                depth[n] = (at + 1) * F.lit(log_a)
+                by_rows.setdefault(stretch_rows(log_a), []).append(n)
+                tl = tl.add({f"_d_{n}": (F.col(_POS) - start + 1) * F.lit(-log_a)})
             else:
-                depth[n] = F.sum(log_a).over(inside)
-        df = df.withColumns({f"_d_{n}": c for n, c in depth.items()})
-        df = df.withColumns(
-            {
-                f"_y_{n}": F.exp(F.col(f"_d_{n}")) * F.sum(b * F.exp(-F.col(f"_d_{n}"))).over(inside)
-                for n, (_, b) in cols.items()
-            }
+                tl = tl.add({f"_d_{n}": F.sum(F.least(-log_a, F.lit(700.0))).over(tl.over(Window.unboundedPreceding, 0))})
+        for rows, names in by_rows.items():
+            at = F.pmod(F.col(_POS), F.lit(rows)) + 1
+            tl = tl._stretches(F.floor(F.col(_POS) / rows), {n: (at * F.lit(-cols[n][0]), cols[n][1]) for n in names})
+        for n, (log_a, b) in cols.items():
+            if not isinstance(log_a, float):
+                tl = tl._stretches(F.floor(F.col(f"_d_{n}") / STRETCH), {n: (F.col(f"_d_{n}") - F.col("_block") * STRETCH, b)})
+        return tl
+
+    def _stretches(self, block: Column, cols: dict[str, tuple[Column, Column]]) -> Timeline:
+        """Columns ``(decay since the start of the stretch, b)`` over one division into stretches."""
+        df = self.df.withColumn("_block", block)
+        inside = Window.partitionBy(*self._groups(), "_block").orderBy(*self._sorting()).rowsBetween(Window.unboundedPreceding, 0)
+        before = Window.partitionBy(*self._groups()).orderBy("_block", *self._sorting())
+        df = df.withColumns({f"_i_{n}": d for n, (d, _) in cols.items()})
+        df = df.withColumns({n: F.exp(-F.col(f"_i_{n}")) * F.coalesce(F.sum(b * F.exp(f"_i_{n}")).over(inside), F.lit(0.0)) for n, (_, b) in cols.items()})
+        last = {f"_e_{n}": F.lag(F.struct(F.col(n).alias("y"), F.col(f"_d_{n}").alias("d"))).over(before) for n in cols}
+        df = df.withColumns(last).withColumns({f"_e_{n}": F.first(f"_e_{n}").over(inside) for n in cols})
+        older = {n: F.coalesce(F.col(f"_e_{n}.y") * F.exp(F.col(f"_e_{n}.d") - F.col(f"_d_{n}")), F.lit(0.0)) for n in cols}
+        df = df.withColumns({n: F.col(n) + c for n, c in older.items()})
+        return replace(self, df=df.drop("_block", *[f"{p}{n}" for n in cols for p in ("_i_", "_e_")]))
+
+    def _chain(self, names: list[str]) -> Timeline:
+        """Add what the earlier chunks of a key contribute: each chunk is ``y -> e^-d y + end``."""
+        ends = [F.max_by(f"{p}{n}", _POS).alias(f"{p}{n}") for n in names for p in ("", "_d_")]
+        parts = self.df.groupBy(*self.keys, _CHUNK).agg(*ends).withColumn(_POS, F.col(_CHUNK))
+        step = Timeline(parts.withColumnsRenamed({f"_d_{n}": f"_a_{n}" for n in names}), self.keys, (_CHUNK,))
+        step = step._scan({f"_s_{n}": (-F.col(f"_a_{n}"), F.col(n)) for n in names})
+        carry = step.df.select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)], (F.col(_CHUNK) + 1).alias("_kc"), *[f"_s_{n}" for n in names]
         )
-        ends = {
-            f"_e_{n}": F.last(F.when(at == block - 1, F.col(f"_y_{n}")), ignorenulls=True).over(earlier) for n in cols
-        }
-        df = df.withColumns(ends)
-        df = df.withColumns(
-            {n: F.col(f"_y_{n}") + F.exp(F.col(f"_d_{n}")) * F.coalesce(F.col(f"_e_{n}"), F.lit(0.0)) for n in cols}
-        )
-        extra = [f"{p}{n}" for n in cols for p in ("_d_", "_y_", "_e_")]
-        return replace(self, df=df.drop("_block", *extra))
+        same = F.col(_CHUNK) == F.col("_kc")
+        for i, k in enumerate(self.keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        out = self.df.join(carry, same, "left")
+        out = out.withColumns({n: F.col(n) + F.exp(-F.col(f"_d_{n}")) * F.coalesce(f"_s_{n}", F.lit(0.0)) for n in names})
+        return replace(self, df=out.drop("_kc", *[f"_k{i}" for i in range(len(self.keys))], *[f"_s_{n}" for n in names]))
 
-    def ewm(self, cols: dict[str, tuple[Column, float, int]], min_rows: int | dict[str, int] = 1) -> Timeline:
-        """Exponential means without bias correction; per column ``(x, alpha, first row with a value)``."""
-        spec = {}
-        for n, (x, alpha, start) in cols.items():
-            b = F.when(F.col(_POS) < start, 0.0).when(F.col(_POS) == start, x).otherwise(F.lit(alpha) * x)
-            spec[f"_w_{n}"] = (math.log1p(-alpha), b)
-        out = self.affine(spec)
-        done = {}
-        for n, (_, _, start) in cols.items():
-            need = min_rows[n] if isinstance(min_rows, dict) else min_rows
-            done[n] = F.when(F.col(_POS) >= start + need - 1, F.col(f"_w_{n}"))
-        return out.add(done)._drop(*spec)
-
-    def ewm_gaps(self, cols: dict[str, tuple[Column, float]]) -> Timeline:
-        """Exponential means over a series with missing values: a gap keeps the mean and decays its weight."""
-        tl = self.add({f"_x_{n}": x for n, (x, _) in cols.items()})
-        seen = {
-            f"_g_{n}": F.last(F.when(F.col(f"_x_{n}").isNotNull(), F.col(_POS)), ignorenulls=True).over(
-                self.over(Window.unboundedPreceding, -1)
-            )
-            for n in cols
-        }
-        tl = tl.add(seen)
+    def ewm(self, cols: dict[str, tuple[Column, float, int]], min_rows: int = 1) -> Timeline:
+        """Exponential means without bias correction, per column ``(x, alpha, first row that may have a value)``.
+
+        Where x has nulls, the mean is kept over a gap while the weight of the past decays by the length of the gap, and
+        the mean is null until ``min_rows`` values were seen.
+        """
+        if self.spread_out and self.gappy:
+            return self.gather().ewm(cols, min_rows).spread(*self.reach)
+        if not self.gappy:
+            spec = {}
+            for n, (x, alpha, start) in cols.items():
+                b = F.when(F.col(_POS) < start, 0.0).when(F.col(_POS) == start, x).otherwise(F.lit(alpha) * x)
+                spec[n] = (math.log1p(-alpha) if alpha < 1 else -700.0, b)
+            tl = self.affine(spec)
+            return tl.add({n: F.when(F.col(_POS) >= start + min_rows - 1, F.col(n)) for n, (_, _, start) in cols.items()})
+        tl = self.add({f"_x_{n}": F.when(F.col(_POS) >= start, x) for n, (x, _, start) in cols.items()})
+        seen = {f"_g_{n}": ("before", F.when(F.col(f"_x_{n}").isNotNull(), F.col(_POS))) for n in cols}
+        counts = {f"_n_{n}": ("count", F.col(f"_x_{n}")) for n in cols}
+        tl = tl.running(seen | counts)
         spec = {}
-        for n, (_, alpha) in cols.items():
+        for n, (_, alpha, _) in cols.items():
             x, gap = F.col(f"_x_{n}"), F.col(_POS) - F.col(f"_g_{n}")
-            old = F.pow(F.lit(1.0 - alpha), gap)
-            log_a = F.when(x.isNull() | gap.isNull(), 0.0).otherwise(F.greatest(F.log(old / (old + alpha)), F.lit(-60.0)))
-            b = F.when(x.isNull(), 0.0).when(gap.isNull(), x).otherwise(alpha * x / (old + alpha))
-            spec[f"_w_{n}"] = (log_a, b)
+            log_old = gap * F.lit(math.log1p(-alpha) if alpha < 1 else -700.0)
+            weight = F.exp(log_old) + alpha
+            log_a = F.when(x.isNull() | gap.isNull(), 0.0).otherwise(log_old - F.log(weight))
+            b = F.when(x.isNull(), 0.0).when(gap.isNull(), x).otherwise(alpha * x / weight)
+            spec[n] = (log_a, b)
         tl = tl.affine(spec)
-        tl = tl.add({n: F.when(F.col(f"_x_{n}").isNotNull() | F.col(f"_g_{n}").isNotNull(), F.col(f"_w_{n}")) for n in cols})
-        return tl._drop(*spec, *[f"{p}{n}" for n in cols for p in ("_x_", "_g_")])
+        tl = tl.add({n: F.when(F.col(f"_n_{n}") >= min_rows, F.col(n)) for n in cols})
+        return tl._drop(*[f"{p}{n}" for n in cols for p in ("_x_", "_g_", "_n_")])
 
     def _drop(self, *names: str) -> Timeline:
         return replace(self, df=self.df.drop(*names))
 
 
-def _check_decay(log_a: float, block: int) -> None:
-    if -log_a * block < NEGLIGIBLE or -log_a * block > 690:
-        raise ValueError(f"decay {math.exp(log_a):.6f} does not fit blocks of {block} rows")
+def stretch_rows(log_a: float) -> int:
+    """Rows of a stretch for a constant decay: ``BLOCK`` where that fits, so that columns share it, else a power of two."""
+    rows = BLOCK
+    while rows * -log_a < NEGLIGIBLE and rows < 1 << 40:
+        rows *= 2
+    while rows > 1 and rows * -log_a > STRETCH * 2:
+        rows //= 2
+    return rows
 
 
 def _fold(kind: str, c: Column) -> Column:
-    if kind in ("last", "next"):
+    if kind in ("last", "next", "before"):
         return F.last(c, ignorenulls=True)
     return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind](c)
 
 
 def _chunk_total(kind: str, name: str) -> Column:
     c = F.col(name)
-    if kind == "last":
+    if kind in ("last", "before"):
         return F.max_by(c, F.when(c.isNotNull(), F.col(_POS)))
     if kind == "next":
         return F.min_by(c, F.when(c.isNotNull(), F.col(_POS)))
@@ -250,7 +280,7 @@ def _chunk_total(kind: str, name: str) -> Column:
 
 
 def _merge(kind: str, local: Column, carried: Column) -> Column:
-    if kind in ("last", "next"):
+    if kind in ("last", "next", "before"):
         return F.coalesce(local, carried)
     if kind in ("sum", "count"):
         return F.when(local.isNull(), carried).otherwise(local + F.coalesce(carried, F.lit(0)))
@@ -258,20 +288,33 @@ def _merge(kind: str, local: Column, carried: Column) -> Column:
 
 
 def biggest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    counts = df.groupBy(*keys).count() if keys else df.agg(F.count(F.lit(1)).alias("count"))
-    return int(counts.agg(F.max("count")).first()[0] or 0)
+    return survey(df, keys)[0]
+
 
+def survey(df: DataFrame, keys: Sequence[str], watch: Sequence[str] = ()) -> tuple[int, bool]:
+    """Rows of the largest group, and whether a watched column has a null: one aggregation over keys and watched columns."""
+    hole = F.lit(False)
+    for c in watch:
+        hole = hole | F.col(c).isNull()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.max(hole).alias("holes"))
+    found = counts.agg(F.max("rows"), F.max("holes")).first()
+    return int(found[0] or 0), bool(found[1])
 
-def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None) -> Timeline:
-    """Prepare ordered windows over ``keys``; ``order`` must end in a tie-breaker so that it is total."""
+
+def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None, watch: Sequence[str] = ()) -> Timeline:
+    """Prepare ordered windows over ``keys``; ``order`` must end in a tie-breaker so that it is total.
+
+    ``watch`` names the columns that exponential means read: nulls in them make the means look for gaps.
+    """
     keys, order = tuple(keys), tuple(order)
     limit = max_rows or max_group_rows(df.sparkSession)
-    if biggest_group(df, keys) <= limit:
+    rows, holes = survey(df, keys, [c for c in watch if c in df.columns])
+    if rows <= limit:
         w = Window.partitionBy(*keys).orderBy(*order)
-        return Timeline(df.withColumn(_POS, F.row_number().over(w) - 1), keys, order)
+        return Timeline(df.withColumn(_POS, F.row_number().over(w) - 1), keys, order, gappy=holes)
     size = max(BLOCK, limit // BLOCK * BLOCK)
     df = number_rows(df, keys, order, _POS)
-    return Timeline(df.withColumn(_CHUNK, F.floor(F.col(_POS) / size)), keys, order, chunk_rows=size)
+    return Timeline(df.withColumn(_CHUNK, F.floor(F.col(_POS) / size)), keys, order, chunk_rows=size, gappy=holes)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

@@ -101,18 +101,67 @@ def test_means_equal_pandas(spark, hot):
 
 def test_mean_with_gaps_equals_pandas(spark, hot, split_groups):
     df, pdf = hot
-    holes = F.when((F.col("seq") % 5 != 0) & (F.col("seq") % 997 > 40), F.col("price"))
-    from barloom.plans.steps import RECALL, Step
-
-    step = Step(lambda tl: tl.ewm_gaps({"m": (holes, 1 / 6)}), back=RECALL)
-    plain = frame(on_series(df, step))
-    for sym, part in pdf.groupby("symbol"):
+    keep = (pdf.seq % 5 != 0) & (pdf.seq % 997 > 40) & (pdf.seq > 1)
+    holes = df.withColumn("price", F.when((F.col("seq") % 5 != 0) & (F.col("seq") % 997 > 40) & (F.col("seq") > 1), F.col("price")))
+    steps = [ind.ema("price", n, f"e{n}") for n in (2, 12, 200)] + [ind.rsi("price", 14, "r")]
+    plain = frame(on_series(holes, steps))
+    for sym, part in pdf.assign(price=pdf.price.where(keep)).groupby("symbol"):
         p = part.reset_index(drop=True)
-        x = p.price.where((p.seq % 5 != 0) & (p.seq % 997 > 40))
         g = plain[plain.symbol == sym].reset_index(drop=True)
-        close(g, pd.DataFrame({"m": x.ewm(alpha=1 / 6, adjust=False).mean()}), ["m"])
+        for n in (2, 12, 200):
+            close(g, pd.DataFrame({f"e{n}": p.price.ewm(span=n, adjust=False, min_periods=n).mean()}), [f"e{n}"], 1e-9)
+        d = p.price.diff()
+        up = d.clip(lower=0).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean()
+        dn = (-d).clip(lower=0).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean()
+        close(g, pd.DataFrame({"r": 100 - 100 / (1 + up / (dn + 1e-12))}), ["r"], 1e-7)
     split_groups(3 * BLOCK)
-    close(plain, frame(on_series(df, step)), ["m"], 1e-7)
+    close(plain, frame(on_series(holes, steps)), ["e2", "e12", "e200", "r"], 1e-9)
+
+
+@pytest.mark.parametrize("rows", [None, 2 * BLOCK])
+def test_any_window_length(spark, hot, split_groups, rows):
+    df, pdf = hot
+    if rows:
+        split_groups(rows)
+    spans, lengths = (1, 2, 3, 53, 100, 200, 20_000), (2, 27, 50)
+    got = frame(on_series(df, [ind.ema("price", n, f"e{n}") for n in spans] + [ind.macd("price", 50, 200, 100)]))
+    for sym, part in pdf.groupby("symbol"):
+        g, p = got[got.symbol == sym].reset_index(drop=True), part.reset_index(drop=True)
+        for n in spans:
+            close(g, pd.DataFrame({f"e{n}": p.price.ewm(span=n, adjust=False, min_periods=n).mean()}), [f"e{n}"], 1e-9)
+    for n in lengths:
+        got = frame(on_series(df, ind.rsi("price", n, "r")))
+        p = pdf[pdf.symbol == "hot"].price.reset_index(drop=True)
+        d = p.diff()
+        up, dn = (x.clip(lower=0).ewm(alpha=1 / n, adjust=False, min_periods=n).mean() for x in (d, -d))
+        close(got[got.symbol == "hot"].reset_index(drop=True), pd.DataFrame({"r": 100 - 100 / (1 + up / (dn + 1e-12))}), ["r"], 1e-9)
+
+
+@pytest.mark.parametrize("rows", [None, 2 * BLOCK])
+@pytest.mark.parametrize("noise", [0.01, 0.1, 1.0, 10.0])
+def test_filter_of_any_noise_equals_loop(spark, hot, split_groups, noise, rows):
+    df, pdf = hot
+    if rows:
+        split_groups(rows)
+    got = frame(on_series(df, ind.kalman(noise=noise)))
+    p = pdf[pdf.symbol == "hot"].price.to_numpy()
+    state, err, want = p[0], 1.0, [p[0]]
+    for z in p[1:]:
+        prior = err + 1e-4
+        gain = prior / (prior + noise)
+        state, err = state + gain * (z - state), prior * (1 - gain)
+        want.append(state)
+    assert np.allclose(got[got.symbol == "hot"].kalman_price, want, rtol=0, atol=1e-9)
+
+
+def test_expanding_deviation_keeps_digits_at_a_high_level(spark):
+    from barloom.operators.session_features import session_zscore
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"symbol": "s", "session_date": pd.Timestamp("2024-01-02").date(), "ts": pd.date_range("2024-01-02", periods=15, freq="min"), "seq": range(15), "x": 1e6 + rng.normal(0, 0.001, 15)})
+    got = session_zscore(spark.createDataFrame(pdf), ["x"], keys=("symbol", "session_date"), order=("ts", "seq"), stats=True).toPandas().sort_values("seq")
+    want = pdf.x.expanding().std().clip(lower=1e-6)
+    assert np.allclose(got.x_std[1:], want[1:], rtol=1e-6)
 
 
 def test_kalman_equals_loop(spark, hot):
