@@ -71,12 +71,43 @@ def test_cross_validation_equals_direct_masks(spark):
     assert r.pbo_proxy == pytest.approx(want, abs=1e-9)
 
 
-def test_overfitting_proxy_orders_good_and_inverted_signals(spark):
-    rng = np.random.default_rng(123)
-    y = rng.normal(0, 1, 2048)
-    good = ev.cpcv(preds(spark, y, y + rng.normal(0, 0.2, 2048))).first().pbo_proxy
-    bad = ev.cpcv(preds(spark, y, -y)).first().pbo_proxy
-    assert 0 <= good < bad <= 1
+def test_overfitting_proxy_is_the_tail_of_the_combination_ratios(spark):
+    """The proxy is the normal tail below zero of the ratios that the combinations themselves report."""
+    from math import erf, sqrt
+
+    rows = np.arange(900)
+    truth = np.sin(rows / 7.0) + 0.3 * np.cos(rows * 1.7)
+    for weight in (0.05, -0.05):
+        made = preds(spark, truth, weight * truth + np.cos(rows * rows % 101))
+        ratios = np.array([r.sharpe for r in ev.cpcv_combinations(made).collect()])
+        want = 0.5 * (1 + erf(-ratios.mean() / ratios.std() / sqrt(2)))
+        assert abs(ev.cpcv(made).first().pbo_proxy - want) < 1e-9
+
+
+@pytest.mark.parametrize("shape", ["normal", "right", "left", "narrow", "tiny"])
+def test_power_exponent_has_the_highest_likelihood(spark, shape):
+    rng = np.random.default_rng(12)
+    x = {
+        "normal": lambda: rng.normal(0, 1, 800),
+        "right": lambda: rng.lognormal(0, 0.7, 800),
+        "left": lambda: -rng.lognormal(0, 0.5, 800),
+        "narrow": lambda: 0.2 * rng.lognormal(0, 0.4, 800),
+        "tiny": lambda: 0.01 * rng.lognormal(0, 0.6, 800),
+    }[shape]()
+
+    def like(lam):
+        k = np.where(x >= 0, lam, 2 - lam)
+        size = np.log1p(np.abs(x))
+        y = np.sign(x) * np.where(np.abs(k) < 1e-12, size, np.expm1(k * size) / np.where(k == 0, 1, k))
+        return -len(x) / 2 * np.log(y.var()) + (lam - 1) * (np.sign(x) * size).sum()
+
+    grid = np.arange(-300, 60, 0.5)
+    best = grid[np.argmax([like(g) for g in grid])]
+    for step in (0.01, 0.0005):
+        near = np.arange(best - 60 * step, best + 60 * step, step)
+        best = near[np.argmax([like(g) for g in near])]
+    got = scaling.fit_power(spark.createDataFrame([(0, float(v)) for v in x], "fold int, x double"), ["x"], ["fold"]).first().x_lambda
+    assert abs(got - best) < 1e-3 * max(1, abs(best)), (got, best)
 
 
 def test_too_few_rows_for_cross_validation(spark):
