@@ -152,7 +152,7 @@ def dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     marks = removed_spans(repeated_chunks(keyed, divisor))
     marks = marks.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "spans", "repeated")
-    joined = docs.select(*names).withColumn("_text_row", F.xxhash64("text"))
+    joined = docs.select(F.struct(*names).alias("_all"), docs["doc_id"], docs["text"], F.xxhash64("text").alias("_text_row"))
     joined = joined.join(marks, joined["doc_id"].eqNullSafe(marks["_doc"]) & (joined["_text_row"] == marks["_row"]), "left")
     pieces = F.expr(
         "concat(transform(spans, (s, i) -> substring(text, if(i = 0, 1, spans[i - 1].start + spans[i - 1].len + 1),"
@@ -165,7 +165,7 @@ def dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
         F.when(F.size("spans") > 0, F.size("spans")).otherwise(0).alias("removed_chunks"),
         F.coalesce(F.expr("aggregate(spans, 0L, (a, s) -> a + s.len)"), F.lit(0)).alias("removed_chars"),
     ]
-    return joined.select(*[text.alias(c) if c == "text" else joined[c] for c in names], *sizes)
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"_all.{c}").alias(c) for c in names], *sizes)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import itertools
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import components, id_text, read_table, staged
@@ -45,15 +45,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint as a signed long), one row per input row."""
+    """``doc_id, row, fp`` (hash of the text, fingerprint as a signed long), one row per input row."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "row": b["row"], "fp": fps.view(np.int64)})
 
-    kept = id_text(docs)
-    return kept.mapInPandas(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    kept = id_text(docs).withColumn("row", F.xxhash64("text"))
+    return kept.mapInPandas(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, row bigint, fp bigint")
 
 
 def near_offsets(radius: int) -> list[tuple[int, ...]]:
@@ -177,6 +177,17 @@ def close_links(distinct: DataFrame, radius: int = 3, tile_rows: int = 32_768) -
     return laid.mapInPandas(_compare_tiles(radius), "a bigint, b bigint")
 
 
+def grouped(docs: DataFrame, radius: int = 3, shingle: int = 3, tile_rows: int = 32_768) -> DataFrame:
+    """``doc_id, row, fp, root, component_id`` for every input row; ``root`` names the component, also where no row has an id."""
+    fps = staged(fingerprints(docs, shingle), "fingerprints")
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(close_links(distinct.select("fp"), radius, tile_rows))
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = placed.join(groups, "root").select("fp", "root", "component_id")
+    return fps.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, tile_rows: int = 32_768) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every input row.
 
@@ -184,13 +195,22 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, tile_row
     the least non-null doc_id reachable over links (null if there is none). An empty table gives an empty result; other
     columns of ``docs`` are not read.
     """
-    fps = staged(fingerprints(docs, shingle), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(close_links(distinct.select("fp"), radius, tile_rows))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(groups, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = grouped(docs, radius, shingle, tile_rows)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, radius: int = 3, shingle: int = 3, tile_rows: int = 32_768) -> DataFrame:
+    """One row of ``docs``, all columns, of each group: the least doc_id (rows without one come last), of equal ids the least hash.
+
+    Repeated rows are one document, so one of them stays.
+    """
+    found = grouped(docs, radius, shingle, tile_rows)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    keepers = found.groupBy("root").agg(first).select(F.xxhash64("first.doc_id", "first.row").alias("_key"), F.col("first.row").alias("_row"))
+    row = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    keyed = docs.select(F.struct("*").alias("_all"), row.alias("_row"), F.xxhash64(docs["doc_id"], row).alias("_key"))
+    once = F.row_number().over(Window.partitionBy("_key", "_row").orderBy("_row"))
+    return keyed.join(keepers, ["_key", "_row"]).withColumn("_once", once).where("_once = 1").select("_all.*")
 
 
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
