@@ -30,10 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group; rows without a doc_id are kept only if alone in their group."""
-    groups = simhash_tiles.near_duplicates(docs)
-    extra = groups.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    return docs.join(extra, docs["doc_id"].eqNullSafe(extra["doc_id"]), "left_anti")
+    """Keep one document of each group: the least doc_id, rows without one last, repeated rows once."""
+    return simhash_tiles.first_of_groups(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +42,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with a positive rate, with ``tokens``, the domain posteriors and ``rate``."""
     rates = mixing.mix(docs, read_table(spark, sf_dir, "labels")).where("rate > 0")
-    rates = rates.withColumnRenamed("doc_id", "_doc")
-    same = docs["doc_id"].eqNullSafe(rates["_doc"]) & (F.xxhash64(docs["text"]) == rates["row"])
-    return docs.join(rates, same).select(*[docs[c] for c in docs.columns], "tokens", "p_good", "p_poor", "p_toxic", "rate")
+    rates = rates.withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
+    added = ["tokens", "p_good", "p_poor", "p_toxic", "rate"]
+    same = docs["doc_id"].eqNullSafe(rates["_doc"]) & (F.xxhash64(docs["text"]) == rates["_row"])
+    return docs.join(rates, same).select(*[docs[c] for c in docs.columns if c not in added], *[rates[c] for c in added])
 
 
 STAGES = [
