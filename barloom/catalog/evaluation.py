@@ -276,21 +276,22 @@ def _cpcv(t):
     return ev.cpcv_combinations(preds(t)).select("combo", "test_rows", "directional_accuracy", "sharpe")
 
 
-# Normal distribution function as a power series (for arguments within a few units).
-PHI = "0.5e0 + list_sum(list_transform(range(80), lambda k: pow(-1e0, k) * pow({0}, 2 * k + 1) / (pow(2e0, k) * gamma(k + 1e0) * (2 * k + 1)))) / sqrt(2 * pi())"
+# Normal distribution function: a power series near zero, a continued fraction in the tails.
+SERIES = "0.5e0 + list_sum(list_transform(range(80), lambda k: pow(-1e0, k) * pow({0}, 2 * k + 1) / (pow(2e0, k) * gamma(k + 1e0) * (2 * k + 1)))) / sqrt(2 * pi())"
+TAIL = "exp(-{0} * {0} / 2) / sqrt(2 * pi()) / list_reduce(list_prepend(abs({0}), list_transform(range(80, 0, -1), lambda k: k::DOUBLE)), lambda a, k: abs({0}) + k / a)"
+PHI = f"CASE WHEN {{0}} < -3 THEN {TAIL} WHEN {{0}} > 3 THEN 1 - {TAIL} ELSE {SERIES} END"
 
 
 @query(
     "evl_09",
     sql(
-        f"{KEYED}, {cpcv_sql('keyed', 45, 'model')}, z AS (SELECT model, avg(sharpe) AS m, -avg(sharpe) / stddev_pop(sharpe) AS z FROM cps GROUP BY model), final AS (SELECT model, m AS sharpe_mean, CASE WHEN z < -5 THEN 0e0 ELSE {PHI.format('z')} END AS pbo_proxy FROM z)",
+        f"{KEYED}, {cpcv_sql('keyed', 45, 'model')}, z AS (SELECT model, avg(sharpe) AS m, -avg(sharpe) / stddev_pop(sharpe) AS z FROM cps GROUP BY model), final AS (SELECT model, m AS sharpe_mean, {PHI.format('z')} AS pbo_proxy FROM z)",
         "model",
         "sharpe_mean pbo_proxy",
     ),
 )
 def _pbo(t):
-    """Weak predictions, so that the proxy is not at its bounds."""
-    return ev.cpcv(keyed(t), ("model",)).select("model", "sharpe_mean", F.when(F.col("sharpe_mean") / F.col("sharpe_std") > 5, 0.0).otherwise(F.col("pbo_proxy")).alias("pbo_proxy"))
+    return ev.cpcv(keyed(t), ("model",)).select("model", "sharpe_mean", "pbo_proxy")
 
 
 PROBS = f"""{KEYED}, probs AS (SELECT model, idx, 1 / (1 + exp(-50 * y_pred)) AS prob, CASE WHEN y_true > 0 THEN 1 ELSE 0 END AS label, y_true / 10 AS ret FROM keyed),
