@@ -338,10 +338,10 @@ def _clip(t):
     return t.raw("events").select("event_id", fn.clip(z, -3.5, 3.5).alias("z"))
 
 
-@query("fun_03", sql("final AS (SELECT event_id, value / (user_id + 1e0) AS plus_one, value / (user_id + 1e-8) AS tiny FROM events WHERE user_id > 0)", "event_id", "plus_one tiny"))
+@query("fun_03", sql("final AS (SELECT event_id, value / (user_id + 1e0) AS plus_one, value / (user_id + 1e-8) AS tiny FROM events)", "event_id", "plus_one tiny"))
 def _ratio(t):
     v, u = F.col("value"), F.col("user_id")
-    return t.raw("events").where("user_id > 0").select("event_id", fn.ratio(v, u, 1.0).alias("plus_one"), fn.ratio(v, u, 1e-8).alias("tiny"))
+    return t.raw("events").select("event_id", fn.ratio(v, u, 1.0).alias("plus_one"), fn.ratio(v, u, 1e-8).alias("tiny"))
 
 
 @query(

@@ -371,9 +371,9 @@ def _residuals(t):
     return ev.residuals(preds(t), "y_pred", "other").select("idx", "residual", "hybrid")
 
 
-@query("evl_19", sql(f"{KEYED}, {cpcv_sql('keyed', 3, 'model')}, er AS (SELECT model, count(*) AS samples, {ERRORS}, avg(sign(y_pred) * y_true) / stddev_samp(sign(y_pred) * y_true) * sqrt(252e0) AS sharpe_ratio FROM keyed GROUP BY model), final AS (SELECT * FROM er)", "model, samples", "mse mae rmse directional_accuracy sharpe_ratio"))
+@query("evl_19", sql(f"{KEYED}, {cpcv_sql('keyed', 3, 'model')}, er AS (SELECT model, count(*) AS samples, {ERRORS}, avg(sign(y_pred) * y_true) / stddev_samp(sign(y_pred) * y_true) * sqrt(252e0) AS sharpe_ratio FROM keyed GROUP BY model), z AS (SELECT model, -avg(sharpe) / stddev_pop(sharpe) AS z FROM cps GROUP BY model), pb AS (SELECT model, {PHI.format('z')} AS pbo_proxy FROM z), final AS (SELECT er.*, pbo_proxy, model = first_value(model) OVER (ORDER BY pbo_proxy, model) AS lowest_pbo FROM er JOIN pb USING (model))", "model, samples, lowest_pbo", "mse mae rmse directional_accuracy sharpe_ratio pbo_proxy"))
 def _models(t):
-    return ev.compare_models(keyed(t)).drop("pbo_proxy", "lowest_pbo")
+    return ev.compare_models(keyed(t))
 
 
 @query(
