@@ -14,15 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import read_table
+from barloom.llm.common import read_table, staged
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 #: Training documents per language, about (a hash threshold); the model's only sample.
 TRAIN_DOCS = 4_000
-#: Words, and n-grams of each order, held per language.
-MODEL_WORDS = 30_000
-MODEL_GRAMS = 20_000
+#: Words, and n-grams of each order, that the model holds at most, shared evenly by the languages.
+MODEL_WORDS = 60_000
+MODEL_GRAMS = 40_000
 LONGEST = 48  # longer words are scored by their n-grams only
 UNDEFINED = "und"
 
@@ -40,9 +40,11 @@ def training_rows(docs: DataFrame, per_language: int = TRAIN_DOCS) -> DataFrame:
     """``text, lang`` of about ``per_language`` rows per language that are not held out, chosen by a hash of the row."""
     usable = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
     usable = usable.where(~held_out("doc_id"))
-    sizes = usable.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), per_language / F.col("count")))
-    joined = usable.join(sizes.select("lang", "share"), "lang")
-    return joined.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("text", "lang")
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row per language
+    if not sizes:
+        return usable.select("text", "lang")
+    limits = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n) * 1_000_000)])
+    return usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(limits, F.col("lang"))).select("text", "lang")
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
@@ -88,18 +90,15 @@ class _Seen(dict):
 class Model:
     """Log frequencies per language: one row of ``weights`` per known term of each kind."""
 
-    def __init__(self, counted: pd.DataFrame, smooth: float = 0.5):
-        self.langs = sorted(counted["lang"].unique())
-        column = {v: k for k, v in enumerate(self.langs)}
+    def __init__(self, langs: list[str], counted: dict[int, dict[str, list[int]]], smooth: float = 0.5):
+        """``counted``: per kind and term the counts in the order of ``langs``."""
+        self.langs = langs
         self.rows: dict[int, dict[str, int]] = {}
         self.weights: dict[int, np.ndarray] = {}
-        for kind, part in counted.groupby("kind"):
-            at = {t: k for k, t in enumerate(sorted(part["term"].unique()))}
-            table = np.zeros((len(at), len(self.langs)))
-            table[part["term"].map(at), part["lang"].map(column)] = part["n"]
-            totals = table.sum(0)
-            self.rows[int(kind)] = at
-            self.weights[int(kind)] = np.log((table + smooth) / (totals + smooth * len(at)))
+        for kind, terms in counted.items():
+            table = np.array(list(terms.values()), float)
+            self.rows[kind] = {t: k for k, t in enumerate(terms)}
+            self.weights[kind] = np.log((table + smooth) / (table.sum(0) + smooth * len(table))).astype(np.float32)
         self.seen = _Seen(self)
 
     def __getstate__(self) -> dict:
@@ -116,7 +115,7 @@ class Model:
         for order in ORDERS:
             known = [k for g in grams(word, order) if (k := self.rows.get(order, {}).get(g)) is not None]
             if known:
-                return self.weights[order][known].mean(0)
+                return self.weights[order].take(known, axis=0).sum(0) / len(known)
         return np.zeros(len(self.langs))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -132,11 +131,16 @@ class Model:
 
 
 def fit(docs: DataFrame, per_language: int = TRAIN_DOCS, words: int = MODEL_WORDS, n_grams: int = MODEL_GRAMS) -> Model:
-    """Learn from ``text`` and ``lang``; what reaches the driver is bounded by the term limits per language."""
-    counts = term_counts(training_rows(docs, per_language))
+    """Learn from ``text`` and ``lang``; what reaches the driver is bounded by the term limits, however many languages there are."""
+    counts = staged(term_counts(training_rows(docs, per_language)), "terms")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    share = max(len(langs), 1)
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "term"))
-    held = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == 0, words).otherwise(n_grams))
-    return Model(held.select("lang", "kind", "term", "n").toPandas())
+    held = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == 0, max(words // share, 1)).otherwise(max(n_grams // share, 1)))
+    counted: dict[int, dict[str, list[int]]] = {}
+    for lang, kind, term, n in held.select("lang", "kind", "term", "n").orderBy("kind", "term", "lang").toLocalIterator():
+        counted.setdefault(kind, {}).setdefault(term, [0] * len(langs))[langs.index(lang)] = n
+    return Model(langs, counted)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
