@@ -9,6 +9,8 @@ counts of a bounded number of bins, nothing per document.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,13 +136,14 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [rows[k][n] / rows[k][k] if abs(rows[k][k]) >= 1e-300 else 0.0 for k in range(n)]
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = 40, ridge: float = 1e-6, tolerance: float = 1e-4) -> Column:
+def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = 12, ridge: float = 0.0, tolerance: float = 1e-4) -> Column:
     """The rate as a column of ``members(tokens, p_<domain>)``.
 
-    Minimises the squared gap between expected and wanted tokens per domain, measured by the inverse second moments of the
-    posteriors so that a step of length 1 is right, plus ``ridge`` times the squared distance of the rates from 1 (both
-    token-weighted). Each step is one aggregation to as many sums as there are domains; the rate stays one expression over
-    the posteriors, so no per-document state is written between steps.
+    Projected gradient descent on the squared gap between expected and wanted tokens per domain, measured by the inverse
+    second moments of the posteriors so that a step of length 1 is right, plus ``ridge`` times the squared distance of the
+    rates from 1 (both token-weighted). It ends when the gap is within ``tolerance`` of all tokens, when it has stopped to
+    shrink by as much, or after ``steps``. Each step is one aggregation to as many sums as there are domains; the rate is a
+    fold over the steps' pulls on the posteriors, so no per-document state is written between steps.
     """
     names = list(targets)
     p = [F.col(f"p_{d}") for d in names]
@@ -153,15 +156,25 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
     second = [[start[f"m{i}_{j}"] + (1e-9 * every if i == j else 0.0) for j in range(len(p))] for i in range(len(p))]
     share = sum(targets.values())
     wanted = [(budget if budget is not None else every) * targets[d] / share for d in names]
-    rate = F.lit(1.0)
+    pulls: list[list[float]] = []
+    last = math.inf
+
+    def rate() -> Column:
+        if not pulls:
+            return F.lit(1.0)
+        moves = F.array(*[F.array(*map(F.lit, pull)) for pull in pulls])
+        step = lambda r, g: F.greatest(F.lit(0.0), (1 - ridge) * r + F.lit(ridge) - sum((g[k] * q for k, q in enumerate(p)), F.lit(0.0)))
+        return F.aggregate(moves, F.lit(1.0), step)
+
     for _ in range(steps):
-        got = members.agg(*[F.sum(t * q * rate).alias(f"t{k}") for k, q in enumerate(p)]).first()
+        got = members.withColumn("_rate", rate()).agg(*[F.sum(t * q * F.col("_rate")).alias(f"t{k}") for k, q in enumerate(p)]).first()
         gap = [got[f"t{k}"] - w for k, w in enumerate(wanted)]
-        if max(map(abs, gap)) <= tolerance * every:
+        size = max(map(abs, gap))
+        if size <= tolerance * every or last - size <= tolerance * every:
             break
-        pull = _solve(second, gap)
-        rate = F.greatest(F.lit(0.0), (1 - ridge) * rate + F.lit(ridge) - sum((F.lit(v) * q for v, q in zip(pull, p)), F.lit(0.0)))
-    return rate
+        last = size
+        pulls.append([float(v) for v in _solve(second, gap)])
+    return rate()
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
