@@ -152,7 +152,8 @@ def dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     marks = removed_spans(repeated_chunks(keyed, divisor))
     marks = marks.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"), "spans", "repeated")
-    joined = docs.select(F.struct(*names).alias("_all"), docs["doc_id"], docs["text"], F.xxhash64("text").alias("_text_row"))
+    others = F.struct(*[c for c in names if c != "text"])  # the text itself is shuffled once
+    joined = docs.select(others.alias("_all"), docs["doc_id"], docs["text"], F.xxhash64("text").alias("_text_row"))
     joined = joined.join(marks, joined["doc_id"].eqNullSafe(marks["_doc"]) & (joined["_text_row"] == marks["_row"]), "left")
     pieces = F.expr(
         "concat(transform(spans, (s, i) -> substring(text, if(i = 0, 1, spans[i - 1].start + spans[i - 1].len + 1),"
