@@ -5,6 +5,10 @@ last two lines sets chunk boundaries, so an insertion moves only the boundaries
 ``long_words`` words start and end a chunk, so a passage pasted in as a paragraph is always cut at its own edges.
 Chunks whose hash occurs more than once in the corpus are fetched and compared byte by byte; all but the first
 occurrence (least doc_id, then position) of equal multi-line chunks are cut out of the texts.
+
+Chunks need two edges inside a passage, so passages are also found by windows: the shortest run of lines of at least
+``PASSAGE_WORDS`` words from every line on, and up to every line. A run of equal lines of that many words is covered by
+such windows wherever it starts; they are compared by a 128-bit hash over the lines' 128-bit hashes and a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -22,20 +26,67 @@ from barloom.llm.common import read_table, staged
 LINE_END = re.compile(r"\n+|(?<=\w)[.!?][ \t]+")
 LONG_WORDS = 40
 MAX_LINES = 64
+#: A repeated run of lines of so many words goes wherever it starts.
+PASSAGE_WORDS = 50
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: The filter of repeated hashes has a fixed size; where it fills up, more chunks are fetched and the result is the same.
 FILTER_WORDS = 1 << 20
 
-CHUNK_FIELDS = "start int, len int, lines int, words int, hi bigint, lo bigint, chunk string"
+CHUNK_FIELDS = "kind int, start int, len int, lines int, words int, hi bigint, lo bigint, again bigint, chunk string"
 
 
-def cut(text: str, divisor: int = 3) -> list[tuple[int, int, int]]:
-    """Chunks of a text as ``start, end, lines`` (code points); together they cover it."""
+def line_ends(text: str) -> list[int]:
     ends = [m.end() for m in LINE_END.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
+    return ends
+
+
+def lines_of(text: str) -> tuple[list[int], list[str], list[bytes]]:
+    """End, stripped text and its bytes of every line."""
+    ends = line_ends(text)
+    lines = [text[a:b].strip() for a, b in zip([0, *ends], ends)]
+    return ends, lines, [x.encode() for x in lines]
+
+
+def windows(lines: list[str], least: int = PASSAGE_WORDS) -> list[tuple[int, int]]:
+    """First line and line after the last of the shortest runs of ``least`` words, from every line on and up to every line."""
+    counts = [len(x.split()) for x in lines]
+    if sum(counts) < least:
+        return []
+    out, words, k = {}, 0, 0
+    for first, n in enumerate(counts):  # from every line on
+        while k < len(counts) and words < least:
+            words += counts[k]
+            k += 1
+        if words < least:
+            break
+        if n:
+            out[first, k] = None
+        words -= n
+    words, first = 0, 0
+    for k, n in enumerate(counts):  # up to every line
+        words += n
+        while words - counts[first] >= least:
+            words -= counts[first]
+            first += 1
+        if words >= least and n:
+            while not counts[first]:
+                first += 1
+            out[first, k + 1] = None
+    return list(out)
+
+
+def window_keys(raw: list[bytes], runs: list[tuple[int, int]]) -> np.ndarray:
+    joined = b"".join(map(xxhash.xxh3_128_digest, raw)) if runs else b""
+    return _keys([joined[16 * a : 16 * b] for a, b in runs], 1)
+
+
+def cut(text: str, divisor: int = 3, found: tuple[list[int], list[str], list[bytes]] | None = None) -> list[tuple[int, int, int]]:
+    """Chunks of a text as ``start, end, lines`` (code points); together they cover it."""
+    ends, _, raw = found or lines_of(text)
     starts = [0, *ends[:-1]]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(text[a:b].strip().encode()) for a, b in zip(starts, ends)), np.uint64, len(ends))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(ends))
     rolled = hashes * MIX
     rolled[1:] += hashes[:-1]
     stop = (((rolled * MIX) >> np.uint64(40)) % np.uint64(divisor) == 0).tolist()
@@ -59,36 +110,42 @@ def cut(text: str, divisor: int = 3) -> list[tuple[int, int, int]]:
     return out
 
 
-def _keys(chunks: list[str]) -> np.ndarray:
-    raw = b"".join(xxhash.xxh3_128_digest(c.encode()) for c in chunks)
+def _keys(chunks: list[bytes], seed: int = 0) -> np.ndarray:
+    raw = b"".join(xxhash.xxh3_128_digest(c, seed) for c in chunks)
     return np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, 2)
 
 
 def chunk_keys(docs: DataFrame, divisor: int = 3) -> DataFrame:
-    """``hi, lo``: the 128-bit key of every chunk of every text."""
+    """``lo``: the lower half of the 128-bit key of every chunk and every window of every text."""
 
     def run(batches):
         for b in batches:
             for at in range(0, len(b), 500):
-                chunks = [t[s:e].strip() for t in b["text"][at : at + 500] if t for s, e, _ in cut(t, divisor)]
+                chunks, runs = [], []
+                for t in b["text"][at : at + 500]:
+                    if t:
+                        found = lines_of(t)
+                        chunks += [t[s:e].strip().encode() for s, e, _ in cut(t, divisor, found)]
+                        runs.append(window_keys(found[2], windows(found[1])))
                 if chunks:
-                    yield pd.DataFrame(_keys(chunks), columns=["hi", "lo"])
+                    yield pd.DataFrame({"lo": np.concatenate([_keys(chunks), *runs])[:, 1]})
 
-    return docs.select("text").mapInPandas(run, "hi bigint, lo bigint")
+    return docs.select("text").mapInPandas(run, "lo bigint")
 
 
 def _repeated_filter(keys: DataFrame) -> np.ndarray:
     """Bit filter of fixed size over the hashes that occur more than once."""
-    again = keys.groupBy("hi", "lo").count().where("count > 1")
+    again = keys.groupBy("lo").count().where("count > 1")
     word, bit = F.expr(f"shiftrightunsigned(lo, 6) & {FILTER_WORDS - 1}"), F.expr("shiftleft(1L, cast(lo & 63 as int))")
-    got = again.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
+    got = again.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
     filled = np.zeros(FILTER_WORDS, np.int64)
-    filled[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    filled[got["word"].to_numpy()] = got["bits"].to_numpy()
     return filled.view(np.uint64)
 
 
 def repeated_chunks(docs: DataFrame, divisor: int = 3) -> DataFrame:
-    """Byte-equal repeated chunks of ``docs(doc_id, row, text)``: ``doc_id, row, start, len, lines, words, first_doc, is_first``."""
+    """Repeated chunks (``kind`` 0, byte-equal) and windows (1) of ``docs(doc_id, row, text)``: ``doc_id, row, kind, start, len,
+    lines, words, first_doc, is_first``. A window that overlaps the first one is not ``apart``."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(_repeated_filter(chunk_keys(docs, divisor)))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -101,51 +158,73 @@ def repeated_chunks(docs: DataFrame, divisor: int = 3) -> DataFrame:
                 for doc, row, text in zip(part["doc_id"], part["row"], part["text"]):
                     if not text:
                         continue
-                    spans = cut(text, divisor)
-                    chunks = [text[s:e].strip() for s, e, _ in spans]
-                    keys = _keys(chunks)
+                    ends, lines, line_bytes = parts = lines_of(text)
+                    spans = [(0, *span) for span in cut(text, divisor, parts)]
+                    chunks = [text[s:e].strip() for _, s, e, _ in spans]
+                    runs = windows(lines)
+                    starts = [0, *ends]
+                    spans += [(1, starts[a], ends[b - 1], b - a) for a, b in runs]
+                    keys = np.concatenate([_keys([c.encode() for c in chunks]), window_keys(line_bytes, runs)])
                     lo = keys[:, 1].view(np.uint64)
                     hit = (bits[(lo >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)] >> (lo & np.uint64(63))) & np.uint64(1)
                     for k in np.flatnonzero(hit):
-                        s, e, lines = spans[k]
-                        out.append((doc, row, s, e - s, lines, chunks[k].count(" ") + 1, keys[k, 0], keys[k, 1], chunks[k]))
+                        kind, s, e, n = spans[k]
+                        chunk, again, words = None, 0, 0
+                        if kind:
+                            first, after = runs[k - len(chunks)]
+                            again = xxhash.xxh64_intdigest(b"\n".join(line_bytes[first:after]), 2) - (1 << 63)
+                        else:
+                            chunk = chunks[k]
+                            words = chunk.count(" ") + 1
+                        out.append((doc, row, kind, s, e - s, n, words, keys[k, 0], keys[k, 1], again, chunk))
                 if out:
-                    yield pd.DataFrame(out, columns=["doc_id", "row", "start", "len", "lines", "words", "hi", "lo", "chunk"])
+                    yield pd.DataFrame(out, columns=["doc_id", "row", "kind", "start", "len", "lines", "words", "hi", "lo", "again", "chunk"])
 
     found = staged(docs.select("doc_id", "row", "text").mapInPandas(fetch, f"doc_id {kind}, row bigint, {CHUNK_FIELDS}"), "chunks")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "start")).alias("first")
-    same = found.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("chunk").alias("a"), F.max("chunk").alias("b"), first)
-    same = same.where("n > 1 and a = b").select("hi", "lo", "first")
-    rows = found.drop("chunk").dropDuplicates(["doc_id", "row", "start"]).join(same, ["hi", "lo"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "start", "len")).alias("first")
+    same = found.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("chunk").alias("a"), F.max("chunk").alias("b"), F.min("again").alias("c"), F.max("again").alias("d"), first)
+    same = same.where("n > 1 and a <=> b and c = d").select("hi", "lo", "first")
+    rows = found.drop("chunk", "again").repartition("hi", "lo").dropDuplicates(["hi", "lo", "doc_id", "row", "kind", "start", "len"]).join(same, ["hi", "lo"])
     is_first = F.expr("doc_id <=> first.doc_id and row = first.row and start = first.start")
-    return rows.select("doc_id", "row", "start", "len", "lines", "words", F.col("first.doc_id").alias("first_doc"), is_first.alias("is_first"))
+    apart = F.expr("not (doc_id <=> first.doc_id and row = first.row) or start >= first.start + first.len")
+    columns = ["doc_id", "row", "kind", "start", "len", "lines", "words", F.col("first.doc_id").alias("first_doc")]
+    return rows.select(*columns, is_first.alias("is_first"), apart.alias("apart"))
 
 
 def removed_spans(chunks: DataFrame, min_words: int = 50) -> DataFrame:
     """``doc_id, row, spans, repeated``: the spans to cut and the number of repeated chunks of a document.
 
     A repeated chunk goes unless it is the first, if it has several lines or ``min_words`` words. A repeated single line
-    goes only next to such a chunk that repeats the same first document: then both belong to one longer passage.
+    goes only next to such a chunk that repeats the same first document: then both belong to one longer passage. A repeated
+    window goes unless it is the first or overlaps the first. Overlapping spans are one.
     """
-    chunks = chunks.withColumn("big", F.expr(f"not is_first and (lines > 1 or words >= {min_words})"))
-    order = Window.partitionBy("doc_id", "row").orderBy("start")
+    chunks = chunks.withColumn("big", F.expr(f"kind = 0 and not is_first and (lines > 1 or words >= {min_words})"))
+    order = Window.partitionBy("doc_id", "row").orderBy("kind", "start", "len")
     with_before = F.expr("big_b and start_b + len_b = start and first_b <=> first_doc")
     with_after = F.expr("big_a and start + len = start_a and first_a <=> first_doc")
     for tag, shift in (("b", F.lag), ("a", F.lead)):
         for column, short in (("big", "big"), ("start", "start"), ("len", "len"), ("first_doc", "first")):
             chunks = chunks.withColumn(f"{short}_{tag}", shift(column).over(order))
-    gone = F.col("big") | (~F.col("is_first") & (F.coalesce(with_before, F.lit(False)) | F.coalesce(with_after, F.lit(False))))
-    span = F.when(gone, F.struct("start", "len"))
-    grouped = chunks.withColumn("span", span).groupBy("doc_id", "row")
-    return grouped.agg(F.sort_array(F.collect_list("span")).alias("spans"), F.count("*").alias("repeated"))
+    near = F.col("big") | (~F.col("is_first") & (F.coalesce(with_before, F.lit(False)) | F.coalesce(with_after, F.lit(False))))
+    gone = F.when(F.col("kind") == 0, near).otherwise(F.col("apart") & ~F.col("is_first"))
+    by_start = Window.partitionBy("doc_id", "row").orderBy("start", "len", "kind")
+    marked = chunks.select("doc_id", "row", "kind", "start", "len", gone.alias("gone"))
+    reach = F.max(F.expr("if(gone, start + len, null)")).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumn("opens", F.col("gone") & (F.col("start") >= F.coalesce(reach, F.lit(0))))
+    marked = marked.withColumn("island", F.sum(F.col("opens").cast("int")).over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = [F.min(F.expr("if(gone, start, null)")).alias("start"), F.max(F.expr("if(gone, start + len, null)")).alias("end")]
+    islands = marked.groupBy("doc_id", "row", "island").agg(*ends, F.expr("count_if(kind = 0)").alias("repeated"))
+    span = F.expr("if(start is null, null, struct(start, end - start as len))")
+    grouped = islands.withColumn("span", span).groupBy("doc_id", "row")
+    return grouped.agg(F.sort_array(F.collect_list("span")).alias("spans"), F.sum("repeated").alias("repeated"))
 
 
 def dedup(docs: DataFrame, divisor: int = 3) -> DataFrame:
-    """``docs`` with repeated multi-line chunks cut out of ``text``, plus ``repeated_chunks, removed_chunks, removed_chars``.
+    """``docs`` with repeated multi-line chunks and passages of 50 words cut out of ``text``, plus ``repeated_chunks, removed_chunks, removed_chars``.
 
     All columns of ``docs`` stay (names that clash with the three new ones are replaced). Every row stays: a text that
     is repeated in full becomes empty. Null and empty texts are returned as they are. Identical rows (equal doc_id and
-    text) count as one document and get the same result. Among copies the least doc_id keeps the chunk; rows with a
+    text) count as one document and get the same result. ``removed_chunks`` counts the spans that were cut out. Among copies the least doc_id keeps the chunk; rows with a
     null doc_id come last. An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("repeated_chunks", "removed_chunks", "removed_chars")]
