@@ -24,13 +24,11 @@ TRAIN_DOCS = 20_000
 #: Words are hashed to so many buckets; the model has one row per bucket at most.
 BUCKETS = 1 << 18
 SMOOTH = 0.5
-#: A word counts if its log likelihood ratio is at least this, and so many standard errors from zero. Weaker ones mostly tell
-#: the length of a text.
-STRONG = 4.0
+#: A word counts if its log likelihood ratio is so many standard errors from zero.
 SURE = 3.0
-#: Scores are counted in half steps from -SPAN to SPAN.
-SPAN = 20.0
-BINS = int(4 * SPAN) + 1
+#: Scores (over the root of the token count, as long texts hold more words of either kind) are counted in tenths from -SPAN to SPAN.
+SPAN = 10.0
+BINS = int(20 * SPAN) + 1
 #: A token is a run of letters or a run of other characters without white space.
 TOKEN = r"\\p{L}+|[^\\p{L}\\s]+"
 
@@ -52,14 +50,16 @@ def labelled_rows(labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
 
 
 def word_scores(docs: DataFrame, model: DataFrame, *keep: str) -> DataFrame:
-    """Per distinct ``keep``: the token count and the sum of the weights of its distinct words for either label."""
+    """Per distinct ``keep``: the token count and, for either label, the sum of the weights of its distinct words over the root of
+    the token count."""
     scored = words_of(docs, *keep).join(F.broadcast(model), "bucket", "left")  # at most BUCKETS rows
-    sums = [F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in FLAGS]
+    root = F.sqrt(F.greatest(F.max("tokens"), F.lit(1)))
+    sums = [(F.sum(F.coalesce(c, F.lit(0.0))) / root).alias(c) for c in FLAGS]
     return scored.groupBy(*keep).agg(F.max("tokens").alias("tokens"), *sums)
 
 
 def score_bin(c: str) -> Column:
-    return F.floor((F.greatest(F.least(F.round(F.col(c), 6), F.lit(SPAN)), F.lit(-SPAN)) + SPAN) * 2).cast("int")
+    return F.floor((F.greatest(F.least(F.round(F.col(c), 6), F.lit(SPAN)), F.lit(-SPAN)) + SPAN) * 10).cast("int")
 
 
 def rising(counts: dict[int, tuple[int, int]], base: float) -> list[float]:
@@ -97,7 +97,7 @@ def word_model(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS)
         without = (F.col("n") - F.col(c) + SMOOTH) / F.lit(seen["n"] - seen[c] + 2 * SMOOTH)
         ratio = F.log(with_label / without)
         error = F.sqrt(1 / (F.col(c) + SMOOTH) + 1 / (F.col("n") - F.col(c) + SMOOTH))
-        return F.when(F.abs(ratio) >= F.greatest(F.lit(STRONG), SURE * error), ratio).otherwise(0.0).alias(c)
+        return F.when(F.abs(ratio) >= SURE * error, ratio).otherwise(0.0).alias(c)
 
     model = counts.select("bucket", *map(weight, FLAGS)).where(" or ".join(f"{c} <> 0" for c in FLAGS))
     model = staged(model, "words")

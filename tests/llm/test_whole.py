@@ -2,7 +2,7 @@
 
 import random
 
-from barloom.llm import line_chunks
+from barloom.llm import line_chunks, mixing
 
 
 def words(rng, n):
@@ -38,3 +38,18 @@ def test_line_dedup_keeps_one_copy_of_a_period(spark):
     text = "".join(f"{k} {line}" for k in range(5)) * 3
     kept = line_chunks.dedup(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first().text
     assert kept == text[: len(text) // 3]
+
+
+def test_mixing_hears_weak_words(spark):
+    rng = random.Random(2)
+    docs, labels = [], []
+    for i in range(2000):
+        good = i % 2
+        hint = "weak " if rng.random() < (0.3 if good else 0.7) else ""  # a likelihood ratio of 2.3
+        docs.append((i, hint + words(rng, 3)))
+        labels.append((i, good, 0))
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model, chances = mixing.word_model(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    got = mixing.posteriors(docs, model, chances).join(docs, "doc_id").selectExpr("text like 'weak%' weak", "p_poor").groupBy("weak").avg("p_poor")
+    poor = {r.weak: r["avg(p_poor)"] for r in got.collect()}
+    assert abs(poor[True] - 0.7) < 0.06 and abs(poor[False] - 0.3) < 0.06
