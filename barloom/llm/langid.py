@@ -20,9 +20,9 @@ WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 #: Training documents per language, about (a hash threshold); the model's only sample.
 TRAIN_DOCS = 4_000
-#: Words, and n-grams of each order, that the model holds at most, shared evenly by the languages.
-MODEL_WORDS = 60_000
-MODEL_GRAMS = 40_000
+#: Words, and n-grams of each order, that every language brings into the model.
+MODEL_WORDS = 30_000
+MODEL_GRAMS = 20_000
 LONGEST = 48  # longer words are scored by their n-grams only
 UNDEFINED = "und"
 
@@ -90,13 +90,14 @@ class _Seen(dict):
 class Model:
     """Log frequencies per language: one row of ``weights`` per known term of each kind."""
 
-    def __init__(self, langs: list[str], counted: dict[int, dict[str, list[int]]], smooth: float = 0.5):
-        """``counted``: per kind and term the counts in the order of ``langs``."""
+    def __init__(self, langs: list[str], counted: dict[int, dict[str, list[int]] | tuple[list[str], np.ndarray]], smooth: float = 0.5):
+        """``counted``: per kind and term the counts in the order of ``langs``, as a dict or as terms and a table."""
         self.langs = langs
         self.rows: dict[int, dict[str, int]] = {}
         self.weights: dict[int, np.ndarray] = {}
         for kind, terms in counted.items():
-            table = np.array(list(terms.values()), float)
+            terms, table = terms if isinstance(terms, tuple) else (terms, list(terms.values()))
+            table = np.asarray(table, float)
             self.rows[kind] = {t: k for k, t in enumerate(terms)}
             self.weights[kind] = np.log((table + smooth) / (table.sum(0) + smooth * len(table))).astype(np.float32)
         self.seen = _Seen(self)
@@ -131,16 +132,20 @@ class Model:
 
 
 def fit(docs: DataFrame, per_language: int = TRAIN_DOCS, words: int = MODEL_WORDS, n_grams: int = MODEL_GRAMS) -> Model:
-    """Learn from ``text`` and ``lang``; what reaches the driver is bounded by the term limits, however many languages there are."""
+    """Learn from ``text`` and ``lang``: the most frequent terms of every language, with their counts in all languages.
+
+    What reaches the driver is bounded by the term limits times the number of languages.
+    """
     counts = staged(term_counts(training_rows(docs, per_language)), "terms")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    share = max(len(langs), 1)
+    if not langs:
+        return Model([], {})
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "term"))
-    held = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == 0, max(words // share, 1)).otherwise(max(n_grams // share, 1)))
-    counted: dict[int, dict[str, list[int]]] = {}
-    for lang, kind, term, n in held.select("lang", "kind", "term", "n").orderBy("kind", "term", "lang").toLocalIterator():
-        counted.setdefault(kind, {}).setdefault(term, [0] * len(langs))[langs.index(lang)] = n
-    return Model(langs, counted)
+    kept = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == 0, words).otherwise(n_grams)).select("kind", "term").distinct()
+    by_lang = F.array(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in langs])
+    got = counts.join(kept, ["kind", "term"], "left_semi").groupBy("kind", "term").agg(by_lang.alias("n")).toArrow()
+    kinds, names, table = got["kind"].to_numpy(), got["term"], got["n"].combine_chunks().flatten().to_numpy().reshape(-1, max(len(langs), 1))
+    return Model(langs, {k: (names.filter(kinds == k).to_pylist(), table[kinds == k]) for k in sorted(set(kinds.tolist()))})
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

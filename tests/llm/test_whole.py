@@ -1,8 +1,9 @@
 """Cases that a shortened version of a text operator misses."""
 
 import random
+import zlib
 
-from barloom.llm import line_chunks, mixing
+from barloom.llm import langid, line_chunks, mixing
 
 
 def words(rng, n):
@@ -53,3 +54,14 @@ def test_mixing_hears_weak_words(spark):
     got = mixing.posteriors(docs, model, chances).join(docs, "doc_id").selectExpr("text like 'weak%' weak", "p_poor").groupBy("weak").avg("p_poor")
     poor = {r.weak: r["avg(p_poor)"] for r in got.collect()}
     assert abs(poor[True] - 0.7) < 0.06 and abs(poor[False] - 0.3) < 0.06
+
+
+def test_language_model_has_all_counts_of_kept_terms(spark):
+    rows = [(i, "ja ja ja nein" if i % 2 else "oui oui oui non non ja", "de" if i % 2 else "fr") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    seen = [r[1:] for r in rows if not zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    model = langid.fit(docs, words=1)
+    want = [[sum(t.split().count(w) for t, x in seen if x == lang) for lang in ("de", "fr")] for w in ("ja", "oui")]
+    both = langid.Model(["de", "fr"], {0: dict(zip(("ja", "oui"), want))})
+    assert set(model.rows[0]) == {"ja", "oui"} and all((model.word(w) == both.word(w)).all() for w in ("ja", "oui"))
+    assert want[0][1] > 0 and set(langid.fit(docs, words=2).rows[0]) == {"ja", "nein", "oui", "non"}
