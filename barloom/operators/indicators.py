@@ -60,7 +60,7 @@ def ema_part(x: str, n: int, name: str, start: int = 0) -> Recurrence:
 
 
 def ema(x: str, n: int, name: str) -> Step:
-    return Step(lambda tl: sweep(tl, [ema_part(x, n, name)]), watch=(x,))
+    return Step(lambda tl: sweep(tl, [ema_part(x, n, name)]), watch=(x,), unbounded=True)
 
 
 def warm_mean(x: str, n: int, name: str) -> Step:
@@ -87,7 +87,7 @@ RSI_SCRATCH = ("_move", "_gain", "_loss")
 
 
 def rsi(x: str, n: int, name: str) -> Step:
-    return Step(lambda tl: sweep(tl, [rsi_part(x, n, name)])._drop(*RSI_SCRATCH), back=1, watch=(x,))
+    return Step(lambda tl: sweep(tl, [rsi_part(x, n, name)])._drop(*RSI_SCRATCH), back=1, watch=(x,), unbounded=True)
 
 
 def macd(x: str = "price", fast: int = 12, slow: int = 26, signal: int = 9) -> Step:
@@ -97,7 +97,7 @@ def macd(x: str = "price", fast: int = 12, slow: int = 26, signal: int = 9) -> S
         tl = sweep(tl, [ema_part("macd", signal, "macd_signal", max(fast, slow) - 1)])
         return tl.add({"macd_hist": F.col("macd") - F.col("macd_signal")})._drop("_fast", "_slow")
 
-    return Step(run, watch=(x,))
+    return Step(run, watch=(x,), unbounded=True)
 
 
 def _stochastic(tl: Timeline, x: str, n: int, k: int, d: int) -> Timeline:
@@ -112,7 +112,7 @@ def stoch_rsi(x: str = "price", n: int = 14, k: int = 3, d: int = 3) -> Step:
         tl = sweep(tl, [rsi_part(x, n, "_rsi")])._drop(*RSI_SCRATCH)
         return _stochastic(tl, "_rsi", n, k, d)._drop("_rsi")
 
-    return Step(run, back=1 + n + k + d, watch=(x,))
+    return Step(run, back=1 + n + k + d, watch=(x,), unbounded=True)
 
 
 # -- ranges, bands, channels -----------------------------------------------------------------------
@@ -133,7 +133,7 @@ def atr_part(n: int, name: str, close: str = "price", min_rows: int | None = Non
 
 
 def atr(n: int, name: str, close: str = "price", min_rows: int | None = None) -> Step:
-    return Step(lambda tl: sweep(tl, [atr_part(n, name, close, min_rows)])._drop("_tr"), back=1, watch=(close, "high", "low"))
+    return Step(lambda tl: sweep(tl, [atr_part(n, name, close, min_rows)])._drop("_tr"), back=1, watch=(close, "high", "low"), unbounded=True)
 
 
 def bollinger(x: str = "price", n: int = 20, k: float = 2.0) -> Step:
@@ -157,7 +157,7 @@ def keltner(n: int = 20, atr_n: int = 14, k: float = 1.5) -> Step:
         tl = sweep(tl, [ema_part("price", n, "kc_mid"), atr_part(atr_n, "_atr")])
         return _channels(tl, "_atr", k)._drop("_tr", "_atr")
 
-    return Step(run, back=1, watch=("price", "high", "low"))
+    return Step(run, back=1, watch=("price", "high", "low"), unbounded=True)
 
 
 def parkinson(n: int = 20, name: str = "parkinson_vol") -> Step:
@@ -215,7 +215,7 @@ def adx(n: int = 14) -> Step:
         tl = sweep(_directions(tl, "_atr"), [strength_part(n)])
         return tl._drop(*MOVEMENT_SCRATCH, "_atr")
 
-    return Step(run, back=1, watch=("price", "high", "low"))
+    return Step(run, back=1, watch=("price", "high", "low"), unbounded=True)
 
 
 # -- volume ----------------------------------------------------------------------------------------
@@ -339,7 +339,7 @@ def kalman_part(x: str = "price", noise: float = 0.01) -> Recurrence:
 
 def kalman(x: str = "price", noise: float = 0.01) -> Step:
     """Filtered price and its ratio: gains depend on the row number only, so the filter is a linear recurrence."""
-    return Step(lambda tl: sweep(tl, [kalman_part(x, noise)])._drop("_k_gain"))
+    return Step(lambda tl: sweep(tl, [kalman_part(x, noise)])._drop("_k_gain"), unbounded=True)
 
 
 def histogram_entropy(tl: Timeline, bag: str, n: int, bins: int, name: str, normalize: bool = False) -> Timeline:
@@ -423,7 +423,7 @@ def indicator_frame(stochastic: bool = True) -> Step:
         tl = tl.add({"macd_hist": F.col("macd") - F.col("macd_signal")})._drop(*RSI_SCRATCH, *MOVEMENT_SCRATCH, "_k_gain")
         return _stochastic(tl, "rsi_14", 14, 3, 3) if stochastic else tl
 
-    return Step(run, back=60, watch=("price", "high", "low"))
+    return Step(run, back=60, watch=("price", "high", "low"), unbounded=True)
 
 
 def with_indicators(df: DataFrame, stochastic: bool = True, keys=SERIES, order=TICK_ORDER, drop_incomplete: bool = True) -> DataFrame:

@@ -21,6 +21,7 @@ class Step:
     back: int = 0
     ahead: int = 0
     watch: tuple[str, ...] = ()  # columns of the input that exponential means read
+    unbounded: bool = False  # a recurrence: every row depends on all rows before it
 
 
 def on_series(

@@ -22,8 +22,11 @@ def with_history(spark: SparkSession, steps: Sequence[Step], folder: str, keys:
 
     The last rows each key needs for the steps' reach are kept between micro-batches, so a batch is the stored
     tail plus the new rows; the steps split a hot key like in batch work.  Outputs and tails are written per
-    batch id, so a repeated batch replaces its own output.
+    batch id, so a repeated batch replaces its own output. Recurrences reach back to the first row and are refused;
+    ``stream_recurrences`` keeps their state.
     """
+    if any(s.unbounded for s in steps):
+        raise ValueError("recurrences have no bounded history; use stream_recurrences")
     back = max(s.back for s in steps)
     newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
 
