@@ -222,6 +222,8 @@ def passes(benchmark: DataFrame, per_pass: int = ITEMS_PER_PASS, **settings):
 def matches(docs: DataFrame, benchmark: DataFrame, per_pass: int = ITEMS_PER_PASS, **settings) -> DataFrame:
     """``doc_id, item_id, start_word, n_words, similarity`` for every document and item it holds (the best window).
 
+    An item of one to four words is one shingle of that size and matches only a text of as many words, never inside a longer one.
+
     Items or texts that are null or have no word match nothing. Items with a null id are matched with a null id. Texts
     shorter than an item are compared as a whole. Repeated rows of ``docs`` repeat their matches. Empty tables give an
     empty result; other columns are not read. Ties between windows go to the first.
