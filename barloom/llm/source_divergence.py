@@ -14,57 +14,63 @@ so no task holds a language.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import read_table, staged
 from barloom.session import small_side
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = {k: k + 32 for k in range(65, 91)}
+#: Bytes of terms, A-Z as a-z; all others are a space.
+TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: A sum counts occurrences in its lower bits and documents above them.
+SHIFT = 40
+ONE_DOC = 1 << SHIFT
 SCALE = 1_000_000_000
 MIN_DOCS = 30
 TOP = 50
 BLOCK_POSTINGS = 1 << 14
 #: Sums that one task makes at once; more sources are cut into slices.
 SLICE = 1 << 22
-HELD_TERMS = 400_000
+HELD_TERMS = 1_000_000
 
 
 def term_counts(docs: DataFrame, held: int = HELD_TERMS) -> DataFrame:
     """``lang, source, term, n, docs``: occurrences and documents of every term, summed within a task already.
 
-    A task holds ``held`` sums at most; then it gives them out and starts anew, so a key may come more than once.
+    A task holds ``held`` sums at most (and a text more); then it gives them out and starts anew, so a key may come more than
+    once. Terms are cut out of the UTF-8 bytes: all bytes of other characters than ASCII belong to terms.
     """
+    names = ["lang", "source", "term", "n", "docs"]
 
-    def give(sums: dict) -> pd.DataFrame:
-        keys = list(sums)
-        frame = pd.DataFrame(keys, columns=["lang", "source", "term"])
-        return frame.assign(n=[sums[k][0] for k in keys], docs=[sums[k][1] for k in keys])
+    def give(sums: dict):
+        for (lang, source), own in sums.items():
+            both = np.fromiter(own.values(), np.int64, len(own))
+            whole = [pa.array([x]).take(pa.array(np.zeros(len(own), np.int8))) for x in (lang, source)]
+            terms = pa.array(own.keys(), pa.binary()).cast(pa.string())
+            columns = [*whole, terms, pa.array(both & (ONE_DOC - 1)), pa.array(both >> SHIFT)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches):
-        sums: dict = {}
+        sums, n = defaultdict(dict), 0
         for b in batches:
-            for lang, source, text in zip(b["lang"], b["source"], b["text"]):
-                for term, n in Counter(TERM.findall(text.translate(LOWER) if not text.isascii() else text.lower())).items():
-                    key = lang, source, term
-                    if key in sums:
-                        sums[key][0] += n
-                        sums[key][1] += 1
-                    else:
-                        sums[key] = [n, 1]
-                if len(sums) >= held:
-                    yield give(sums)
-                    sums = {}
-        if sums:
-            yield give(sums)
-
-    return docs.mapInPandas(run, "lang string, source string, term string, n bigint, docs bigint")
+            for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
+                own = sums[lang, source]
+                n -= len(own)
+                get = own.get
+                for term, k in Counter(text.encode().translate(TERM_BYTES).split()).items():
+                    own[term] = get(term, 0) + k + ONE_DOC
+                n += len(own)
+                if n >= held:
+                    yield from give(sums)
+                    sums, n = defaultdict(dict), 0
+        yield from give({k: own for k, own in sums.items() if own})
+
+    return docs.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
 
 
 def _rate(count: Column, total: Column, terms: Column) -> Column:
