@@ -51,14 +51,14 @@ def day_table(t) -> str:
     return path
 
 
-@query("src_03", sql(f"{BARS}, final AS (SELECT *, {SECONDS} AS at FROM bars WHERE session_date = DATE '2024-01-15')", "symbol, seq, at", "close volume"))
+@query("src_03", sql(f"{BARS}, final AS (SELECT *, {SECONDS} AS stamp FROM bars WHERE session_date = DATE '2024-01-15')", "symbol, seq, stamp", "close volume"))
 def _one_day(t):
     """All bars as CSV files sorted by time, of which the scan reads one day's bytes."""
     path = fresh(t, "sorted-csv")
     cells = [F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "symbol", "seq", "close", "volume"]
     t.bars().orderBy("ts", "seq").select(*cells).write.option("header", True).csv(path)
     day = sorted_csv.read_day_csv(t.spark, path, "2024-01-15", ["close", "volume"], ["symbol", "seq"])
-    return day.select("symbol", F.col("seq").cast("long").alias("seq"), F.col("ts").alias("at"), "close", "volume")
+    return day.select("symbol", F.col("seq").cast("long").alias("seq"), F.col("ts").alias("stamp"), "close", "volume")
 
 
 @query(

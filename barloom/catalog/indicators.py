@@ -223,17 +223,18 @@ register(
     f"final AS (SELECT symbol, seq, (volume - ({full('avg', 'volume', 20)})) / (({full('stddev_samp', 'volume', 20)}) + 1e-12) AS vol_z_20 FROM ticks)",
 )
 
-register(
-    "win_20",
-    lambda: [ind.kalman()],
-    "kalman_price price_kalman_ratio",
-    f"""k AS (SELECT symbol, unnest(ids) AS seq, unnest(list_transform(ys, lambda s: s[1])) AS kalman_price FROM (
+KALMAN = """k AS (SELECT symbol, unnest(ids) AS seq, unnest(list_transform(ys, lambda s: s[1])) AS kalman_price FROM (
   SELECT symbol, list(seq ORDER BY ts, seq) AS ids,
     list_reduce(list_transform(list(price ORDER BY ts, seq), lambda x: [[x, 1e0]]),
       lambda acc, v: list_append(acc, [
         acc[-1][1] + (acc[-1][2] + 1e-4) / (acc[-1][2] + 1e-4 + 1e-2) * (v[1][1] - acc[-1][1]),
         (1 - (acc[-1][2] + 1e-4) / (acc[-1][2] + 1e-4 + 1e-2)) * (acc[-1][2] + 1e-4)])) AS ys
-  FROM ticks GROUP BY symbol)),
+  FROM ticks GROUP BY symbol))"""
+register(
+    "win_20",
+    lambda: [ind.kalman()],
+    "kalman_price price_kalman_ratio",
+    f"""{KALMAN},
 final AS (SELECT k.symbol, k.seq, kalman_price, price / (kalman_price + 1e-12) AS price_kalman_ratio
   FROM k JOIN ticks USING (symbol, seq))""",
 )

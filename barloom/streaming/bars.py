@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the tick operators: bars, first ticks, stale feeds."""
+"""Structured Streaming forms of the tick operators: bars and first ticks."""
 
 from __future__ import annotations
 
@@ -42,13 +42,6 @@ def stream_first(ticks: DataFrame, delay: str = "2 minutes", keys: Sequence[str]
     return event_time(ticks, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_stale(ticks: DataFrame, silence: str = "5 minutes", delay: str = "2 minutes", keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """One row per silence: a run of trades ends when none follows for ``silence``; its end is when the feed turned stale."""
-    traded = event_time(ticks.where("volume > 0"), delay)
-    runs = traded.groupBy(*keys, F.session_window("ts", silence).alias("_run")).agg(F.count(F.lit(1)).alias("trades"))
-    return runs.select(*keys, F.col("_run.start").alias("active_from"), F.col("_run.end").alias("stale_since"), "trades")
-
-
 def drain(stream: DataFrame, folder: str, mode: str = "append"):
     """Process what is there, write it below ``folder``, stop; returns the finished query."""
     query = (

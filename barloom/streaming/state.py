@@ -1,17 +1,13 @@
-"""Keyed state across micro-batches: sliding buffers and running recurrences."""
+"""Batch steps over a stream: the last rows of each key are kept between micro-batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barloom.operators.indicators import kalman_gains, span_alpha
 from barloom.plans.steps import SERIES, TICK_ORDER, Step, on_series
 
 # -- buffers ---------------------------------------------------------------------------------------
@@ -23,10 +19,11 @@ def with_history(spark: SparkSession, steps: Sequence[Step], folder: str, keys:
     The last rows each key needs for the steps' reach are kept between micro-batches, so a batch is the stored
     tail plus the new rows; the steps split a hot key like in batch work.  Outputs and tails are written per
     batch id, so a repeated batch replaces its own output. Recurrences reach back to the first row and are refused;
-    ``stream_recurrences`` keeps their state.
+    ``ordered.stream_recurrences`` keeps their state. Rows are taken in the order of their micro-batches: a feed whose rows come
+    late needs ``ordered.stream_scores``.
     """
     if any(s.unbounded for s in steps):
-        raise ValueError("recurrences have no bounded history; use stream_recurrences")
+        raise ValueError("recurrences have no bounded history; use ordered.stream_recurrences")
     back = max(s.back for s in steps)
     newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
 
@@ -62,65 +59,3 @@ def run_steps(stream: DataFrame, steps: Sequence[Step], folder: str, **kw):
     )
     query.awaitTermination()
     return query
-
-
-# -- recurrences -----------------------------------------------------------------------------------
-
-STATE = T.StructType(
-    [T.StructField("rows", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in ("price", "ema", "up", "down", "kalman")]
-)
-RESULT = "symbol string, ts timestamp, seq long, ema double, rsi double, kalman_price double"
-
-
-def _continue(first: float | None, x: np.ndarray, alpha: float) -> np.ndarray:
-    """Exponential mean of ``x`` that goes on from ``first`` (or starts with x[0])."""
-    if not len(x):
-        return x
-    series = np.concatenate([[first], x]) if first is not None else x
-    out = pd.Series(series).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-    return out[1:] if first is not None else out
-
-
-def stream_recurrences(ticks: DataFrame, span: int = 12, rsi: int = 14) -> DataFrame:
-    """EMA, RSI and filtered price whose last values are the state of each symbol.
-
-    A micro-batch of one symbol is sorted in memory, so the trigger's limits bound it.
-    """
-    gains = np.array(kalman_gains())
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["ts", "seq"], ignore_index=True)
-        n0, price, ema, up, down, kal = state.get if state.exists else (0, None, None, None, None, None)
-        x = pdf["price"].to_numpy(dtype="float64")
-        pos = n0 + np.arange(len(x))
-        emas = _continue(ema, x, span_alpha(span))
-        moves = np.diff(x, prepend=x[0] if price is None else price)
-        fresh = price is None
-        ups, downs = np.maximum(moves, 0.0), np.maximum(-moves, 0.0)
-        gain = _continue(up, ups[1:] if fresh else ups, 1.0 / rsi)
-        loss = _continue(down, downs[1:] if fresh else downs, 1.0 / rsi)
-        if fresh:
-            gain, loss = np.concatenate([[np.nan], gain]), np.concatenate([[np.nan], loss])
-        strength = 100.0 - 100.0 / (1.0 + gain / (loss + 1e-12))
-        filtered, last = np.empty(len(x)), 0.0 if kal is None else kal
-        warm = int(np.clip(len(gains) - n0, 0, len(x)))
-        for i in range(warm):
-            last += gains[n0 + i] * (x[i] - last)
-            filtered[i] = last
-        if warm < len(x):
-            filtered[warm:] = _continue(last, x[warm:], gains[-1])
-        known = lambda v: None if np.isnan(v) else float(v)
-        state.update((int(n0 + len(x)), float(x[-1]), float(emas[-1]), known(gain[-1]), known(loss[-1]), float(filtered[-1])))
-        yield pd.DataFrame(
-            {
-                "symbol": key[0],
-                "ts": pdf["ts"],
-                "seq": pdf["seq"],
-                "ema": np.where(pos >= span - 1, emas, np.nan),
-                "rsi": np.where(pos >= rsi, strength, np.nan),
-                "kalman_price": filtered,
-            }
-        )
-
-    rows = ticks.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "seq", "price")
-    return rows.groupBy("symbol").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)

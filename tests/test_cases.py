@@ -14,7 +14,7 @@ from barloom.operators import evaluate as ev
 from barloom.operators import session_features as sf
 from barloom.plans.steps import on_series
 from barloom.sources import payloads, readers, sinks
-from barloom.streaming import state
+from barloom.streaming import ordered, state
 
 
 def preds(spark, y, p):
@@ -379,21 +379,28 @@ def two_batches(spark, folder, rows=120):
     return pdf, df.schema
 
 
+def add_heartbeat(spark, folder, schema):
+    """A later row that moves the watermark past all others."""
+    spark.createDataFrame([("heartbeat", pd.Timestamp("2024-01-03").to_pydatetime(), -1, None)], schema).coalesce(1).write.mode("append").parquet(folder)
+
+
 def test_state_continues_over_micro_batches(spark, tmp_path):
     from barloom.operators import indicators as ind
     from barloom.streaming import bars
 
     pdf, schema = two_batches(spark, str(tmp_path / "in"))
+    add_heartbeat(spark, str(tmp_path / "in"), schema)
     stream = bars.tick_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1)
-    q = bars.drain(state.stream_recurrences(stream), str(tmp_path / "rec"))
-    assert len([p for p in q.recentProgress if p["numInputRows"]]) == 2
+    q = bars.drain(ordered.stream_recurrences(stream), str(tmp_path / "rec"))
+    assert len([p for p in q.recentProgress if p["numInputRows"]]) == 3
     got = spark.read.parquet(str(tmp_path / "rec/rows")).toPandas().sort_values("seq").set_index("seq")
     batch = on_series(spark.createDataFrame(pdf), [ind.ema("price", 12, "ema"), ind.rsi("price", 14, "rsi"), ind.kalman()])
     want = batch.toPandas().set_index("seq").sort_index()
     for c in ("ema", "rsi", "kalman_price"):
         assert np.allclose(got[c].astype(float), want[c].astype(float), equal_nan=True), c
 
-    stream = bars.tick_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1)
+    two_batches(spark, str(tmp_path / "plain"))
+    stream = bars.tick_stream(spark, str(tmp_path / "plain"), schema, files_per_batch=1)
     state.run_steps(stream, [state.stream_buffer("price", 10)], str(tmp_path / "buf"))
     got = spark.read.parquet(str(tmp_path / "buf/rows")).toPandas().set_index("seq").sort_index()
     want = pdf.groupby("symbol").price.transform(lambda s: s.rolling(10).mean())
