@@ -17,17 +17,25 @@ from barloom.session import max_group_rows, small_side
 
 
 def rolling_apply(x: str, n: int, fn: Callable[[np.ndarray], float], name: str) -> Step:
-    """``fn`` over the last ``n`` values; the windows are bounded arrays sent in Arrow batches."""
+    """``fn`` over the last ``n`` values, null until there are as many and where one of them is null.
 
-    @F.pandas_udf(T.DoubleType())
-    def call(windows: pd.Series) -> pd.Series:
-        return pd.Series([fn(np.asarray(w, dtype="float64")) if w is not None else None for w in windows], dtype="float64")
+    A task gets a chunk once and slides a view over it: a value goes to Python once, not once per window.
+    """
 
     def run(tl: Timeline) -> Timeline:
-        bag = F.collect_list(F.col(x)).over(tl.over(-(n - 1), 0))
-        tl = tl.add({"_bag": bag})
-        tl = tl.add({"_bag": F.when(F.size("_bag") == n, F.col("_bag"))})
-        return tl.add({name: call(F.col("_bag"))})._drop("_bag")
+        schema = T.StructType([*tl.df.schema.fields, T.StructField(name, T.DoubleType())])
+
+        def call(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_pos", ignore_index=True)
+            values = pdf[x].to_numpy("float64")
+            out = np.full(len(values), np.nan)
+            if len(values) >= n:
+                windows = np.lib.stride_tricks.sliding_window_view(values, n)
+                whole = np.flatnonzero(~np.isnan(windows).any(axis=1))
+                out[whole + n - 1] = [fn(windows[k]) for k in whole]
+            return pdf.assign(**{name: out})
+
+        return tl.mapped(call, schema).add({name: F.nanvl(name, F.lit(None).cast("double"))})
 
     return Step(run, back=n)
 
@@ -65,7 +73,17 @@ def session_apply(
     return df.groupBy(*keys).applyInPandas(call, schema)
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    """Standard normal distribution function (Spark SQL has no error function); meant for aggregated rows."""
-    return x.map(lambda v: None if v is None else 0.5 * (1.0 + math.erf(v / math.sqrt(2.0)))).astype("float64")
+def normal_cdf(x: Column) -> Column:
+    """Standard normal distribution function (Spark SQL has no error function): a series near zero, a continued fraction beyond."""
+    a = F.abs(x)
+    density = F.exp(-a * a / 2.0) / F.lit(math.sqrt(2.0 * math.pi))
+    start = F.struct(a.alias("term"), a.alias("sum"))
+
+    def grow(s: Column, k: Column) -> Column:
+        term = s["term"] * a * a / (2.0 * k + 1.0)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    body = density * F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, grow)["sum"]
+    beyond = F.aggregate(F.sequence(F.lit(100), F.lit(1)), a, lambda acc, k: a + k / acc)
+    tail = F.when(a < 1.5, 0.5 - body).otherwise(density / beyond)
+    return F.when(x < 0, tail).otherwise(1.0 - tail)

@@ -157,7 +157,8 @@ def action_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:
     """Price and volume factors per span of dates.
 
     Splits scale everything before their ex-date.  A dividend scales it by (close - dividend) / close, with
-    the last close before the ex-date as adjusted by the events handled so far.
+    the last close before the ex-date as adjusted by the events handled so far.  Products over events are running
+    sums, so a symbol may have any number of events.
     """
     spans = _action_spans(actions)
     last = (
@@ -172,47 +173,30 @@ def action_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:
         order=("event_no",),
         running={"_prior": ("last", F.col("_seen"))},
     )
-    row = F.struct(
-        "event_no",
-        "ex_date",
-        "span_from",
-        F.when((F.col("split_ratio") > 0) & (F.col("split_ratio") != 1.0), F.col("split_ratio")).alias("split"),
-        F.when(F.col("dividend_amount") > 0, F.col("dividend_amount")).alias("dividend"),
-        F.col("_prior.session_date").alias("seen_on"),
-        F.col("_prior.close").alias("seen_px"),
-    )
-    listed = events.groupBy("symbol").agg(F.array_sort(F.collect_list(row)).alias("_ev"))
-    start = F.array().cast("array<struct<ex_date:date,span_from:date,px:double,vol:double>>")
-
-    def fold(done: Column, e: Column) -> Column:
-        own = F.coalesce(F.lit(1.0) / e["split"], F.lit(1.0))
-        earlier = F.aggregate(
-            done, F.lit(1.0), lambda acc, d: acc * F.when(d["ex_date"] > e["seen_on"], d["px"]).otherwise(F.lit(1.0))
-        )
-        px = e["seen_px"] * own * earlier
-        cut = F.when((px > 0) & e["dividend"].isNotNull(), (px - e["dividend"]) / px).otherwise(F.lit(1.0))
-        item = F.struct(
-            e["ex_date"].alias("ex_date"),
-            e["span_from"].alias("span_from"),
-            (own * cut).alias("px"),
-            F.coalesce(e["split"], F.lit(1.0)).alias("vol"),
-        )
-        return F.concat(done, F.array(item))
-
-    folded = listed.select("symbol", F.aggregate("_ev", start, fold).alias("_f"))
-
-    def tail(field: str) -> Column:
-        return F.aggregate(
-            F.filter("_f", lambda d: d["ex_date"] >= F.col("_e.ex_date")), F.lit(1.0), lambda acc, d: acc * d[field]
-        )
-
-    return folded.select("symbol", "_f", F.explode("_f").alias("_e")).select(
-        "symbol",
-        F.col("_e.ex_date").alias("ex_date"),
-        F.col("_e.span_from").alias("span_from"),
-        tail("px").alias("px_factor"),
-        tail("vol").alias("vol_factor"),
-    )
+    own = F.coalesce(1.0 / F.when((F.col("split_ratio") > 0) & (F.col("split_ratio") != 1.0), F.col("split_ratio")), F.lit(1.0))
+    paid = F.when(F.col("dividend_amount") > 0, F.col("dividend_amount"))
+    events = events.select("symbol", "event_no", "ex_date", "span_from", own.alias("_own"), paid.alias("_paid"), "_prior.session_date", "_prior.close")
+    # Events without a close between them share the close before: with A the close as adjusted so far, each turns A into
+    # own * A - dividend. Divided by the running product of ``own`` that is a running sum.
+    events = on_series(events, [], ("symbol", "session_date"), ("event_no",), running={"_ln": ("sum", F.ln("_own"))})
+    events = events.withColumn("_term", F.coalesce(F.col("_paid") * F.exp(-F.col("_ln")), F.lit(0.0)))
+    events = on_series(events, [], ("symbol", "session_date"), ("event_no",), running={"_terms": ("sum", F.col("_term"))})
+    left = F.col("close") - (F.col("_terms") - F.col("_term"))
+    px = left * F.exp("_ln")
+    cut = F.when((left > 0) & F.col("_paid").isNotNull(), (px - F.col("_paid")) / px).otherwise(F.lit(1.0))
+    events = events.select("symbol", "event_no", "ex_date", "span_from", (F.col("_own") * cut).alias("_px"), (-F.ln("_own")).alias("_ln_vol"))
+    # A span's factor is the product over this event and all later ones.
+    size = F.when(F.col("_px") != 0, F.ln(F.abs("_px")))
+    later = {
+        "_ln": ("sum", size),
+        "_none": ("sum", (F.col("_px") == 0).cast("long")),
+        "_minus": ("sum", (F.col("_px") < 0).cast("long")),
+        "_vol": ("sum", F.col("_ln_vol")),
+    }
+    tails = on_series(events.withColumn("_back", -F.col("event_no")), [], order=("_back",), running=later)
+    sign = F.when(F.col("_minus") % 2 == 1, -1.0).otherwise(1.0)
+    factor = F.when(F.col("_none") > 0, 0.0).otherwise(sign * F.exp(F.coalesce("_ln", F.lit(0.0))))
+    return tails.select("symbol", "ex_date", "span_from", factor.alias("px_factor"), F.exp("_vol").alias("vol_factor"))
 
 
 def adjust_actions(bars: DataFrame, actions: DataFrame) -> DataFrame:

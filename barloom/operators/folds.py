@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -142,33 +143,29 @@ def totals(df: DataFrame) -> DataFrame:
 
 
 def purged(df: DataFrame, folds: int = 5, embargo_minutes: int = EMBARGO_MINUTES, idx: str = "idx", ts: str = "ts", bar: str = "bar_index") -> DataFrame:
-    """Expanding train, then a validation part that starts after an embargo and, if it can, at a session open."""
-    n = F.col("total")
+    """Expanding train, then a validation part that starts after an embargo and, if it can, at a session open.
+
+    The bounds of all folds are columns of one-row tables, so a row's folds follow from its own number and time.
+    """
+    i, at, n = F.col(idx), F.col(ts), F.col("_n")
     size = F.floor(n / (folds + 1))
-    table = totals(df).select(
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1).cast("long"), F.lit(folds).cast("long")),
-                lambda k: F.struct(
-                    k.alias("fold"),
-                    F.lit(0).cast("long").alias("train_from"),
-                    (n - (folds + 1 - k) * size).alias("train_to"),
-                    (n - (folds + 1 - k) * size).alias("val_from"),
-                    (n - (folds - k) * size).alias("val_to"),
-                ),
-            )
-        ).alias("_f")
-    ).select("_f.*")
-    rows = assign(df, table, idx)
-    # Bounds per fold: the last train time, then the first session open after the embargo.
-    ends = rows.where("role = 'train'").groupBy("fold").agg(F.max(ts).alias("_end"))
-    ends = ends.select("fold", (F.col("_end") + F.expr(f"INTERVAL {embargo_minutes} MINUTES")).alias("_embargo"))
-    val = rows.where("role = 'val'").join(F.broadcast(ends), "fold").where(F.col(ts) >= F.col("_embargo"))
-    opens = val.groupBy("fold").agg(F.min(F.when(F.col(bar) == 0, F.col(ts))).alias("_open"))
-    val = val.join(F.broadcast(opens), "fold").where(F.col("_open").isNull() | (F.col(ts) >= F.col("_open")))
-    kept = opens.select("fold")
-    train = rows.where("role = 'train'").join(F.broadcast(kept), "fold", "left_semi")
-    return train.unionByName(val.select(*train.columns))
+    ks = range(1, folds + 1)
+    start, stop = {k: n - (folds + 1 - k) * size for k in ks}, {k: n - (folds - k) * size for k in ks}
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    # the last train time of each fold, then its first session open after the embargo
+    ends = df.crossJoin(F.broadcast(total)).agg(F.max("_n").alias("_n"), *[F.max(F.when(i < start[k], at)).alias(f"_end{k}") for k in ks])
+    embargo = F.expr(f"INTERVAL {embargo_minutes} MINUTES")
+    after = {k: (i >= start[k]) & (i < stop[k]) & (at >= F.col(f"_end{k}") + embargo) for k in ks}
+    bounds = [F.max("_n").alias("_n"), *[F.max(f"_end{k}").alias(f"_end{k}") for k in ks]]
+    opens = [x for k in ks for x in (F.min(F.when(after[k] & (F.col(bar) == 0), at)).alias(f"_open{k}"), F.max(after[k]).alias(f"_used{k}"))]
+    table = df.crossJoin(F.broadcast(ends)).agg(*bounds, *opens)
+    roles = {
+        k: F.when(F.col(f"_used{k}") & (i < start[k]), "train").when(after[k] & (F.col(f"_open{k}").isNull() | (at >= F.col(f"_open{k}"))), "val")
+        for k in ks
+    }
+    cells = F.array(*[F.struct(F.lit(k).cast("long").alias("fold"), role.alias("role")) for k, role in roles.items()])
+    out = df.crossJoin(F.broadcast(table)).select(*df.columns, F.inline(F.filter(cells, lambda c: c["role"].isNotNull())))
+    return out
 
 
 # -- combinatorial groups --------------------------------------------------------------------------
@@ -202,16 +199,17 @@ def group_edge(g: Column, total: Column, groups: int) -> Column:
 
 def test_membership(df: DataFrame, groups: int = 16, test_groups: int = 8, limit: int = 200, seed: int = 42, trim: int = 45, idx: str = "idx") -> DataFrame:
     """Group of each row, and how many test sets keep the row: a group's border is trimmed where its neighbour
-    is not a test group.  Rows meet at most four counts per group instead of every test set."""
-    sets = combinations(df.sparkSession, groups, test_groups, limit, seed)
-    uses = sets.groupBy("grp", "cut_left", "cut_right").agg(F.count(F.lit(1)).alias("_n"))
+    is not a test group.  A group has four counts of test sets, by the sides that are cut; they are literals, so membership
+    is a column of the row."""
+    uses = Counter((g, left, right) for _, g, left, right in combination_rows(groups, test_groups, limit, seed))
     n, i = F.col("total"), F.col(idx)
     rows = with_total(df).withColumn("grp", group_of(i, n, groups))
-    keep = (~F.col("cut_left") | (i >= group_edge(F.col("grp"), n, groups) + trim)) & (
-        ~F.col("cut_right") | (i < group_edge(F.col("grp") + 1, n, groups) - trim)
-    )
-    hit = rows.join(F.broadcast(uses), "grp").where(keep)
-    return hit.groupBy(*df.columns, "grp").agg(F.sum("_n").alias("test_sets"))
+    inside = {True: i >= group_edge(F.col("grp"), n, groups) + trim, False: F.lit(True)}, {True: i < group_edge(F.col("grp") + 1, n, groups) - trim, False: F.lit(True)}
+    kept = F.lit(0).cast("long")
+    for left, right in itertools.product((False, True), repeat=2):
+        counts = F.array(*[F.lit(uses[g, left, right]).cast("long") for g in range(groups)])
+        kept = kept + F.when(inside[0][left] & inside[1][right], F.get(counts, F.col("grp").cast("int"))).otherwise(0)
+    return rows.select(*df.columns, "grp", kept.alias("test_sets")).where("test_sets > 0")
 
 
 # -- other splits ----------------------------------------------------------------------------------

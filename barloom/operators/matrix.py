@@ -15,7 +15,6 @@ from barloom.functions.scalars import pair_corr
 from barloom.plans.steps import Step, on_series
 from barloom.plans.timeline import Timeline, lay_out
 
-MAX_NODES = 64
 #: Rows handled at once by the matrix kernels; bounds the memory of a task.
 KERNEL_ROWS = 2048
 
@@ -33,29 +32,15 @@ def pair_name(a: str, b: str) -> str:
 
 
 def rolling_correlations(wide: DataFrame, names: Sequence[str], n: int = 20, keys: Sequence[str] = (), order: Sequence[str] = ("ts",)) -> DataFrame:
-    """One column per pair of a bounded list of nodes, from a wide panel, over the last ``n`` rows.
+    """One column per pair of a list of nodes, from a wide panel, over the last ``n`` rows.
 
-    A pair that is not finite turns the whole matrix of that timestamp into the identity.
+    A pair that is not finite, or a null in the window, turns the whole matrix of that timestamp into the identity. A series
+    without a key is cut into chunks like any other.
     """
-    if len(names) > MAX_NODES:
-        raise ValueError(f"{len(names)} nodes exceed {MAX_NODES}; use map_correlations")
-    pairs = list(itertools.combinations(names, 2))
-
-    def run(tl: Timeline) -> Timeline:
-        w = tl.over(-(n - 1), 0)
-        dev = {f"_sd_{a}": F.when(F.count(a).over(w) == n, F.stddev_pop(a).over(w)) for a in names}
-        tl = tl.add({pair_name(a, b): F.covar_pop(a, b).over(w) for a, b in pairs} | dev | {"_ready": tl.pos >= n - 1})
-        tl = tl.add({pair_name(a, b): F.try_divide(F.col(pair_name(a, b)), F.col(f"_sd_{a}") * F.col(f"_sd_{b}")) for a, b in pairs})
-        ok = F.lit(True)
-        for a, b in pairs:
-            c = F.col(pair_name(a, b))
-            ok = ok & c.isNotNull() & ~F.isnan(c)
-        tl = tl.add({"_ok": ok})
-        tidy = {p: F.when(F.col("_ok"), F.greatest(F.least(F.col(p), F.lit(1.0)), F.lit(-1.0))).otherwise(0.0) for p in (pair_name(*q) for q in pairs)}
-        return tl.add(tidy)._drop("_ok")
-
-    out = on_series(wide, Step(run, back=n), keys, order).where("_ready")
-    return out.select(*keys, *order, *[pair_name(a, b) for a, b in pairs])
+    out = map_correlations(wide, names, n, keys, order, holes="identity")
+    k = len(names)
+    cells = [F.get("corr", F.lit(i * k + j)).alias(pair_name(names[i], names[j])) for i, j in itertools.combinations(range(k), 2)]
+    return out.select(*keys, *order, *cells)
 
 
 def normalised_adjacency(corr: DataFrame, names: Sequence[str], eps: float = 1e-6) -> DataFrame:
@@ -80,48 +65,89 @@ def normalised_adjacency(corr: DataFrame, names: Sequence[str], eps: float = 1e-
 # -- matrices inside tasks -------------------------------------------------------------------------
 
 
+def _direct(windows: np.ndarray) -> np.ndarray:
+    """Co-moments of windows ``(rows, k, n)`` around their own means."""
+    centred = windows - windows.mean(axis=2, keepdims=True)
+    return np.einsum("rin,rjn->rij", centred, centred)
+
+
+def _same_run(values: np.ndarray) -> np.ndarray:
+    """How many equal values in a row end at each row, per column."""
+    rows = np.arange(len(values))[:, None]
+    changed = np.ones(values.shape, bool)
+    changed[1:] = values[1:] != values[:-1]
+    return rows - np.maximum.accumulate(np.where(changed, rows, 0), axis=0) + 1
+
+
+def rolling_comoments(values: np.ndarray, n: int) -> np.ndarray:
+    """(windows, k, k) co-moments of the last ``n`` rows around the window's means, in O(k^2) a row.
+
+    A block of rows is centred on its own mean; running sums and products of its rows are subtracted ``n`` rows apart, and the
+    window's mean is taken out. Windows that move too little against their block for that are computed directly.
+    """
+    rows, k = values.shape
+    out = np.empty((max(rows - n + 1, 0), k, k))
+    flat = _same_run(values) >= n
+    block = max(8 * n, 256)
+    for a in range(0, len(out), block):
+        b = min(a + block, len(out))
+        part = values[a : b + n - 1]
+        x = part - part.mean(axis=0)
+        sums = np.concatenate([np.zeros((1, k)), np.cumsum(x, axis=0)])
+        products = np.concatenate([np.zeros((1, k, k)), np.cumsum(x[:, :, None] * x[:, None, :], axis=0)])
+        s = sums[n:] - sums[:-n]
+        own = products[n:] - products[:-n] - s[:, :, None] * s[:, None, :] / n
+        still = flat[a + n - 1 : b + n - 1]
+        weak = (np.einsum("rii->ri", own) < 1e-7 * np.einsum("ii->i", products[-1])) & ~still
+        again = np.flatnonzero(weak.any(axis=1))
+        if len(again):
+            windows = np.lib.stride_tricks.sliding_window_view(part, n, axis=0)
+            own[again] = _direct(windows[again])
+        own[still[:, :, None] | still[:, None, :]] = 0.0
+        out[a:b] = own
+    return out
+
+
 def _rolling_corr(values: np.ndarray, n: int) -> np.ndarray:
     """(rows, k, k) correlations of the last ``n`` rows, identity where undefined; rows before ``n`` are NaN."""
     rows, k = values.shape
     out = np.full((rows, k, k), np.nan)
     if rows < n:
         return out
-    windows = np.lib.stride_tricks.sliding_window_view(values, n, axis=0)
-    for a in range(0, len(windows), KERNEL_ROWS):
-        w = windows[a : a + KERNEL_ROWS]
-        centred = w - w.mean(axis=2, keepdims=True)
-        cov = np.einsum("rin,rjn->rij", centred, centred)
-        dev = np.sqrt(np.einsum("rii->ri", cov))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            corr = cov / (dev[:, :, None] * dev[:, None, :])
-        bad = ~np.isfinite(corr).all(axis=(1, 2))
-        corr[bad] = np.eye(k)
-        corr = np.clip(corr, -1.0, 1.0)
-        corr[:, np.arange(k), np.arange(k)] = 1.0
-        out[n - 1 + a : n - 1 + a + len(corr)] = corr
+    hole = np.isnan(values)
+    cov = rolling_comoments(np.where(hole, 0.0, values), n)
+    dev = np.sqrt(np.einsum("rii->ri", cov))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        corr = cov / (dev[:, :, None] * dev[:, None, :])
+    seen = np.concatenate([[0], np.cumsum(hole.any(axis=1))])
+    corr[~np.isfinite(corr).all(axis=(1, 2)) | (seen[n:] > seen[:-n])] = np.eye(k)
+    corr = np.clip(corr, -1.0, 1.0)
+    corr[:, np.arange(k), np.arange(k)] = 1.0
+    out[n - 1 :] = corr
     return out
 
 
-def map_correlations(df: DataFrame, cols: Sequence[str], n: int = 60, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"), keep: Sequence[str] = (), spectrum: bool = False) -> DataFrame:
-    """Rolling correlation matrix of up to 16 indicators per row as a flat array, or its eigenvalues, descending.
+def map_correlations(df: DataFrame, cols: Sequence[str], n: int = 60, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "seq"), keep: Sequence[str] = (), spectrum: bool = False, holes: str = "zero") -> DataFrame:
+    """Rolling correlation matrix of some columns per row as a flat array, or its eigenvalues, descending.
 
-    Each task gets a bounded chunk once (k numbers per row, not a window per row) and builds the matrices in numpy.
+    Each task gets a bounded chunk once (k numbers per row, not a window per row) and builds the matrices in numpy. A null is
+    zero, or (``holes="identity"``) makes the windows that hold it the identity.
     """
     cols, name = list(cols), "eigenvalues" if spectrum else "corr"
-    tl = lay_out(df.select(*keys, *order, *keep, *[F.col(c).cast("double").alias(f"_v_{c}") for c in cols]), keys, order)
+    tl = lay_out(df.select(*keys, *order, *keep, *[F.col(c).cast("double").alias(f"_v_{c}") for c in cols]), keys, order, split=not keys)
     tl = tl.spread(n)
     fields = [tl.df.schema[c] for c in (*keys, *order, *keep)] + [tl.df.schema[f"_v_{c}"] for c in cols]
     schema = T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
     vs = [f"_v_{c}" for c in cols]
 
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        corr = _rolling_corr(np.nan_to_num(pdf[vs].to_numpy(dtype="float64")), n)
-        ready = np.arange(len(pdf)) >= n - 1
+        values = pdf[vs].to_numpy(dtype="float64")
+        values = np.nan_to_num(values) if holes == "zero" else np.where(np.isinf(values), np.nan, values)
         out: list = [None] * len(pdf)
-        if ready.any():
-            block = np.linalg.eigvalsh(corr[ready])[:, ::-1] if spectrum else corr[ready].reshape(ready.sum(), -1)
-            for i, row in zip(np.flatnonzero(ready), block):
-                out[i] = row
+        for a in range(0, max(len(pdf) - n + 1, 0), KERNEL_ROWS):
+            corr = _rolling_corr(values[a : a + KERNEL_ROWS + n - 1], n)[n - 1 :]
+            cells = np.linalg.eigvalsh(corr)[:, ::-1] if spectrum else corr.reshape(len(corr), -1)
+            out[a + n - 1 : a + n - 1 + len(cells)] = list(cells)
         return pdf.assign(**{name: out})
 
     out = tl.map_chunks(call, schema).where(F.col(name).isNotNull())

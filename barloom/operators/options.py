@@ -111,25 +111,45 @@ def clean_strikes(chain: DataFrame, rate: str = "rate", years: str = "years", ju
     return on_series(per, Step(run, back=1), keys, ("m",)).where(F.col("_jump") <= jump).drop("_jump")
 
 
-def _pchip_slopes() -> Step:
-    """Knot slopes of the monotone cubic (weighted harmonic mean inside, three-point rule at the ends)."""
+def _knots(rate: str, years: str, jump: float, keys: Sequence[str], chain: DataFrame) -> DataFrame:
+    """One row per slice with its cleaned strikes ``_k`` as an array of (m, iv), in order of m; other slices have an empty one.
 
-    def run(tl: Timeline) -> Timeline:
-        w = tl.over()
-        tl = tl.add({"h": F.lead("m", 1).over(w) - F.col("m"), "_dy": F.lead("iv", 1).over(w) - F.col("iv")})
-        tl = tl.add({"s": F.col("_dy") / F.col("h")})
-        h, s = F.col("h"), F.col("s")
-        hb, sb = F.lag("h", 1).over(w), F.lag("s", 1).over(w)
-        tl = tl.add({"_hb": hb, "_sb": sb, "_hn": F.lead("h", 1).over(w), "_sn": F.lead("s", 1).over(w), "_hbb": F.lag("h", 2).over(w), "_sbb": F.lag("s", 2).over(w)})
-        hb, sb = F.col("_hb"), F.col("_sb")
-        inner = F.when(sb * s <= 0, 0.0).otherwise(3.0 * (h + hb) / ((2.0 * h + hb) / F.when(sb != 0, sb) + (h + 2.0 * hb) / F.when(s != 0, s)))
-        first = _end_slope(h, F.col("_hn"), s, F.col("_sn"))
-        last = _end_slope(hb, F.col("_hbb"), sb, F.col("_sbb"))
-        tl = tl.add({"d": F.when(hb.isNull(), first).when(h.isNull(), last).otherwise(inner)})
-        tl = tl.add({"d_next": F.lead("d", 1).over(w), "iv_next": F.lead("iv", 1).over(w), "_lowest": hb.isNull(), "_highest": F.col("_hn").isNull()})
-        return tl._drop("_dy", "_hb", "_sb", "_hn", "_sn", "_hbb", "_sbb")
-
-    return Step(run, back=3, ahead=3)
+    The first aggregation combines before its shuffle and leaves one row per strike, so a slice of any size is an
+    array of as many entries as it has strikes.
+    """
+    t = F.greatest(F.col(years), F.lit(MIN_YEARS_TO_EXPIRY))
+    ok = (F.col("iv") >= 0.01) & (F.col("iv") <= 2.0) & (F.col("strike") > 0) & (F.col("spot") > 0)
+    of = {"iv": F.avg(F.when(ok, F.col("iv")))} | {n: F.max(F.when(ok, c)) for n, c in (("spot", F.col("spot")), ("rate", F.col(rate)), ("years", t))}
+    per = chain.groupBy(*keys, "strike").agg(*[c.alias(f"_{n}") for n, c in of.items()])
+    m = F.ln(F.col("strike") / (F.col("_spot") * F.exp(F.col("_rate") * F.col("_years"))))
+    knot = F.when(F.col("_iv").isNotNull(), F.struct(m.alias("m"), F.col("_iv").alias("iv")))
+    slices = per.groupBy(*keys).agg(F.array_sort(F.collect_list(knot)).alias("_all"), F.max("_years").alias("_years"))
+    calm = F.filter("_all", lambda k, i: (i == 0) | (F.abs(k["iv"] - F.element_at("_all", F.greatest(i, F.lit(1)))["iv"]) <= jump))
+    return slices.select(*keys, "_years", calm.alias("_k"))
+
+
+def _with_cubic(slices: DataFrame) -> DataFrame:
+    """Intervals ``_h`` (widths), ``_s`` (secants) and knot slopes ``_d`` of the monotone cubic of each slice's knots.
+
+    Slopes are weighted harmonic means inside and follow the three-point rule at the ends; ``_k`` is null below MIN_STRIKES.
+    """
+    k = lambda i: F.get("_k", i)
+    each = lambda fn: F.transform(F.sequence(F.lit(0), F.size("_k") - 2), fn)
+    out = slices.withColumn("_k", F.when(F.size("_k") >= MIN_STRIKES, F.col("_k")))
+    out = out.withColumn("_h", each(lambda i: k(i + 1)["m"] - k(i)["m"]))
+    out = out.withColumn("_s", each(lambda i: (k(i + 1)["iv"] - k(i)["iv"]) / F.get("_h", i)))
+    h, s = lambda i: F.get("_h", i), lambda i: F.get("_s", i)
+
+    def inner(i: Column) -> Column:
+        hb, sb = h(i - 1), s(i - 1)
+        mean = 3.0 * (h(i) + hb) / ((2.0 * h(i) + hb) / F.when(sb != 0, sb) + (h(i) + 2.0 * hb) / F.when(s(i) != 0, s(i)))
+        return F.when(sb * s(i) <= 0, 0.0).otherwise(mean)
+
+    last = F.size("_h") - 1
+    first = _end_slope(h(F.lit(0)), h(F.lit(1)), s(F.lit(0)), s(F.lit(1)))
+    end = _end_slope(h(last), h(last - 1), s(last), s(last - 1))
+    middle = F.transform(F.sequence(F.lit(1), F.size("_h") - 1), inner)
+    return out.withColumn("_d", F.concat(F.array(first), middle, F.array(end)))
 
 
 def _end_slope(h0: Column, h1: Column, s0: Column, s1: Column) -> Column:
@@ -138,30 +158,26 @@ def _end_slope(h0: Column, h1: Column, s0: Column, s1: Column) -> Column:
 
 
 def _at(x: Column) -> Column:
-    """Value of the cubic at ``x`` if this row's interval holds it; the outer intervals reach beyond the ends."""
-    inside = ((x >= F.col("m")) | F.col("_lowest")) & ((x < F.col("m") + F.col("h")) | F.col("_highest")) & F.col("h").isNotNull()
-    u = x - F.col("m")
-    h, s, d, e = F.col("h"), F.col("s"), F.col("d"), F.col("d_next")
+    """Value of the cubic at ``x``; the outer intervals reach beyond the ends."""
+    i = F.greatest(F.least(F.size(F.filter("_k", lambda k: k["m"] <= x)), F.size("_h")), F.lit(1)) - 1
+    u = x - F.get("_k", i)["m"]
+    h, s, d, e = F.get("_h", i), F.get("_s", i), F.get("_d", i), F.get("_d", i + 1)
     c2, c3 = (3.0 * s - 2.0 * d - e) / h, (d + e - 2.0 * s) / (h * h)
-    return F.when(inside, F.col("iv") + u * (d + u * (c2 + u * c3)))
-
-
-def smile(chain: DataFrame, rate: str = "rate", years: str = "years", keys: Sequence[str] = SLICE) -> DataFrame:
-    """ATM volatility, 25-delta skew and butterfly of an interpolated smile; slices with few strikes give nulls."""
-    knots = clean_strikes(chain, rate, years, keys=keys)
-    counts = knots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= MIN_STRIKES)
-    knots = on_series(knots.join(counts, list(keys), "left_semi"), _pchip_slopes(), keys, ("m",))
-    atm = knots.groupBy(*keys).agg(F.max(_at(F.lit(0.0))).alias("atm"))
-    wing = knots.join(atm, list(keys))
-    sigma, t = F.greatest(F.col("atm"), F.lit(0.01)), F.col("years")
-    mid, reach = 0.5 * sigma * sigma * t, Z75 * sigma * F.sqrt(t)
-    out = wing.groupBy(*keys).agg(
-        F.first("atm").alias("synth_atm_iv"), F.max(_at(mid + reach)).alias("_c"), F.max(_at(mid - reach)).alias("_p")
-    )
-    out = out.select(
+    return F.get("_k", i)["iv"] + u * (d + u * (c2 + u * c3))
+
+
+def smile(chain: DataFrame, rate: str = "rate", years: str = "years", keys: Sequence[str] = SLICE, jump: float = 0.15) -> DataFrame:
+    """ATM volatility, 25-delta skew and butterfly of an interpolated smile; slices with few strikes give nulls.
+
+    One scan, two exchanges: rows to strikes, strikes to slices; the interpolation runs inside the slice's row.
+    """
+    out = _with_cubic(_knots(rate, years, jump, keys, chain)).withColumn("synth_atm_iv", _at(F.lit(0.0)))
+    sigma, t = F.greatest(F.col("synth_atm_iv"), F.lit(0.01)), F.col("_years")
+    out = out.withColumns({"_mid": F.when(F.col("synth_atm_iv").isNotNull(), 0.5 * sigma * sigma * t), "_reach": Z75 * sigma * F.sqrt(t)})
+    out = out.withColumns({"_c": _at(F.col("_mid") + F.col("_reach")), "_p": _at(F.col("_mid") - F.col("_reach"))})
+    return out.select(
         *keys,
         "synth_atm_iv",
         (F.col("_p") - F.col("_c")).alias("iv_skew_25d"),
         ((F.col("_p") + F.col("_c")) / 2.0 - F.col("synth_atm_iv")).alias("iv_butterfly"),
     )
-    return chain.select(*keys).distinct().join(out, list(keys), "left")

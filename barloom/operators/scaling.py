@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import clip, finite
-from barloom.plans.timeline import biggest_group, lay_out
+from barloom.plans.timeline import biggest_group
 from barloom.session import durable, max_group_rows, small_side
 
 FOLD = ("fold",)
@@ -32,11 +32,15 @@ def join_params(df: DataFrame, params: DataFrame, keys: Sequence[str] = FOLD) ->
 # -- exact quantiles -------------------------------------------------------------------------------
 
 
+#: Bins of one narrowing pass.
+BINS = 4096
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Sequence[str] = FOLD, weight: Column | None = None) -> DataFrame:
-    """Exact interpolated quantiles per key: one array column ``<feature>_q`` per feature.
+    """Exact interpolated quantiles per key: one array column ``<feature>_q`` per feature; NaN counts as infinite.
 
-    Small groups use the built-in aggregate.  That one holds every distinct value of a group in memory, so
-    larger groups are sorted by value over many tasks and only the rows at the wanted ranks are kept.
+    A group within ``barloom.maxGroupRows`` goes to the built-in aggregate, which holds a group's distinct values in memory.
+    In a larger one the rows at the wanted ranks are selected by :func:`at_ranks`, which holds counts of bins only.
     """
     keys = list(keys)
     w = F.lit(1) if weight is None else weight
@@ -45,24 +49,67 @@ def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Seq
         aggs = [F.percentile(c, list(qs), F.col("_w")).alias(f"{c}_q") for c in cols]
         return base.groupBy(*keys).agg(*aggs) if keys else base.agg(*aggs)
     long = base.unpivot([*keys, "_w"], list(cols), "_feature", "_value").where("_value IS NOT NULL AND _w > 0")
+    long = durable(long.withColumn("_value", F.nanvl(F.col("_value").cast("double"), F.lit(float("inf")))))
     group = [*keys, "_feature"]
-    ranked = lay_out(long, group, ["_value"]).running({"_upto": ("sum", F.col("_w"))}).finish()
-    sizes = long.groupBy(*group).agg(F.sum("_w").alias("_n"))
-    picks = sizes.withColumn("_q", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(q).alias("q")) for i, q in enumerate(qs)])))
     rank = F.col("_q.q") * (F.col("_n") - 1)
-    picks = picks.select(*group, F.col("_q.i").alias("_i"), F.floor(rank).alias("_lo"), F.ceil(rank).alias("_hi"), (rank - F.floor(rank)).alias("_share"))
-    first = F.col("_upto") - F.col("_w")
-    hit = ranked.join(small_side(picks), group).where((first <= F.col("_hi")) & (F.col("_upto") > F.col("_lo")))
-    ends = hit.groupBy(*group, "_i").agg(
-        F.min_by("_value", "_upto").alias("_a"), F.max_by("_value", "_upto").alias("_b"), F.first("_share").alias("_share")
-    )
-    value = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share")
-    arrays = ends.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))).alias("_l"))
+    wanted = long.groupBy(*group).agg(F.sum("_w").alias("_n"))
+    wanted = wanted.withColumn("_q", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])))
+    wanted = durable(wanted.select(*group, F.col("_q.i").alias("_i"), F.floor(rank).alias("_lo"), F.ceil(rank).alias("_hi"), (rank - F.floor(rank)).alias("_share")))
+    ranks = wanted.select(*group, F.explode(F.array("_lo", "_hi")).alias("_rank")).distinct()
+    found = at_ranks(long, group, ranks)
+    for end in ("_lo", "_hi"):
+        wanted = wanted.join(found.withColumnsRenamed({"_rank": end, "_value": f"{end}_value"}), [*group, end])
+    value = F.col("_lo_value") + F.when(F.col("_share") > 0, (F.col("_hi_value") - F.col("_lo_value")) * F.col("_share")).otherwise(0.0)
+    arrays = wanted.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))).alias("_l"))
     arrays = arrays.select(*group, F.transform("_l", lambda x: x["v"]).alias("_l"))
     wide = [F.max(F.when(F.col("_feature") == c, F.col("_l"))).alias(f"{c}_q") for c in cols]
     return arrays.groupBy(*keys).agg(*wide) if keys else arrays.agg(*wide)
 
 
+def at_ranks(long: DataFrame, group: Sequence[str], ranks: DataFrame) -> DataFrame:
+    """``group, _rank, _value``: the value at each 0-based rank of a group of ``long(group, _value, _w)``, without sorting its rows.
+
+    Every rank has an interval of values that holds it. A pass counts the rows of each interval in bins (first by the power of
+    two, then ``BINS`` equal parts, all combined before the shuffle) and goes on with the one bin that holds the rank. An interval is
+    done when it has at most ``barloom.maxGroupRows`` rows or one value; a double has 52 bits below its power of two, so six passes
+    always do. The rows left are counted by value.
+    """
+    group, limit = list(group), max_group_rows(long.sparkSession)
+    targets = ranks.withColumns({"_from": F.lit(None).cast("double"), "_to": F.lit(None).cast("double"), "_below": F.lit(0).cast("long")})
+    bounds = [*group, "_from", "_to"]
+
+    def inside(targets: DataFrame) -> DataFrame:
+        """Rows in the intervals; those of a group do not overlap, so a row is in one at most."""
+        held = small_side(targets.select(*bounds).distinct().withColumnsRenamed({c: f"_of_{c}" for c in group}))
+        same = F.col("_from").isNull() | F.col("_value").between(F.col("_from"), F.col("_to"))
+        for c in group:
+            same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+        return long.join(held, same).select(*bounds, "_value", "_w")
+
+    def holding(cells: DataFrame, order: str) -> DataFrame:
+        """Targets with the cell that holds their rank."""
+        upto = Window.partitionBy(*bounds).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        cells = cells.withColumn("_end", F.sum("_sum").over(upto)).withColumnsRenamed({c: f"_of_{c}" for c in bounds})
+        same = (F.col("_rank") - F.col("_below") >= F.col("_end") - F.col("_sum")) & (F.col("_rank") - F.col("_below") < F.col("_end"))
+        for c in bounds:
+            same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+        return targets.join(cells, same)
+
+    share = (F.col("_value") - F.col("_from")) / (F.col("_to") - F.col("_from")) * BINS
+    power = F.greatest(F.least(F.floor(F.log2(F.abs("_value"))), F.lit(1100)), F.lit(-1100)) + 1101
+    first = F.when(F.col("_value") == 0, 0).otherwise(F.signum("_value").cast("long") * power)
+    for bin_ in [first, *[F.when(F.col("_from") == F.col("_to"), 0).otherwise(F.least(F.floor(share), F.lit(BINS - 1)))] * 6]:
+        cells = inside(targets).groupBy(*bounds, bin_.cast("long").alias("_bin"))
+        cells = cells.agg(F.sum("_w").alias("_sum"), F.count(F.lit(1)).alias("_rows"), F.min("_value").alias("_least"), F.max("_value").alias("_most"))
+        below = (F.col("_below") + F.col("_end") - F.col("_sum")).alias("_below")
+        found = durable(holding(cells, "_bin").select(*group, "_rank", F.col("_least").alias("_from"), F.col("_most").alias("_to"), below, "_rows"))
+        targets = found.drop("_rows")
+        if found.where((F.col("_from") < F.col("_to")) & (F.col("_rows") > limit)).isEmpty():
+            break
+    values = inside(targets).groupBy(*bounds, "_value").agg(F.sum("_w").alias("_sum"))
+    return durable(holding(values, "_value").select(*group, "_rank", "_value"))
+
+
 # -- clipping and imputation -----------------------------------------------------------------------
 
 

@@ -116,6 +116,12 @@ class Timeline:
 
         return self.df.groupBy(*self._groups()).applyInPandas(call, schema)
 
+    def mapped(self, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType) -> Timeline:
+        """``fn`` over each bounded group of rows, halo rows among them; ``fn`` keeps all columns and adds those of ``schema``."""
+        groups = self._groups()
+        rows = self.df.groupBy(*groups) if groups else self.df.groupBy()
+        return replace(self, df=rows.applyInPandas(fn, schema))
+
     # -- running aggregates -------------------------------------------------------------------------
 
     def running(self, cols: dict[str, tuple[str, Column]]) -> Timeline:
@@ -301,15 +307,18 @@ def survey(df: DataFrame, keys: Sequence[str], watch: Sequence[str] = ()) -> tup
     return int(found[0] or 0), bool(found[1])
 
 
-def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None, watch: Sequence[str] = ()) -> Timeline:
+def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None, watch: Sequence[str] = (), split: bool = False) -> Timeline:
     """Prepare ordered windows over ``keys``; ``order`` must end in a tie-breaker so that it is total.
 
-    ``watch`` names the columns that exponential means read: nulls in them make the means look for gaps.
+    ``watch`` names the columns that exponential means read: nulls in them make the means look for gaps. ``split`` cuts groups of
+    any size into chunks for all cores.
     """
     keys, order = tuple(keys), tuple(order)
     limit = max_rows or max_group_rows(df.sparkSession)
     rows, holes = survey(df, keys, [c for c in watch if c in df.columns])
-    if rows <= limit:
+    if split:
+        limit = min(limit, rows // (2 * df.sparkSession.sparkContext.defaultParallelism))
+    elif rows <= limit:
         w = Window.partitionBy(*keys).orderBy(*order)
         return Timeline(df.withColumn(_POS, F.row_number().over(w) - 1), keys, order, gappy=holes)
     size = max(BLOCK, limit // BLOCK * BLOCK)
