@@ -41,7 +41,7 @@ OTM = "(option_type = 'C' AND strike > spot) OR (option_type = 'p' AND strike <
 
 @query(
     "top_02",
-    f"""WITH {CHAIN}, filled AS (SELECT * REPLACE (coalesce(spot, median(strike) OVER (PARTITION BY ts)) AS spot) FROM chain WHERE id % 10 <> 3 AND NOT (day(ts) = 9 AND strike BETWEEN 0 AND 10000 AND option_type = 'C')
+    f"""WITH {CHAIN}, filled AS (SELECT * REPLACE (coalesce(spot, median(strike) OVER (PARTITION BY ts)) AS spot) FROM chain WHERE NOT (day(ts) = 9 AND strike BETWEEN 0 AND 10000 AND option_type = 'C')
   AND NOT (day(ts) = 9 AND strike < 200)),
 picked AS (SELECT * FROM filled WHERE {OTM} QUALIFY row_number() OVER (PARTITION BY ts, option_type ORDER BY abs(strike - spot), {TIES}) <= 10),
 rest AS (SELECT * FROM filled WHERE ts NOT IN (SELECT ts FROM filled WHERE {OTM}) QUALIFY row_number() OVER (PARTITION BY ts ORDER BY abs(strike - spot), {TIES}) <= 20)
@@ -50,7 +50,7 @@ SELECT ts, id, part, strike, option_type, round(spot, 6) AS spot FROM picked UNI
 def _nearest(t):
     """On the 9th only puts above the spot are left, so those slices use the fallback."""
     ninth = F.dayofmonth("ts") == 9
-    chain = t.chain().where((F.col("id") % 10 != 3) & ~(ninth & ((F.col("option_type") == "C") | (F.col("strike") < 200))))
+    chain = t.chain().where(~(ninth & ((F.col("option_type") == "C") | (F.col("strike") < 200))))
     return op.nearest_otm(chain, tie=TIE).select("ts", "id", "part", "strike", "option_type", "spot")
 
 

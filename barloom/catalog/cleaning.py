@@ -144,12 +144,19 @@ def _narrow(t):
     return clean.narrow(df, keep=("seq",)).withColumn("close", F.col("close").cast("double"))
 
 
-@query(
-    "prj_12",
-    f"""WITH {BARS} SELECT symbol, seq, {', '.join('round(close + 3.1415926e-08, 6) + 0e0 AS idx_log_ret' if c == 'idx_log_ret' else 'session_date' if c == 'session_date' else f'NULL::DOUBLE AS {c}' for c in PASS_THROUGH)} FROM bars""",
-)
+PRESENT = [c for c in PASS_THROUGH if c != "session_date"][:-2]  # the last two are absent from the source
+
+
+def pass_sql(k: int, c: str) -> str:
+    if c == "session_date":
+        return c
+    return f"round(close * {k + 1} + 3.1415926e-08, 6) + 0e0 AS {c}" if c in PRESENT else f"NULL::DOUBLE AS {c}"
+
+
+@query("prj_12", f"""WITH {BARS} SELECT symbol, seq, {', '.join(pass_sql(k, c) for k, c in enumerate(PASS_THROUGH))} FROM bars""")
 def _pass(t):
-    return clean.project(t.bars().withColumn("idx_log_ret", F.col("close")), ["symbol", "seq"], PASS_THROUGH)
+    made = {c: F.col("close") * (PASS_THROUGH.index(c) + 1) for c in PRESENT}
+    return clean.project(t.bars().withColumns(made), ["symbol", "seq"], PASS_THROUGH)
 
 
 @query(
@@ -196,21 +203,20 @@ def _stale_volume(t):
     return on_series(t.rough(), clean.stale_by_volume()).select("symbol", "seq", "is_stale")
 
 
-FROZEN = f"""full_rough AS (SELECT * FROM rough WHERE close IS NOT NULL),
-same AS (SELECT *, coalesce({' AND '.join(f'{c} = lag({c}) {LAG}' for c in ('open', 'high', 'low', 'close'))}, false) AS same FROM full_rough),
+FROZEN = f"""same AS (SELECT *, coalesce({' AND '.join(f'{c} = lag({c}) {LAG}' for c in ('open', 'high', 'low', 'close'))}, false) AS same FROM rough),
 grp AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) {LAG} AS grp FROM same),
 runs AS (SELECT *, row_number() OVER (PARTITION BY symbol, grp ORDER BY ts, seq) AS run FROM grp)"""
 
 
 @query("win_27", f"WITH {ROUGH}, {FROZEN} SELECT symbol, seq, same AND run >= 5 AS is_stale FROM runs")
 def _stale_price(t):
-    return on_series(t.rough().where("close IS NOT NULL"), clean.stale_by_price()).select("symbol", "seq", "is_stale")
+    return on_series(t.rough(), clean.stale_by_price()).select("symbol", "seq", "is_stale")
 
 
 @query("win_28", f"WITH {ROUGH}, {FROZEN} SELECT symbol, seq, coalesce(CASE WHEN seq % 9 > 1 THEN seq % 9 = 2 END, false) OR (same AND run >= 5) AS is_stale FROM runs")
 def _stale_merge(t):
     s = F.col("seq") % 9
-    df = t.rough().where("close IS NOT NULL").withColumn("fed", F.when(s > 1, s == 2))
+    df = t.rough().withColumn("fed", F.when(s > 1, s == 2))
     df = on_series(df, clean.stale_by_price(name="seen"))
     return df.select("symbol", "seq", clean.merge_stale("fed", "seen").alias("is_stale"))
 
@@ -297,10 +303,11 @@ def _difference(t):
     return wanted.join(have, "symbol", "left_anti")
 
 
-@query("set_05", "SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '2024-01-11' INTERSECT SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-25'")
+@query("set_05", "SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '2024-01-16' INTERSECT SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16'")
 def _intersection(t):
     e = t.raw("events")
-    return e.where("ts < TIMESTAMP_NTZ '2024-01-11'").select("user_id").intersect(e.where("ts >= TIMESTAMP_NTZ '2024-01-25'").select("user_id"))
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    return e.where(early).select("user_id").intersect(e.where(~early).select("user_id"))
 
 
 # -- scalar functions ------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.catalog.alignment import SYMBOLS
-from barloom.catalog.base import TICKS, query, sql
+from barloom.catalog.base import NUDGE, TICKS, query, sql
 from barloom.catalog.sessions import FILLED, filled
 from barloom.functions.custom import normal_cdf, rolling_apply
 from barloom.operators import evaluate as ev
@@ -13,6 +13,7 @@ from barloom.operators import folds, matrix, models, trials
 from barloom.operators import indicators as ind
 from barloom.plans import pipeline
 from barloom.plans.steps import Step, on_series
+from barloom.session import durable
 
 # -- matrices --------------------------------------------------------------------------------------
 
@@ -44,17 +45,15 @@ def deg(a: str) -> str:
     return f"greatest(2 + {' + '.join(cells)}, 1e-6)"
 
 
-@query(
-    "mat_08",
-    sql(
-        f"{RETURNS}, dg AS (SELECT *, {', '.join(f'{deg(s)} AS d_{s}' for s in SYMBOLS)} FROM cr), final AS (SELECT ts, d_click AS degree_click, 2 / d_click AS adj_click__click, corr_click__view / sqrt(d_click * d_view) AS adj_click__view, corr_error__signup / sqrt(d_error * d_signup) AS adj_error__signup FROM dg)",
-        "ts",
-        "degree_click adj_click__click adj_click__view adj_error__signup",
-    ),
-)
+ADJACENT = [(a, b) for i, a in enumerate(SYMBOLS) for b in SYMBOLS[i:]]
+DEGREES = ", ".join(f"{deg(s)} AS degree_{s}" for s in SYMBOLS)
+NORMED = ", ".join(f"{2 if a == b else matrix.pair_name(a, b)} / sqrt(degree_{a} * degree_{b}) AS adj_{a}__{b}" for a, b in ADJACENT)
+ADJ_COLS = [*(f"degree_{s}" for s in SYMBOLS), *(f"adj_{a}__{b}" for a, b in ADJACENT)]
+
+
+@query("mat_08", sql(f"{RETURNS}, dg AS (SELECT *, {DEGREES} FROM cr), final AS (SELECT *, {NORMED} FROM dg)", "ts", " ".join(ADJ_COLS)))
 def _adjacency(t):
-    out = matrix.normalised_adjacency(correlations(t), SYMBOLS)
-    return out.select("ts", "degree_click", "adj_click__click", "adj_click__view", "adj_error__signup")
+    return matrix.normalised_adjacency(correlations(t), SYMBOLS).select("ts", *ADJ_COLS)
 
 
 INDICATORS = ["price", "volume", "ret", "swing"]
@@ -86,22 +85,32 @@ def _indicator_corr(t):
     return out.select("symbol", "seq", *cells)
 
 
-TRIPLES = [(a, b, c) for n, a in enumerate(INDICATORS) for m, b in enumerate(INDICATORS[n + 1 :], n + 1) for c in INDICATORS[m + 1 :]]
+def corr_cell(a: str, b: str) -> str:
+    return "1e0" if a == b else "_".join(sorted((a, b), key=INDICATORS.index))
+
+
+SQUARE = ", ".join(f"{' + '.join(f'{corr_cell(a, c)} * {corr_cell(c, b)}' for c in INDICATORS)} AS sq_{a}_{b}" for a in INDICATORS for b in INDICATORS)
+TRACES = {
+    1: "4e0",
+    2: " + ".join(f"sq_{a}_{a}" for a in INDICATORS),
+    3: " + ".join(f"sq_{a}_{b} * {corr_cell(a, b)}" for a in INDICATORS for b in INDICATORS),
+    4: " + ".join(f"sq_{a}_{b} * sq_{a}_{b}" for a in INDICATORS for b in INDICATORS),
+}
 
 
 @query(
     "mat_04",
     sql(
-        f"{IND}, c AS (SELECT symbol, seq, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS rn, {', '.join(f'corr({a}, {b}) {W60} AS {a}_{b}' for a, b in CELLS)} FROM i), final AS (SELECT symbol, seq, true AS descending, 4 AS power_1, 4 + 2 * ({' + '.join(f'{a}_{b} * {a}_{b}' for a, b in CELLS)}) AS power_2, 4 + 6 * ({' + '.join(f'{a}_{b} * {a}_{b}' for a, b in CELLS)}) + 6 * ({' + '.join(f'{a}_{b} * {a}_{c} * {b}_{c}' for a, b, c in TRIPLES)}) AS power_3 FROM c WHERE rn >= 60)",
+        f"{IND}, c AS (SELECT symbol, seq, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS rn, {', '.join(f'corr({a}, {b}) {W60} AS {a}_{b}' for a, b in CELLS)} FROM i), sq AS (SELECT *, {SQUARE} FROM c WHERE rn >= 60), final AS (SELECT symbol, seq, true AS descending, {', '.join(f'{x} AS power_{k}' for k, x in TRACES.items())} FROM sq)",
         "symbol, seq, descending",
-        "power_1 power_2 power_3",
+        "power_1 power_2 power_3 power_4",
     ),
 )
 def _eigenvalues(t):
-    """Power sums of the eigenvalues, which are the traces of the matrix powers."""
+    """All power sums up to the count of the eigenvalues, which fix them; they are the traces of the matrix powers."""
     out = matrix.map_correlations(indicator_rows(t), INDICATORS, 60, spectrum=True)
     e = [F.get("eigenvalues", F.lit(i)) for i in range(4)]
-    powers = [sum((x**k for x in e[1:]), e[0] ** k).alias(f"power_{k}") for k in (1, 2, 3)]
+    powers = [sum((x**k for x in e[1:]), e[0] ** k).alias(f"power_{k}") for k in TRACES]
     return out.select("symbol", "seq", ((e[0] >= e[1]) & (e[1] >= e[2]) & (e[2] >= e[3])).alias("descending"), *powers)
 
 
@@ -254,6 +263,11 @@ CPS = f"{PREDS}, one AS (SELECT *, 1 AS k FROM preds), {cpcv_sql('one', 45)}"
 DIST = """dist AS (SELECT count(*) AS n_combinations_evaluated, avg(directional_accuracy) AS directional_accuracy_mean, stddev_pop(directional_accuracy) AS directional_accuracy_std,
   quantile_cont(directional_accuracy, 0.025) AS directional_accuracy_ci95_low, quantile_cont(directional_accuracy, 0.975) AS directional_accuracy_ci95_high,
   avg(sharpe) AS sharpe_mean, stddev_pop(sharpe) AS sharpe_std, quantile_cont(sharpe, 0.025) AS sharpe_ci95_low, quantile_cont(sharpe, 0.975) AS sharpe_ci95_high FROM cps)"""
+# Normal distribution function: a power series near zero, a continued fraction in the tails.
+SERIES = "0.5e0 + list_sum(list_transform(range(80), lambda k: pow(-1e0, k) * pow({0}, 2 * k + 1) / (pow(2e0, k) * gamma(k + 1e0) * (2 * k + 1)))) / sqrt(2 * pi())"
+TAIL = "exp(-{0} * {0} / 2) / sqrt(2 * pi()) / list_reduce(list_prepend(abs({0}), list_transform(range(80, 0, -1), lambda k: k::DOUBLE)), lambda a, k: abs({0}) + k / a)"
+PHI = f"CASE WHEN {{0}} < -3 THEN {TAIL} WHEN {{0}} > 3 THEN 1 - {TAIL} ELSE {SERIES} END"
+
 DIST_COLS = "directional_accuracy_mean directional_accuracy_std directional_accuracy_ci95_low directional_accuracy_ci95_high sharpe_mean sharpe_std sharpe_ci95_low sharpe_ci95_high"
 REPORT = f"""rep AS (SELECT {ERRORS}, sum(pnl) AS total_pnl_proxy, sum(gross) AS gross_total_pnl_proxy, min(drawdown) AS max_drawdown_proxy, {STATS},
   avg(pnl) / stddev_samp(pnl) * sqrt(252e0) AS sharpe_ratio, {SORTINO} AS sortino_ratio, {CALMAR} AS calmar_ratio FROM cv),
@@ -262,10 +276,13 @@ REPORT_IDS = "total_trades, winning_trades, losing_trades, max_consecutive_losse
 REPORT_COLS = (
     "mse mae rmse directional_accuracy total_pnl_proxy gross_total_pnl_proxy max_drawdown_proxy win_rate profit_factor expectancy sharpe_ratio sortino_ratio calmar_ratio "
     + DIST_COLS
+    + " pbo_proxy commission_bps slippage_bps market_impact_bps"
 )
+COSTS = f"{ev.COMMISSION!r}::DOUBLE AS commission_bps, {ev.SLIPPAGE!r}::DOUBLE AS slippage_bps, {ev.IMPACT!r}::DOUBLE AS market_impact_bps"
+PBO = f"pz AS (SELECT -sharpe_mean / sharpe_std AS z FROM dist), pb AS (SELECT {PHI.format('z')} AS pbo_proxy, {COSTS} FROM pz)"
 
 
-@query("evl_07", sql(f"{CPS}, {DIST}, {CURVE}, {REPORT}, final AS (SELECT * FROM rep, stk, (SELECT * RENAME (directional_accuracy_mean AS directional_accuracy_mean) FROM dist))", REPORT_IDS, REPORT_COLS))
+@query("evl_07", sql(f"{CPS}, {DIST}, {PBO}, {CURVE}, {REPORT}, final AS (SELECT * FROM rep, stk, dist, pb)", REPORT_IDS, REPORT_COLS))
 def _report(t):
     out = ev.backtest(preds(t)).select("*", "cpcv.*")
     return out.select(*[c.strip() for c in REPORT_IDS.split(",")], *REPORT_COLS.split())
@@ -276,12 +293,6 @@ def _cpcv(t):
     return ev.cpcv_combinations(preds(t)).select("combo", "test_rows", "directional_accuracy", "sharpe")
 
 
-# Normal distribution function: a power series near zero, a continued fraction in the tails.
-SERIES = "0.5e0 + list_sum(list_transform(range(80), lambda k: pow(-1e0, k) * pow({0}, 2 * k + 1) / (pow(2e0, k) * gamma(k + 1e0) * (2 * k + 1)))) / sqrt(2 * pi())"
-TAIL = "exp(-{0} * {0} / 2) / sqrt(2 * pi()) / list_reduce(list_prepend(abs({0}), list_transform(range(80, 0, -1), lambda k: k::DOUBLE)), lambda a, k: abs({0}) + k / a)"
-PHI = f"CASE WHEN {{0}} < -3 THEN {TAIL} WHEN {{0}} > 3 THEN 1 - {TAIL} ELSE {SERIES} END"
-
-
 @query(
     "evl_09",
     sql(
@@ -309,18 +320,25 @@ dy AS (SELECT model, idx // 375 AS d, sum(pnl) AS r FROM lab GROUP BY ALL), sh A
 fm AS (SELECT model, avg(CAST(pred_label = label AS INTEGER)) AS dir_acc, avg(pow(label - prob, 2)) AS loss FROM lab GROUP BY model)"""
 
 
+def listed_sql(c: str) -> str:
+    """Values by fold as text of six digits."""
+    return f"string_agg(CAST(CAST({c} + {NUDGE!r} AS DECIMAL(18, 6)) AS VARCHAR), ',' ORDER BY model)"
+
+
 @query(
     "evl_10",
     sql(
         f"""{PROBS}, {WF}, final AS (SELECT quantile_cont(sharpe, 0.05) AS wf_sharpe_p5, avg(sharpe) AS wf_sharpe_mean, stddev_samp(sharpe) AS wf_sharpe_std, avg(dir_acc) AS wf_dir_acc_mean,
-  avg(loss) AS wf_loss_mean, max(drawdown) AS wf_max_drawdown_ratio, count(*) AS wf_n_folds FROM fm JOIN dd USING (model) JOIN sh USING (model))""",
-        "wf_n_folds",
+  avg(loss) AS wf_loss_mean, max(drawdown) AS wf_max_drawdown_ratio, count(*) AS wf_n_folds,
+  {listed_sql('sharpe')} AS wf_fold_sharpes, {listed_sql('drawdown')} AS wf_fold_drawdowns FROM fm JOIN dd USING (model) JOIN sh USING (model))""",
+        "wf_n_folds, wf_fold_sharpes, wf_fold_drawdowns",
         "wf_sharpe_p5 wf_sharpe_mean wf_sharpe_std wf_dir_acc_mean wf_loss_mean wf_max_drawdown_ratio",
     ),
 )
 def _summary(t):
     per = ev.fold_metrics(probs(t).withColumnRenamed("model", "fold"), 0.6)
-    return ev.walk_forward_summary(per).drop("wf_fold_sharpes", "wf_fold_drawdowns")
+    out = ev.walk_forward_summary(per)
+    return out.withColumns({c: F.array_join(F.transform(c, lambda v: (v + NUDGE).cast("decimal(18,6)").cast("string")), ",") for c in ("wf_fold_sharpes", "wf_fold_drawdowns")})
 
 
 @query(
@@ -392,7 +410,7 @@ def _huber(t):
 @query(
     "evl_24",
     sql(
-        f"""{PROBS}, pb AS (SELECT model, label, round(prob, 3) AS prob FROM probs),
+        f"""{PROBS}, pb AS (SELECT model, label, round(prob, 9) AS prob FROM probs),
 rk AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY prob) + (count(*) OVER (PARTITION BY model, prob) - 1) / 2e0 AS r FROM pb),
 final AS (SELECT model, avg(-CASE WHEN label = 1 THEN ln(prob) ELSE ln(1 - prob) END) AS log_loss,
   (sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2e0) / (sum(label) * (count(*) - sum(label))) AS auc FROM rk GROUP BY model)""",
@@ -401,7 +419,7 @@ final AS (SELECT model, avg(-CASE WHEN label = 1 THEN ln(prob) ELSE ln(1 - prob)
     ),
 )
 def _auc(t):
-    return ev.log_loss_auc(probs(t).withColumn("prob", F.round("prob", 3)), ("model",))
+    return ev.log_loss_auc(probs(t).withColumn("prob", F.round("prob", 9)), ("model",))
 
 
 @query("fun_11", sql("final AS (SELECT event_id, value * 252e0 AS yearly, value * sqrt(252e0 * 375) AS minute_vol, event_id // 375 AS day_no FROM events)", "event_id, day_no", "yearly minute_vol"))
@@ -530,26 +548,29 @@ def _top(t):
 FEATURES = ["bb_pct_b", "vol_z_20", "momentum_10", "cmf_20"]
 
 
-def model_rows(t):
+def model_frame(t):
     df = on_series(t.ticks(), [ind.bollinger(), ind.volume_z(), ind.momentum(), ind.chaikin_flow()])
     df = df.select("symbol", "ts", "seq", "price", *FEATURES).na.drop()
     ahead = Step(lambda tl: tl.add({"target": F.ln(F.try_divide(F.lead("price", 1).over(tl.over()), F.col("price")))}), ahead=1)
     df = on_series(df, ahead).where("target IS NOT NULL").withColumn("label", (F.col("target") > 0).cast("int"))
-    df = folds.indexed(df)
-    return folds.assign(df, folds.anchored_ratio_table(folds.totals(df), folds=2))
+    return folds.indexed(df)
 
 
 @query("evl_20")
 def _direction(t):
-    """Out-of-fold direction probabilities and what they earn, per fold."""
-    out = models.walk_forward_direction(model_rows(t), FEATURES, [0, 1], rounds=3, maxDepth=3)
+    """Out-of-fold direction probabilities and what they earn, for all five folds."""
+    df = model_frame(t)
+    rows = durable(folds.assign(df, folds.anchored_ratio_table(folds.totals(df))))
+    out = models.walk_forward_direction(rows, FEATURES, range(5))
     rows = folds.indexed(out.withColumn("ret", F.col("target") / 100).drop("idx"), ("ts", "seq"), ("fold",))
     return ev.fold_metrics(rows.select("fold", "idx", "prob", "label", "ret"))
 
 
 def residual_model(t):
-    rows = model_rows(t).where("fold = 0").withColumn("first", F.col("bb_pct_b") - 0.5).withColumn("residual", F.col("target") - F.col("first"))
-    return rows, models.train_residual(rows, FEATURES, rounds=3, maxDepth=3)
+    """All rows, the first 80 % of them to train."""
+    rows = folds.chronological(model_frame(t)).withColumn("first", F.col("bb_pct_b") - 0.5).withColumn("residual", F.col("target") - F.col("first"))
+    rows = durable(rows)
+    return rows, models.train_residual(rows, FEATURES)
 
 
 @query("evl_21")

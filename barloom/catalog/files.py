@@ -63,12 +63,12 @@ def _one_day(t):
 
 @query(
     "src_04",
-    sql(f"{BARS}, final AS (SELECT symbol, seq, close AS price, high, low, volume FROM bars WHERE session_date >= DATE '2024-01-10')", "symbol, seq", "price high low volume"),
+    sql(f"{BARS}, final AS (SELECT symbol, seq, close AS price, high, low, volume FROM bars)", "symbol, seq", "price high low volume"),
 )
 def _tree(t):
     """Nested day folders with source column names; half of the files come without a volume alias."""
     path = fresh(t, "tree")
-    b = t.bars().where("session_date >= DATE '2024-01-10'")
+    b = t.bars()
     cols = ["symbol", "seq", F.col("ts").alias("timestamp"), *[F.col(a).alias(f"idx_{a}") for a in ("close", "high", "low", "volume")]]
     b.where("day(session_date) % 2 = 0").select(*cols).repartition(2).write.parquet(f"{path}/2024/even")
     b.where("day(session_date) % 2 = 1").select(*cols).repartition(2).write.parquet(f"{path}/2024/odd")
@@ -95,14 +95,14 @@ LISTED = "('2024-01-03'), ('2024-01-17'), ('2024-02-28')"
 @query(
     "src_07",
     f"""WITH {BARS}, d AS (SELECT CAST(d AS DATE) AS session_date FROM (VALUES {LISTED}) v(d))
-SELECT 'row' AS kind, session_date, count(*) AS n FROM bars WHERE session_date IN (FROM d) GROUP BY session_date
-UNION ALL SELECT 'missing', session_date, 0 FROM d WHERE session_date NOT IN (SELECT session_date FROM bars)""",
+SELECT 'row' AS kind, session_date, symbol, seq, round(close + 3.1415926e-08, 6) + 0e0 AS close FROM bars WHERE session_date IN (FROM d)
+UNION ALL SELECT 'missing', session_date, NULL, NULL, NULL FROM d WHERE session_date NOT IN (SELECT session_date FROM bars)""",
 )
 def _listed(t):
     days = t.spark.sql(f"SELECT CAST(d AS DATE) AS session_date FROM VALUES {LISTED} AS v(d)")
     rows, missing = readers.feature_range(t.bars(), days)
-    have = rows.groupBy(F.lit("row").alias("kind"), "session_date").agg(F.count(F.lit(1)).alias("n"))
-    return have.unionByName(missing.select(F.lit("missing").alias("kind"), "session_date", F.lit(0).cast("long").alias("n")))
+    have = rows.select(F.lit("row").alias("kind"), "session_date", "symbol", "seq", "close")
+    return have.unionByName(missing.select(F.lit("missing").alias("kind"), "session_date"), allowMissingColumns=True)
 
 
 @query("src_09", f"WITH {TICKS} SELECT symbol, seq, {SECONDS} AS ts, volume AS open, volume + 3 AS high, volume - 2 AS low, volume + 1 AS close, CAST(seq AS DOUBLE) AS volume FROM ticks WHERE seq % 6 <> 5")
@@ -209,14 +209,20 @@ def _days(t):
     return df.select("symbol", "seq", "session_date", "close", F.lit(df.schema["close"].metadata["schema_version"]).alias("version"))
 
 
-@query("snk_02", f"WITH {BARS} SELECT 'clean' AS stage, session_date, count(*) AS n FROM bars GROUP BY ALL UNION ALL SELECT 'features', session_date, count(*) FROM bars WHERE seq % 2 = 0 GROUP BY ALL")
+SNK = "symbol, seq, session_date, round(close + 3.1415926e-08, 6) + 0e0 AS close"
+
+
+@query("snk_02", f"WITH {BARS} SELECT 'clean' AS stage, '3.0' AS version, {SNK} FROM bars UNION ALL SELECT 'features', '3.0', {SNK} FROM bars WHERE seq % 2 = 0")
 def _stages(t):
+    """All rows of both stages as read back, with the stage and version that the files carry."""
     out = None
     for stage, rows in (("clean", t.bars()), ("features", t.bars().where("seq % 2 = 0"))):
         path = fresh(t, stage)
         sinks.write_days(rows.select("symbol", "seq", "close", "session_date"), path, stage, spread=2)
-        counts = back(t, path).groupBy("session_date").agg(F.count(F.lit(1)).alias("n")).withColumn("stage", F.lit(stage))
-        out = counts if out is None else out.unionByName(counts)
+        read = back(t, path)
+        says = read.schema["close"].metadata
+        read = read.select(F.lit(says["stage"]).alias("stage"), F.lit(says["schema_version"]).alias("version"), "symbol", "seq", "session_date", "close")
+        out = read if out is None else out.unionByName(read)
     return out
 
 
@@ -234,14 +240,14 @@ def folds(t):
     )
 
 
-@query("snk_03", f"SELECT fold, family, role, count(*) AS n FROM ({FOLDS}) GROUP BY ALL")
+@query("snk_03", sql(f"final AS ({FOLDS})", "event_id, fold, family, role", "value"))
 def _folds(t):
     path = fresh(t, "folds")
     sinks.write_folds(folds(t), path)
-    return back(t, path).groupBy("fold", "family", "role").agg(F.count(F.lit(1)).alias("n"))
+    return back(t, path).select("event_id", F.col("fold").cast("long").alias("fold"), "family", "role", "value")
 
 
-@query("snk_04", sql(f"{TICKS}, final AS (SELECT symbol, {SECONDS} AS ts, price FROM ticks)", "symbol, ts", "price"))
+@query("snk_04", sql(f"{TICKS}, final AS (SELECT symbol, {SECONDS} AS ts, CAST({SECONDS} AS DATE) AS session_date, price, volume FROM ticks)", "symbol, ts, session_date", "price volume"))
 def _convert(t):
     """One CSV folder per symbol in, one partitioned table out."""
     folder = fresh(t, "feeds")
@@ -250,17 +256,19 @@ def _convert(t):
         df.where(F.col("name") == f"{name}_1min.csv").drop("name").write.option("header", True).csv(f"{folder}/{name}_1min.csv")
     path = fresh(t, "converted")
     sinks.convert_csv(t.spark, f"{folder}/*.csv", ["price", "volume"], path)
-    return back(t, path).select("symbol", "ts", "price")
+    return back(t, path).select("symbol", "ts", "session_date", "price", "volume")
 
 
-@query("snk_06", sql(f"{TICKS}, final AS (SELECT symbol, count(*) AS n, avg(price) AS mean FROM ticks GROUP BY symbol)", "symbol, n", "mean"))
+@query("snk_06", sql(f"{TICKS}, final AS (SELECT symbol, seq, price AS prediction, avg(price) OVER () AS mean, max(price) OVER () AS highest, count(*) OVER () AS n FROM ticks)", "symbol, seq, n", "prediction mean highest"))
 def _predictions(t):
+    """The prediction rows next to the summary, both read back."""
     folder = fresh(t, "predictions")
     rows = t.ticks().select("symbol", "seq", F.col("price").alias("prediction"))
-    sinks.write_predictions(rows, rows.agg(F.avg("prediction").alias("mean")), folder)
-    schema = "symbol STRING, seq BIGINT, prediction DOUBLE"
-    read = t.spark.read.schema(schema).option("header", True).csv(f"{folder}/predictions")
-    return read.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("mean"))
+    summary = rows.agg(F.avg("prediction").alias("mean"), F.max("prediction").alias("highest"), F.count(F.lit(1)).alias("n"))
+    sinks.write_predictions(rows, summary, folder)
+    read = t.spark.read.schema("symbol STRING, seq BIGINT, prediction DOUBLE").option("header", True).csv(f"{folder}/predictions")
+    metrics = t.spark.read.schema("mean DOUBLE, highest DOUBLE, n BIGINT").json(f"{folder}/metrics")
+    return read.crossJoin(F.broadcast(metrics))  # one row
 
 
 @query("snk_07", "SELECT DISTINCT CAST(ts AS DATE) AS session_date FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-21'")

@@ -117,15 +117,19 @@ def oi_levels(t):
     side = F.col("l_linenumber") % 2
     return t.raw("lineitem").groupBy(F.col("l_shipdate").cast("timestamp_ntz").alias("ts")).agg(
         F.sum(F.when(side == 0, F.col("l_quantity"))).alias("call_oi"), F.sum(F.when(side == 1, F.col("l_quantity"))).alias("put_oi")
-    ).where("call_oi IS NOT NULL AND put_oi IS NOT NULL")
+    )
 
 
 def ema5(x: str, out: str, source: str = "lv") -> str:
-    return scan(source, x, "$a * (2e0/3) + $x / 3", keys="k", order="ts", name=out, ident="ts")
+    """Span 5 with gaps: the mean is kept over a null while the weight of the past decays. A state is [mean, weight]."""
+    return f"""(SELECT k, unnest(tss) AS ts, unnest(list_transform(ys, lambda s: s[1])) AS {out} FROM (SELECT k, list(ts ORDER BY ts) AS tss,
+    list_reduce(list_transform(list({x} ORDER BY ts), lambda x: [[x, 1e0]]), lambda acc, v: list_append(acc,
+      CASE WHEN v[1][1] IS NULL THEN [acc[-1][1], acc[-1][2] * (2e0/3)] WHEN acc[-1][1] IS NULL THEN [v[1][1], 1e0]
+      ELSE [(acc[-1][2] * (2e0/3) * acc[-1][1] + v[1][1] / 3) / (acc[-1][2] * (2e0/3) + 1e0/3), 1e0] END)) AS ys FROM {source} GROUP BY k))"""
 
 
 LEVELS = f"""{OI}, d AS (SELECT *, coalesce(call_oi - lag(call_oi) OVER (ORDER BY ts), 0) AS dc, coalesce(put_oi - lag(put_oi) OVER (ORDER BY ts), 0) AS dp
-  FROM oi WHERE call_oi IS NOT NULL AND put_oi IS NOT NULL),
+  FROM oi),
 lv AS (SELECT ts, k, (call_oi - put_oi) / (call_oi + put_oi + 1) AS imb, (dc - dp) / (abs(dc) + abs(dp) + 1) AS flow, put_oi / (call_oi + 1) AS pcr FROM d)"""
 
 

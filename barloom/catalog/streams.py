@@ -94,11 +94,20 @@ def _recurrences(t):
     return out.select("symbol", "seq", *[v.alias(k) for k, v in clean.items()], "kalman_price")
 
 
-@query("str_04", f"WITH {TICKS} SELECT DISTINCT symbol, date_trunc('minute', ts) AS ts FROM ticks")
+@query(
+    "str_04",
+    sql(
+        f"""{TICKS}, m AS (SELECT * REPLACE (date_trunc('minute', ts) AS ts) FROM ticks),
+final AS (SELECT symbol, ts, min(seq) AS seq, arg_min(price, seq) AS price, arg_min(volume, seq) AS volume FROM m GROUP BY symbol, ts)""",
+        "symbol, ts, seq",
+        "price volume",
+    ),
+)
 def _first(t):
-    rows = ticks(t).withColumn("ts", F.date_trunc("minute", "ts").cast("timestamp_ntz"))
-    _, out = drained(t, bars.stream_first(rows, "2 hours"), "stream-first")
-    return out.select("symbol", utc_wall(F.col("ts")).alias("ts"))
+    """The tick that is kept of each minute, of ticks that arrive late and out of order."""
+    minute = lambda s: s.withColumn("ts", F.date_trunc("minute", "ts"))
+    out = replayed(t, lambda s: ordered.stream_first(minute(s), ["price", "volume"], **LATE), "stream-first")
+    return out.select("symbol", utc_wall(F.col("ts")).alias("ts"), "seq", "price", "volume")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.catalog.base import BARS, TICKS, query, sql
 from barloom.catalog.sessions import RETURNS, returns
 from barloom.operators import clean, folds, quality, scaling
-from barloom.session import checkpoint_dir
+from barloom.session import checkpoint_dir, durable
 
 ROWS = f"""{TICKS}, rows0 AS (SELECT row_number() OVER (ORDER BY ts, seq) - 1 AS idx, seq, ts, symbol, CASE WHEN seq % 17 > 0 THEN price END AS x, volume AS y,
   CASE WHEN (seq * 7) % 10 < 4 THEN 1 ELSE 0 END AS target, count(*) OVER () AS total FROM ticks)"""
@@ -30,8 +30,9 @@ def rows(t):
 
 LAG = "OVER (PARTITION BY symbol ORDER BY ts, seq)"
 PAST = "OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
-SEQ = f"""sq AS (SELECT symbol, seq, lag(price, 5) {LAG} AS oldest_price, lag(volume) {LAG} AS newest_volume, lag(price) {LAG} AS feature_price,
-  sum(price) {PAST} + sum(volume) {PAST} AS total, count(*) {PAST} AS n, price AS target FROM ticks)"""
+SEQ_CELLS = [(f"{c}_{i}", c, 5 - i) for i in range(5) for c in ("price", "volume")]  # oldest row first
+SEQ = f"""sq AS (SELECT symbol, seq, {', '.join(f'lag({c}, {back}) {LAG} AS {name}' for name, c, back in SEQ_CELLS)},
+  lag(price) {LAG} AS feature_price, lag(volume) {LAG} AS feature_volume, count(*) {PAST} AS n, price AS target FROM ticks)"""
 
 
 def samples(t):
@@ -43,24 +44,18 @@ def cell(name: str, i: int, j: int):
     return F.get(F.get(name, F.lit(i)), F.lit(j))
 
 
-@query("prp_01", sql(f"{TICKS}, {SEQ}, final AS (SELECT * FROM sq WHERE n = 5)", "symbol, seq", "oldest_price newest_volume feature_price total target"))
+@query("prp_01", sql(f"{TICKS}, {SEQ}, final AS (SELECT * FROM sq WHERE n = 5)", "symbol, seq", " ".join(x[0] for x in SEQ_CELLS) + " feature_price feature_volume target"))
 def _sequences(t):
-    total = F.aggregate(folds.flat(F.col("sequence")), F.lit(0.0), lambda a, v: a + v)
-    return samples(t).select(
-        "symbol",
-        "seq",
-        cell("sequence", 0, 0).alias("oldest_price"),
-        cell("sequence", 4, 1).alias("newest_volume"),
-        F.get("features", F.lit(0)).alias("feature_price"),
-        total.alias("total"),
-        "target",
-    )
+    """Every cell of the history, the features and the target of each sample."""
+    history = [cell("sequence", i, j).alias(f"{c}_{i}") for i in range(5) for j, c in enumerate(("price", "volume"))]
+    features = [F.get("features", F.lit(j)).alias(f"feature_{c}") for j, c in enumerate(("price", "volume"))]
+    return samples(t).select("symbol", "seq", *history, *features, "target")
 
 
-@query("prp_02", sql(f"{TICKS}, {SEQ}, final AS (SELECT symbol, seq, 10 AS width, oldest_price AS first_value, newest_volume AS last_value FROM sq WHERE n = 5)", "symbol, seq, width", "first_value last_value"))
+@query("prp_02", sql(f"{TICKS}, {SEQ}, final AS (SELECT symbol, seq, 10 AS width, {', '.join(f'{x[0]} AS x{k}' for k, x in enumerate(SEQ_CELLS))} FROM sq WHERE n = 5)", "symbol, seq, width", " ".join(f"x{k}" for k in range(10))))
 def _flat(t):
     f = folds.flat(F.col("sequence"))
-    return samples(t).select("symbol", "seq", F.size(f).alias("width"), F.get(f, F.lit(0)).alias("first_value"), F.get(f, F.lit(9)).alias("last_value"))
+    return samples(t).select("symbol", "seq", F.size(f).alias("width"), *[F.get(f, F.lit(k)).alias(f"x{k}") for k in range(10)])
 
 
 # -- folds -----------------------------------------------------------------------------------------
@@ -146,7 +141,7 @@ def _weights(t):
     return folds.class_weight(scaling.train_rows(folded(t)), "target")
 
 
-@query("prp_18")
+@query("prp_18", f"WITH {TICKS} SELECT symbol, seq, CASE WHEN CAST('0x' || left(md5('42:' || seq), 8) AS BIGINT) < 0.8e0 * 4294967296 THEN 'train' ELSE 'val' END AS role FROM ticks")
 def _hashed(t):
     return folds.hashed_split(t.ticks().select("symbol", "seq"), ["seq"])
 
@@ -232,7 +227,7 @@ def _robust(t):
 
 @query("prp_12")
 def _power(t):
-    df = folded(t).where("x IS NOT NULL")
+    df = folded(t)
     p = scaling.fit_power(scaling.train_rows(df), ["x", "y"])
     return scaling.apply_power(df, p, ["x", "y"]).select("seq", "fold", "role", "x", "y")
 
@@ -265,13 +260,16 @@ def _invert(t):
     return scaling.apply_scale(there, p, ["x", "y"], inverse=True).select("seq", "fold", "role", "x", "y")
 
 
-@query("prp_16", sql(f"{ALL}, {STD}, final AS (SELECT fold, mx AS x_center, sx AS x_scale FROM sp)", "fold", "x_center x_scale"))
+@query("prp_16", sql(f"{ALL}, {STD}, final AS (SELECT fold, mx AS x_center, sx AS x_scale, my AS y_center, sy AS y_scale, count(*) AS n, 0e0 AS max_gap FROM folded JOIN sp USING (fold) GROUP BY ALL)", "fold, n", "x_center x_scale y_center y_scale max_gap"))
 def _persist(t):
+    """Fitted scalers written, reloaded, and compared on all rows with the ones that were fitted."""
     import uuid
 
+    df = durable(folded(t))
     path = f"{checkpoint_dir(t.spark)}/tables/scaler-{uuid.uuid4().hex}"
-    scaling.fit_standard(scaling.train_rows(folded(t)), ["x"]).write.parquet(path)
-    return t.spark.read.parquet(path)
+    fitted = durable(scaling.fit_standard(scaling.train_rows(df), ["x", "y"]))
+    fitted.write.parquet(path)
+    return scaling.reload_gap(df, fitted, t.spark.read.parquet(path), ["x", "y"])
 
 
 # -- audits ----------------------------------------------------------------------------------------

@@ -217,8 +217,9 @@ def test_membership(df: DataFrame, groups: int = 16, test_groups: int = 8, limit
 
 def hashed_split(df: DataFrame, key: Sequence[str], ratio: float = 0.8, seed: int = 42) -> DataFrame:
     """Seeded row-level split by the hash of the key: the same rows whatever the partitioning."""
-    share = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000)) / 1e6
-    return df.withColumn("role", F.when(share < ratio, "train").otherwise("val"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]))
+    share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return df.withColumn("role", F.when(share < ratio * float(1 << 32), "train").otherwise("val"))
 
 
 def class_weight(df: DataFrame, label: str = "label", keys: Sequence[str] = ("fold",)) -> DataFrame:

@@ -193,6 +193,19 @@ def apply_scale(df: DataFrame, params: DataFrame, cols: Sequence[str], keys: Seq
     return out.withColumns(move).drop(*[f"{c}_{s}" for c in cols for s in ("center", "scale")])
 
 
+def reload_gap(df: DataFrame, fitted: DataFrame, reloaded: DataFrame, cols: Sequence[str], keys: Sequence[str] = FOLD) -> DataFrame:
+    """The reloaded parameters per key with the rows they were tried on and the largest gap to the fitted scaler's results."""
+    keys, names = list(keys), [f"_{c}" for c in cols]
+    twice = df.select(*keys, *cols, *[F.col(c).alias(n) for c, n in zip(cols, names)])
+    there = apply_scale(twice, fitted, cols, keys)
+    again = there.withColumnsRenamed({c: f"{c}_fit" for c in cols}).withColumnsRenamed(dict(zip(names, cols)))
+    again = apply_scale(again, reloaded, cols, keys)
+    gap = F.greatest(*[F.max(F.coalesce(F.abs(F.col(c) - F.col(f"{c}_fit")), F.lit(0.0))) for c in cols])
+    if len(cols) == 1:
+        gap = F.max(F.coalesce(F.abs(F.col(cols[0]) - F.col(f"{cols[0]}_fit")), F.lit(0.0)))
+    return reloaded.join(again.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), gap.alias("max_gap")), keys)
+
+
 def sequence_weight(row: Column, seq_len: int, samples: Column) -> Column:
     """How many of ``samples`` overlapping histories of ``seq_len`` rows hold the given row."""
     first, last = F.greatest(row + 1, F.lit(seq_len)), F.least(row + seq_len, samples + (seq_len - 1))

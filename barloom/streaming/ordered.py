@@ -189,6 +189,20 @@ def stream_recurrences(ticks: DataFrame, span: int = 12, rsi: int = 14, **kw) ->
     return in_order(ticks, step, carried, "symbol string, ts timestamp, seq bigint, ema double, rsi double, kalman_price double", ["price"], **kw)
 
 
+# -- duplicates ------------------------------------------------------------------------------------
+
+
+def stream_first(ticks: DataFrame, values: Sequence[str] = ("price",), **kw) -> DataFrame:
+    """``symbol, ts, seq`` and ``values`` of the first tick (least ``seq``) of each symbol and timestamp, whichever arrived first."""
+
+    def step(key: tuple, rows: pd.DataFrame, carried: tuple | None, until: int):
+        one = rows.drop_duplicates("us")
+        return pd.DataFrame({**_row_ids(key, one), **{c: one[c].astype("float64") for c in values}}), (0,)
+
+    output = "symbol string, ts timestamp, seq bigint, " + ", ".join(f"{c} double" for c in values)
+    return in_order(ticks, step, "none int", output, values, **kw)
+
+
 # -- silences --------------------------------------------------------------------------------------
 
 
