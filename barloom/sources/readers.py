@@ -54,22 +54,41 @@ def read_ticks(spark: SparkSession, path: str, dedupe: bool = True) -> DataFrame
     return _as_ticks(df, dedupe)
 
 
-def read_tick_tree(spark: SparkSession, folder: str, newest: int | None = None, dedupe: bool = True, glob: str = "*.parquet") -> DataFrame:
-    """Parquet files anywhere below a folder, optionally the newest by name; unreadable files are skipped."""
+def _tree(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     reader = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .option("ignoreCorruptFiles", True)
         .option("mergeSchema", True)
     )
-    df = reader.parquet(folder)
-    if newest is not None:
-        df = df.withColumn("_file", F.col("_metadata.file_path"))
-        keep = df.select("_file").distinct().orderBy(F.col("_file").desc()).limit(newest)
-        df = df.join(F.broadcast(keep), "_file", "left_semi").drop("_file")
+    return reader.parquet(folder)
+
+
+def read_tick_tree(spark: SparkSession, folder: str, newest: int | None = None, dedupe: bool = True, glob: str = "*.parquet") -> DataFrame:
+    """Parquet files anywhere below a folder, optionally the newest by name; unreadable files are skipped, ``silent_files`` names
+    them. The newest are chosen from the listing, so other files are not opened."""
+    if newest is None:
+        return _as_ticks(_tree(spark, folder, glob), dedupe)
+    names = _listing(spark, folder, glob).orderBy(F.col("path").desc()).limit(newest)
+    paths = [r["path"] for r in names.collect()]  # as many as asked for
+    df = spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True).parquet(*paths)
     return _as_ticks(df, dedupe)
 
 
+def _listing(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """``path, length`` of the files below a folder; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    return files.load(folder).select("path", "length")
+
+
+def silent_files(spark: SparkSession, folder: str, glob: str = "*.parquet") -> DataFrame:
+    """``path, length`` of the files that gave no row: unreadable ones, and files without rows."""
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    seen = _tree(spark, folder, glob).select(plain(F.col("_metadata.file_path")).alias("_seen")).distinct()
+    files = _listing(spark, folder, glob)
+    return files.join(seen, plain(F.col("path")) == F.col("_seen"), "left_anti")
+
+
 def price_column(columns: Sequence[str], wanted: str | None = None) -> str:
     """Price column of a constituent table: the wanted one, else the first known name."""
     for name in ([wanted] if wanted else []) + list(PRICE_PRIORITY):

@@ -363,6 +363,17 @@ def test_newest_files_only(spark, tmp_path):
     assert sorted(r.price for r in got.collect()) == [2.0, 3.0]
 
 
+def test_files_without_rows_are_named(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    good = pd.DataFrame({"timestamp": [pd.Timestamp("2024-01-01")], "idx_close": 1.0, "idx_high": 1.0, "idx_low": 1.0, "idx_volume": 1.0})
+    good.to_parquet(tmp_path / "a" / "good.parquet", coerce_timestamps="us")
+    good.head(0).to_parquet(tmp_path / "empty.parquet", coerce_timestamps="us")
+    (tmp_path / "a" / "torn.parquet").write_bytes((tmp_path / "a" / "good.parquet").read_bytes()[:-20])
+    assert readers.read_tick_tree(spark, str(tmp_path)).count() == 1
+    got = {r.path.rsplit("/", 1)[1]: r.length for r in readers.silent_files(spark, str(tmp_path)).collect()}
+    assert got.keys() == {"empty.parquet", "torn.parquet"} and got["torn.parquet"] == (tmp_path / "a" / "torn.parquet").stat().st_size
+
+
 def two_batches(spark, folder, rows=120):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame(
