@@ -11,22 +11,26 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.common import read_table, staged
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
-#: Training documents per language, about (a hash threshold); the model's only sample.
-TRAIN_DOCS = 4_000
-#: Words, and n-grams of each order, that every language brings into the model.
-MODEL_WORDS = 30_000
-MODEL_GRAMS = 20_000
-LONGEST = 48  # longer words are scored by their n-grams only
+#: Training documents per language, about (a hash threshold): the model's only sample. All of its words and n-grams are kept.
+TRAIN_DOCS = 1_000
 UNDEFINED = "und"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters (Unicode category L), lower-cased; numbers that are no digits, such as fractions, part them."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for w in found for c in (*w, " ")).split()
+
+
 def grams(word: str, n: int) -> list[str]:
     padded = f"<{word}>"
     return [padded[k : k + n] for k in range(len(padded) - n + 1)]
@@ -55,8 +59,8 @@ def term_counts(rows: DataFrame) -> DataFrame:
             for lang, texts in b.groupby("lang", sort=False)["text"]:
                 words = Counter()
                 for t in texts:
-                    words.update(WORD.findall(t.lower()))
-                counts = {(0, w): n for w, n in words.items() if len(w) <= LONGEST}
+                    words.update(words_of(t))
+                counts = {(0, w): n for w, n in words.items()}
                 for w, n in words.items():
                     for order in ORDERS:
                         for g in grams(w, order):
@@ -121,7 +125,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its score: the share of the best language in the softmax of the scores over the root of the word count."""
-        words = WORD.findall((text or "").lower())
+        words = words_of(text or "")
         if not words or not self.langs:
             return UNDEFINED, 0.0
         rows = self.seen.rows(words)
@@ -131,19 +135,17 @@ class Model:
         return self.langs[best], float(share[best] / share.sum())
 
 
-def fit(docs: DataFrame, per_language: int = TRAIN_DOCS, words: int = MODEL_WORDS, n_grams: int = MODEL_GRAMS) -> Model:
-    """Learn from ``text`` and ``lang``: the most frequent terms of every language, with their counts in all languages.
+def fit(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
+    """Learn from ``text`` and ``lang``: every word and n-gram of the sample, with its counts in all languages.
 
-    What reaches the driver is bounded by the term limits times the number of languages.
+    What reaches the driver is bounded by the sample: ``per_language`` documents of each language.
     """
     counts = staged(term_counts(training_rows(docs, per_language)), "terms")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return Model([], {})
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "term"))
-    kept = counts.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == 0, words).otherwise(n_grams)).select("kind", "term").distinct()
     by_lang = F.array(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)) for x in langs])
-    got = counts.join(kept, ["kind", "term"], "left_semi").groupBy("kind", "term").agg(by_lang.alias("n")).toArrow()
+    got = counts.groupBy("kind", "term").agg(by_lang.alias("n")).toArrow()
     kinds, names, table = got["kind"].to_numpy(), got["term"], got["n"].combine_chunks().flatten().to_numpy().reshape(-1, max(len(langs), 1))
     return Model(langs, {k: (names.filter(kinds == k).to_pylist(), table[kinds == k]) for k in sorted(set(kinds.tolist()))})
 
