@@ -29,6 +29,8 @@ SURE = 3.0
 #: Scores (over the root of the token count, as long texts hold more words of either kind) are counted in tenths from -SPAN to SPAN.
 SPAN = 10.0
 BINS = int(20 * SPAN) + 1
+#: One posterior for each pair of score bins.
+MOST_POSTERIORS = BINS * BINS
 #: A token is a run of letters or a run of other characters without white space.
 TOKEN = r"\\p{L}+|[^\\p{L}\\s]+"
 
@@ -136,45 +138,73 @@ def _solve(a: list[list[float]], b: list[float]) -> list[float]:
     return [rows[k][n] / rows[k][k] if abs(rows[k][k]) >= 1e-300 else 0.0 for k in range(n)]
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = 12, ridge: float = 0.0, tolerance: float = 1e-4) -> Column:
-    """The rate as a column of ``members(tokens, p_<domain>)``.
+def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = 20_000, ridge: float = 0.0, tolerance: float = 1e-10) -> DataFrame:
+    """``members(tokens, p_<domain>, ...)`` with ``rate``, the same for equal posteriors.
 
     Projected gradient descent on the squared gap between expected and wanted tokens per domain, measured by the inverse
     second moments of the posteriors so that a step of length 1 is right, plus ``ridge`` times the squared distance of the
-    rates from 1 (both token-weighted). It ends when the gap is within ``tolerance`` of all tokens, when it has stopped to
-    shrink by as much, or after ``steps``. Each step is one aggregation to as many sums as there are domains; the rate is a
-    fold over the steps' pulls on the posteriors, so no per-document state is written between steps.
+    rates from 1 (both token-weighted). All documents of one posterior have one gradient, so the documents are summed by
+    posterior once, over the cluster; posteriors come out of score bins, which bounds them by ``MOST_POSTERIORS``. The steps, with
+    momentum that restarts when the gap grows, go over these sums until the gap changes by less than ``tolerance`` of all
+    tokens in fifty steps.
     """
-    names = list(targets)
-    p = [F.col(f"p_{d}") for d in names]
-    t = F.col("tokens").cast("double")
-    squares = [F.sum(t * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(len(p)) for j in range(len(p))]
-    start = members.agg(F.sum(t).alias("all"), *squares).first()
-    every = start["all"] or 0.0
-    if not every:
-        return F.lit(1.0)
-    second = [[start[f"m{i}_{j}"] + (1e-9 * every if i == j else 0.0) for j in range(len(p))] for i in range(len(p))]
-    share = sum(targets.values())
-    wanted = [(budget if budget is not None else every) * targets[d] / share for d in names]
-    pulls: list[list[float]] = []
-    last = math.inf
-
-    def rate() -> Column:
-        if not pulls:
-            return F.lit(1.0)
-        moves = F.array(*[F.array(*map(F.lit, pull)) for pull in pulls])
-        step = lambda r, g: F.greatest(F.lit(0.0), (1 - ridge) * r + F.lit(ridge) - sum((g[k] * q for k, q in enumerate(p)), F.lit(0.0)))
-        return F.aggregate(moves, F.lit(1.0), step)
-
-    for _ in range(steps):
-        got = members.withColumn("_rate", rate()).agg(*[F.sum(t * q * F.col("_rate")).alias(f"t{k}") for k, q in enumerate(p)]).first()
-        gap = [got[f"t{k}"] - w for k, w in enumerate(wanted)]
-        size = max(map(abs, gap))
-        if size <= tolerance * every or last - size <= tolerance * every:
-            break
-        last = size
-        pulls.append([float(v) for v in _solve(second, gap)])
-    return rate()
+    names = [f"p_{d}" for d in targets]
+    sums = members.groupBy(*names).agg(F.sum(F.col("tokens").cast("double")).alias("tokens")).orderBy(*names).limit(MOST_POSTERIORS + 1).collect()
+    if len(sums) > MOST_POSTERIORS:
+        raise ValueError(f"more than {MOST_POSTERIORS} different posteriors: bin them")
+    cells = [([r[n] for n in names], r["tokens"] or 0.0) for r in sums]
+    every = sum(t for _, t in cells)
+    rates = [1.0] * len(cells)
+    if every:
+        share = sum(targets.values())
+        wanted = [(budget if budget is not None else every) * x / share for x in targets.values()]
+        rates = _descend(cells, wanted, every, steps, ridge, tolerance)
+    rows = [(*p, r) for (p, _), r in zip(cells, rates)]
+    table = members.sparkSession.createDataFrame(rows, ", ".join(f"_{n} double" for n in names) + ", rate double")
+    same = F.lit(True)
+    for n in names:
+        same = same & members[n].eqNullSafe(table[f"_{n}"])
+    kept = [c for c in members.columns if c != "rate"]
+    # MOST_POSTERIORS rows at most
+    return members.join(F.broadcast(table), same).select(*[members[c] for c in kept], "rate")
+
+
+def _descend(cells: list[tuple[list[float], float]], wanted: list[float], every: float, steps: int, ridge: float, tolerance: float) -> list[float]:
+    """Rates of the cells ``(posterior, tokens)``."""
+    k = range(len(wanted))
+    second = [[sum(t * p[i] * p[j] for p, t in cells) + (1e-9 * every if i == j else 0.0) for j in k] for i in k]
+    inverse = list(zip(*[_solve(second, [float(i == j) for j in k]) for i in k]))
+
+    def gap(rates: list[float]) -> list[float]:
+        out = [-w for w in wanted]
+        for (p, t), r in zip(cells, rates):
+            for i in k:
+                out[i] += t * r * p[i]
+        return out
+
+    def loss(g: list[float], rates: list[float]) -> float:
+        near = ridge * sum(t * (r - 1.0) ** 2 for (_, t), r in zip(cells, rates)) if ridge else 0.0
+        return sum(g[i] * inverse[i][j] * g[j] for i in k for j in k) + near
+
+    rates = ahead = [1.0] * len(cells)
+    momentum, best, checked = 1.0, loss(gap(rates), rates), None
+    for step in range(steps):
+        g = gap(ahead)
+        pull = [sum(inverse[i][j] * g[j] for j in k) for i in k]
+        moved = [max(0.0, y - (sum(a * b for a, b in zip(p, pull)) + ridge * (y - 1.0)) / (1.0 + ridge)) for (p, _), y in zip(cells, ahead)]
+        left = gap(moved)
+        now = loss(left, moved)
+        if now > best and momentum > 1.0:  # overshot: start anew from the last rates
+            momentum, ahead = 1.0, rates
+            continue
+        grown = (1.0 + math.sqrt(1.0 + 4.0 * momentum * momentum)) / 2.0
+        ahead = [m + (momentum - 1.0) / grown * (m - r) for m, r in zip(moved, rates)]
+        rates, momentum, best = moved, grown, min(now, best)
+        if step % 50 == 0:
+            if checked is not None and max(abs(x - y) for x, y in zip(left, checked)) <= tolerance * every:
+                break
+            checked = left
+    return rates
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -186,7 +216,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """
     model, chances = word_model(docs, labels, train_docs)
     members = staged(posteriors(docs, model, chances), "posteriors")
-    return members.withColumn("rate", fit_rates(members, targets or TARGETS, budget))
+    return fit_rates(members, targets or TARGETS, budget)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
