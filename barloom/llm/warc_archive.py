@@ -30,7 +30,7 @@ BLOCK_LINES = 1000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BREAK = "\r\n"
-ENTRY = "key string, page_id {id}, file string, offset bigint, length bigint"
+ENTRY = "key string, page_id {id}, digest string, file string, offset bigint, length bigint"
 
 
 def url_key(url: Column) -> Column:
@@ -137,9 +137,9 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 refers_to = None if pd.isna(r.refers_to) else int(r.refers_to)
                 payload = b"" if refers_to is not None or r.html is None else r.html.encode()
                 raw = _packed(_record("response" if refers_to is None else "revisit", page_id, r.url, r.payload_digest, r.payload_bytes, refers_to, payload))
-                entries.append((r.key, page_id, name, out.add(raw), len(raw)))
+                entries.append((r.key, page_id, r.payload_digest, name, out.add(raw), len(raw)))
             if entries:
-                yield pd.DataFrame(entries, columns=["key", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
+                yield pd.DataFrame(entries, columns=["key", "page_id", "digest", "file", "offset", "length"]).astype({"page_id": "Int64"})
         if out is not None:
             out.close()
 
@@ -149,7 +149,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 def write_index(entries: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Write the sorted blocks and a directory per index file; ``first_key, file`` of every index file, in order of keys."""
     folder = _uri(folder)
-    ordered = entries.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset").withColumn("part", F.spark_partition_id())
+    ordered = entries.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "digest", "file", "offset").withColumn("part", F.spark_partition_id())
 
     def run(batches):
         out, name, held, directory = None, None, [], []
@@ -165,7 +165,7 @@ def write_index(entries: DataFrame, folder: str, block_lines: int = BLOCK_LINES)
                     name = f"index-{r.part:05d}.gz"
                     out = _File(folder, name)
                 page_id = None if pd.isna(r.page_id) else int(r.page_id)
-                place = sort_place(r.key, page_id)
+                place = sort_place(r.key, page_id, r.digest)
                 held.append((place, json.dumps([*place, r.file, int(r.offset), int(r.length)])))
                 if len(held) == block_lines:
                     flush()
@@ -181,13 +181,13 @@ def write_index(entries: DataFrame, folder: str, block_lines: int = BLOCK_LINES)
     return staged(ordered.mapInPandas(run, "key string, id string, file string"), "index-files")
 
 
-def sort_place(key: str, page_id: int | None) -> list:
-    """Place of a capture in the index, as its sort compares it: key by bytes, then page_id, nulls first."""
-    return [key, page_id is not None, page_id or 0]
+def sort_place(key: str, page_id: int | None, digest: str = "") -> list:
+    """Place of a capture in the index, as its sort compares it: key by bytes, then page_id, nulls first, then payload digest."""
+    return [key, page_id is not None, page_id or 0, digest]
 
 
 def _order(place: list) -> tuple:
-    return place[0].encode(), place[1], place[2]
+    return place[0].encode(), *place[1:]
 
 
 class Index:
@@ -203,31 +203,44 @@ class Index:
         with self.store.open_input_file(f"{self.path}/{name}") as f:
             return f.read_at(length, offset)
 
-    def find(self, key: str, page_id: int | None) -> tuple[str, int, int] | None:
-        """File, offset and length of a capture."""
-        want = _order(sort_place(key, page_id))
-        k = bisect.bisect_right(self.first, want) - 1
-        if k < 0:
-            return None
+    def _open_block(self, b: int) -> None:
+        if self.block_at != b:
+            _, offset, length = self.directory[b]
+            self.block = [json.loads(line) for line in gzip.decompress(self._range(self.name, offset, length)).splitlines()]
+            self.block_at = b
+
+    def _first_from(self, k: int, want: tuple) -> list | None:
+        """First entry of file ``k`` at ``want`` or behind it."""
         if self.name != (name := self.files[k][1]):
             with self.store.open_input_file(f"{self.path}/{name}.directory") as f:
                 self.directory = [(_order(p), o, n) for p, o, n in json.loads(f.read())]
             self.name, self.block_at = name, None
-        b = bisect.bisect_right(self.directory, want, key=lambda d: d[0]) - 1
-        if b < 0:
+        b = max(bisect.bisect_right(self.directory, want, key=lambda d: d[0]) - 1, 0)
+        self._open_block(b)
+        at = bisect.bisect_left(self.block, want, key=lambda e: _order(e[:4]))
+        if at == len(self.block):
+            if b + 1 == len(self.directory):
+                return None
+            self._open_block(b + 1)
+            at = 0
+        return self.block[at]
+
+    def find(self, key: str, page_id: int | None, digest: str | None = None) -> tuple[str, int, int] | None:
+        """File, offset and length of a capture: of the one with this payload digest, or of the first one."""
+        place = sort_place(key, page_id, digest or "")
+        want = _order(place)
+        k = max(bisect.bisect_right(self.first, want) - 1, 0)
+        entry = self._first_from(k, want) if self.files else None
+        if entry is None and k + 1 < len(self.files):
+            entry = self._first_from(k + 1, want)
+        if entry is None or entry[:3] != place[:3] or digest not in (None, entry[3]):
             return None
-        if self.block_at != b:
-            _, offset, length = self.directory[b]
-            self.block = [json.loads(line) for line in gzip.decompress(self._range(name, offset, length)).splitlines()]
-            self.block_at = b
-        at = bisect.bisect_left(self.block, want, key=lambda e: _order(e[:3]))
-        if at < len(self.block) and _order(self.block[at][:3]) == want:
-            return tuple(self.block[at][3:])
-        return None
+        return tuple(entry[4:])
 
 
 def look_up(wanted: DataFrame, index_files: DataFrame, folder: str) -> DataFrame:
-    """Read back the captures ``wanted(key, page_id)``: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
+    """Read back the captures ``wanted(key, page_id, payload_digest)``: ``page_id, payload_bytes, payload_digest, record_type,
+    refers_to``. Without a digest column the first capture of a key and page_id is read.
 
     Captures that are not in the index give no row. Payloads are digested again; a record that does not hold what its header
     says raises. Wanted keys are read in index order, so a task touches few blocks; records are then read per archive file.
@@ -241,7 +254,8 @@ def look_up(wanted: DataFrame, index_files: DataFrame, folder: str) -> DataFrame
         index = Index(folder, files)
         for b in batches:
             ids = [None if pd.isna(p) else int(p) for p in b["page_id"]]
-            found = [(p, *f) for k, p in zip(b["key"], ids) if (f := index.find(k, p))]
+            digests = b["payload_digest"] if "payload_digest" in b else [None] * len(b)
+            found = [(p, *f) for k, p, d in zip(b["key"], ids, digests) if (f := index.find(k, p, d))]
             yield pd.DataFrame(found, columns=["page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
 
     placed = wanted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInPandas(locate, f"page_id {kind}, file string, offset bigint, length bigint")
@@ -280,8 +294,8 @@ def archive_and_read(pages: DataFrame, folder: str | None = None, least_bytes: i
     """Write ``pages(page_id, url, html)`` as archives with an index, look every page up again, one row per row.
 
     ``page_id`` is a whole number. Null html is an empty payload, a null url an empty key. Rows with a null page_id are archived
-    and found too; they never answer for others. Repeated page_ids are one capture per row of the archive, found once per row
-    through the first of equal places. An empty table gives an empty result; other columns are not read.
+    and found too; they never answer for others. Rows of one page_id with different payloads are found by their own payload. An
+    empty table gives an empty result; other columns are not read.
     """
     spark = pages.sparkSession
     folder = folder or fresh_folder(spark, "warc")
@@ -291,7 +305,7 @@ def archive_and_read(pages: DataFrame, folder: str | None = None, least_bytes: i
     typed = pages.withColumn("_digest", digest).join(types, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("_digest") == F.col("payload_digest")))
     entries = write_archives(typed.drop("_page", "_digest"), folder)
     index_files = write_index(entries, folder)
-    return look_up(pages.select(url_key(F.col("url")).alias("key"), "page_id"), index_files, folder)
+    return look_up(pages.select(url_key(F.col("url")).alias("key"), "page_id", digest.alias("payload_digest")), index_files, folder)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
