@@ -3,6 +3,11 @@
 A text is cut into pre-tokens that no merge can cross. All unseen pre-tokens of a batch are laid out as one ragged array of
 symbols; in every round each sequence applies its lowest-ranked pair, all sequences at once, until none has a pair left.
 The surviving symbols are counted, with one token per UTF-8 byte of a character that the vocabulary does not hold.
+
+A pre-token of more than ``LONG`` characters (a page without spaces, base64) would need as many rounds as it has pairs of
+different ranks. There a round applies every pair that has the lowest rank within ``reach`` symbols on both sides. No earlier
+merge can touch such a pair: what an earlier merge makes is a piece, no piece is longer than ``reach`` characters, and it
+would have to start from a pair of lower rank.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 NO_RANK = np.iinfo(np.int64).max
+LONG = 256
 
 
 @dataclass
@@ -55,6 +61,7 @@ class Vocabulary:
                 if self._symbol(left, at) is not None and self._symbol(right, at) is not None:
                     pairs[self._symbol(left, at), self._symbol(right, at)] = k
         self.width = len(self.pieces) + 1
+        self.reach = max(map(len, at), default=1)
         keys = np.array([a * self.width + b for a, b in pairs], np.int64)
         sort = np.argsort(keys)
         self.keys, self.made = keys[sort], np.array(list(pairs.values()), np.int64)[sort]
@@ -74,6 +81,16 @@ class Vocabulary:
 
     def count(self, tokens: list[str]) -> np.ndarray:
         """Number of surviving symbols of every pre-token."""
+        long = np.fromiter((len(t) > LONG for t in tokens), bool, len(tokens))
+        if not long.any():
+            return self._merge(tokens, self._lowest_of_sequences)
+        out = np.empty(len(tokens), np.int64)
+        for at, chosen in ((~long, self._lowest_of_sequences), (long, self._lowest_nearby)):
+            if at.any():
+                out[at] = self._merge([tokens[k] for k in np.flatnonzero(at)], chosen)
+        return out
+
+    def _merge(self, tokens: list[str], chosen) -> np.ndarray:
         text = "".join(tokens)
         unknown = len(self.pieces)
         symbols = np.fromiter((self.chars.get(c, unknown) for c in text), np.int64, len(text))
@@ -87,20 +104,74 @@ class Vocabulary:
             here = owner[1:] == owner[:-1]
             pair = symbols[:-1] * self.width + symbols[1:]
             at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            rank = np.where(here & (self.keys[at] == pair), self.ranks[at], NO_RANK)
+            rank = np.append(np.where(here & (self.keys[at] == pair), self.ranks[at], NO_RANK), NO_RANK)  # a last slot has no pair
             starts = np.flatnonzero(np.concatenate([[True], ~here]))
-            best = np.minimum.reduceat(np.append(rank, NO_RANK), starts)  # a sequence's last slot has no pair
             size = np.diff(np.append(starts, len(symbols)))
+            best = np.minimum.reduceat(rank, starts)
             live = best < NO_RANK
             done[owner[starts[~live]]] = size[~live]
-            hit = np.append(rank, NO_RANK) == np.repeat(np.where(live, best, -1), size)
-            where = self._first_of_runs(np.flatnonzero(hit), symbols, owner, at)
+            where = chosen(rank, best, size, symbols, owner, at)
             symbols[where] = self.made[at[where]]
             keep = np.repeat(live, size)
             keep[where + 1] = False
             symbols, owner = symbols[keep], owner[keep]
         return done + rest
 
+    def _lowest_of_sequences(self, rank, best, size, symbols, owner, at) -> np.ndarray:
+        hit = rank == np.repeat(np.where(best < NO_RANK, best, -1), size)
+        return self._first_of_runs(np.flatnonzero(hit), symbols, owner, at)
+
+    def _lowest_nearby(self, rank, best, size, symbols, owner, at) -> np.ndarray:
+        """Pairs that no pair within ``reach`` goes before: none of lower rank and, for a careful one, none of the same rank to
+        its left that could set off further merges of lower rank."""
+        n = len(rank)
+        free = (rank < NO_RANK) & (rank <= self._least_before(rank)) & (rank <= self._least_before(rank[::-1])[::-1])
+        some = np.flatnonzero(free & np.append(self.single[self.made[at]], False))
+        if len(some):
+            calm = free.copy()
+            calm[some] = self._is_calm(some, rank, symbols, owner, at)
+            stirring = self._least_before(np.where(calm, NO_RANK, rank))
+            free[some] &= rank[some] < stirring[some]
+        # pairs of equal symbols overlap: a run of them is taken from its start on, every second one
+        same = np.concatenate([[False], (rank[1:] == rank[:-1]) & (rank[1:] < NO_RANK)])
+        begin = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
+        blocked = np.concatenate([[0], np.cumsum(~free)])
+        whole = blocked[1:] == blocked[begin]  # no blocked pair of the run up to here
+        return np.flatnonzero(free & whole & ((np.arange(n) - begin) % 2 == 0))
+
+    def _least_before(self, rank: np.ndarray) -> np.ndarray:
+        """Least of the ``reach`` ranks before each place."""
+        low, span = np.concatenate([np.full(self.reach, NO_RANK), rank]), 1  # low[i]: least of ``span`` from i on
+        while span * 2 <= self.reach:
+            low, span = np.minimum(low[:-span], low[span:]), span * 2
+        return np.minimum(low[: len(rank)], low[self.reach - span : self.reach - span + len(rank)])
+
+    def _is_calm(self, where: np.ndarray, rank, symbols, owner, at) -> np.ndarray:
+        """Whether the merges at ``where`` make no pair of as low a rank with a neighbour, be it merged at the same time or not."""
+        made = np.append(self.made[at], 0)
+        n, own, limit = len(symbols), made[where], rank[where]
+
+        def ranks(left, right, known):
+            pair = np.where(known, left * self.width + right, -1)
+            k = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+            return np.where(self.keys[k] == pair, self.ranks[k], NO_RANK)
+
+        def beside(k):
+            inside = (k >= 0) & (k < n)
+            k = np.where(inside, k, where)
+            return k, inside & (owner[k] == owner[where])
+
+        calm = np.ones(len(where), bool)
+        before, known = beside(where - 1)
+        calm &= ranks(symbols[before], own, known) > limit
+        after, known = beside(where + 2)
+        calm &= ranks(own, symbols[after], known) > limit
+        for k, left in ((where - 2, True), (where + 2, False)):
+            k, known = beside(k)
+            known &= rank[k] == limit
+            calm &= ranks(made[k] if left else own, own if left else made[k], known) > limit
+        return calm
+
     def _first_of_runs(self, where: np.ndarray, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of overlapping hits every second is left out; of a careful merge only the first of a sequence is taken."""
         if not len(where):

@@ -56,12 +56,58 @@ def test_mixing_hears_weak_words(spark):
     assert abs(poor[True] - 0.7) < 0.06 and abs(poor[False] - 0.3) < 0.06
 
 
-def test_language_model_has_all_counts_of_kept_terms(spark):
+def test_language_model_has_all_counts_of_all_terms(spark):
     rows = [(i, "ja ja ja nein" if i % 2 else "oui oui oui non non ja", "de" if i % 2 else "fr") for i in range(60)]
+    rows += [(100 + i, "x" * 90, "de") for i in range(5)]  # a long word is a word
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     seen = [r[1:] for r in rows if not zlib.crc32(str(r[0]).encode()) % 5 == 0]
-    model = langid.fit(docs, words=1)
-    want = [[sum(t.split().count(w) for t, x in seen if x == lang) for lang in ("de", "fr")] for w in ("ja", "oui")]
-    both = langid.Model(["de", "fr"], {0: dict(zip(("ja", "oui"), want))})
-    assert set(model.rows[0]) == {"ja", "oui"} and all((model.word(w) == both.word(w)).all() for w in ("ja", "oui"))
-    assert want[0][1] > 0 and set(langid.fit(docs, words=2).rows[0]) == {"ja", "nein", "oui", "non"}
+    model = langid.fit(docs)
+    words = ("ja", "nein", "oui", "non", "x" * 90)
+    want = [[sum(t.split().count(w) for t, x in seen if x == lang) for lang in ("de", "fr")] for w in words]
+    both = langid.Model(["de", "fr"], {0: dict(zip(words, want))})
+    assert set(model.rows[0]) == set(words) and all(abs(model.word(w) - both.word(w)).max() < 1e-6 for w in words)
+    assert want[0][1] > 0
+
+
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² ① Ⅷ 12"), (2, "½ja²nein① _ja_"), (3, "Ⅷ"), (4, "ª")], "doc_id bigint, text string")
+    assert langid.words_of("½Ja²nein① _ja_ Ⅷ x2y") == ["ja", "nein", "ja", "x", "y"]
+    model = langid.Model(["de", "fr"], {0: {"ja": [5, 0], "nein": [3, 0], "oui": [0, 6]}})
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
+    assert got[1] == got[3] == ("und", 0.0) and got[2][0] == "de" and got[2][1] > 0.5 and got[4][0] != "und"
+
+
+def test_long_pre_tokens_count_like_the_library():
+    import base64
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+
+    from barloom.llm import token_counts
+
+    path = public_tokenizers.path(token_counts.MODEL)
+    model, vocabulary = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.load(path)
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (257, 8_000, 1_000_000)]
+    texts += [base64.b64encode(rng.randbytes(300_000)).decode(), "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(200_000))]
+    texts += [x * 30_000 for x in ("ab", "a", "-", "the", "= ", "ing+er")]
+    texts += ["".join(rng.choice("a-= .,*#_/") * rng.randint(1, 40) for _ in range(rng.randint(10, 40))) for _ in range(400)]
+    texts += ["".join(rng.choice(["the", "ing", "ation", "str", "://", "==", "--"]) * rng.randint(1, 9) for _ in range(100)) for _ in range(100)]
+    start = time.time()
+    assert token_counts.Counter(vocabulary).count(texts) == [len(x) for x in model.encode(texts, num_threads=1)]
+    assert time.time() - start < 120
+
+
+def test_pages_of_one_id_keep_their_own_payloads(spark, tmp_path):
+    from hashlib import sha1
+
+    from barloom.llm import warc_archive
+
+    long = "<p>long</p>" * 200
+    rows = [(1, "http://a.org/", "<p>one</p>"), (1, "http://a.org/", "<p>two</p>"), (1, "http://a.org/", long), (2, "http://a.org/", long), (1, "http://b.org/", None)]
+    rows += [(7, "http://c.org/", f"<p>{k}</p>") for k in range(700)] + [(None, "http://a.org/", "x"), (None, "http://a.org/", "y"), rows[0]]
+    got = warc_archive.archive_and_read(spark.createDataFrame(rows, "page_id bigint, url string, html string"), f"file://{tmp_path}/w").collect()
+    want = [(p, len(h or ""), sha1((h or "").encode()).hexdigest(), "revisit" if h == long and p == 1 else "response", 2 if h == long and p == 1 else None) for p, _, h in rows]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
