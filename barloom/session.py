@@ -61,7 +61,10 @@ def durable(df: DataFrame) -> DataFrame:
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Pin a derived side and hint a broadcast only when it is counted to be below ``limit`` rows.
 
-    Pinning keeps the count from running the side's plan a second time; a larger side is left to the planner.
+    Pinning keeps the count from running the side's plan a second time; a larger side is left to the planner. A pinned table
+    keeps the size that was estimated for its plan, and a join's estimate is the product of its sides: a loop that joins a
+    table with what came of that join would square the estimate in each pass, to numbers of millions of digits. The limit,
+    which cuts no row, bounds the estimate.
     """
     pinned = durable(df)
-    return F.broadcast(pinned) if pinned.limit(limit + 1).count() <= limit else pinned
+    return F.broadcast(pinned.limit(limit)) if pinned.limit(limit + 1).count() <= limit else pinned
