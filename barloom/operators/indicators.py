@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.plans.steps import SERIES, TICK_ORDER, Mean, Recurrence, Step, col, full, on_series, sweep
+from barloom.plans.steps import SERIES, TICK_ORDER, Mean, Recurrence, Step, col, full, on_series, prepare, sweep
 from barloom.plans.timeline import Timeline
 
 EPS = 1e-12
@@ -388,7 +388,10 @@ def entropy(x: str = "price", n: int = 20, bins: int = 10, name: str = "entropy_
 
 
 def indicator_frame(stochastic: bool = True) -> Step:
-    """All features with shared sorts: bounded windows first, then two sweeps for all the recurrences."""
+    """All features with shared sorts: two sweeps for all the recurrences, then the bounded windows.
+
+    The recurrences run on few columns and without the halo, which is copied again once they are done.
+    """
     bounded = [
         sma("price", 14, "sma_14"),
         sma("price", 50, "sma_50"),
@@ -406,8 +409,7 @@ def indicator_frame(stochastic: bool = True) -> Step:
     ]
 
     def run(tl: Timeline) -> Timeline:
-        for s in bounded:
-            tl = s.run(tl)
+        reach = tl.reach
         first = [
             ema_part("price", 12, "ema_12"),
             ema_part("price", 26, "ema_26"),
@@ -417,10 +419,12 @@ def indicator_frame(stochastic: bool = True) -> Step:
             movement_part(14),
             kalman_part(),
         ]
-        tl = _directions(_channels(sweep(tl, first), "atr_14", 1.5), "atr_14")
+        tl = _directions(sweep(*prepare(tl, first)), "atr_14")._drop(*RSI_SCRATCH, *MOVEMENT_SCRATCH, "_k_gain")
         tl = tl.add({"macd": F.col("ema_12") - F.col("ema_26")})
-        tl = sweep(tl, [ema_part("macd", 9, "macd_signal", 25), strength_part(14)])
-        tl = tl.add({"macd_hist": F.col("macd") - F.col("macd_signal")})._drop(*RSI_SCRATCH, *MOVEMENT_SCRATCH, "_k_gain")
+        tl = sweep(tl, [ema_part("macd", 9, "macd_signal", 25), strength_part(14)]).spread(*reach)
+        for s in bounded:
+            tl = s.run(tl)
+        tl = _channels(tl, "atr_14", 1.5).add({"macd_hist": F.col("macd") - F.col("macd_signal")})
         return _stochastic(tl, "rsi_14", 14, 3, 3) if stochastic else tl
 
     return Step(run, back=60, watch=("price", "high", "low"), unbounded=True)

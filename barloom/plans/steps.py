@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +35,10 @@ def on_series(
     """Run independent steps over one layout: one count, one shuffle, shared sorts."""
     steps = [steps] if isinstance(steps, Step) else list(steps)
     tl = lay_out(df, keys, order, watch=sorted({c for s in steps for c in s.watch}))
+    back, ahead = max((s.back for s in steps), default=0), max((s.ahead for s in steps), default=0)
     if running:
         tl = tl.running(running)
-    tl = tl.spread(max((s.back for s in steps), default=0), max((s.ahead for s in steps), default=0))
+    tl = tl.spread(back, ahead)
     for s in steps:
         tl = s.run(tl)
     return tl.finish(*drop)
@@ -72,6 +73,12 @@ class Recurrence:
     after: Callable[[Timeline], dict[str, Column]] = lambda tl: {}
 
 
+def prepare(tl: Timeline, parts: Sequence[Recurrence]) -> tuple[Timeline, list[Recurrence]]:
+    """Add what recurrences read of neighbouring rows and drop the halo, which the recurrences themselves do without."""
+    before = {k: v for p in parts for k, v in p.before(tl).items()}
+    return tl.add(before).gather(), [replace(p, before=lambda tl: {}) for p in parts]
+
+
 def sweep(tl: Timeline, parts: Sequence[Recurrence]) -> Timeline:
     """Run recurrences together: scratch columns start with an underscore and are dropped by the caller."""
     before = {k: v for p in parts for k, v in p.before(tl).items()}

@@ -9,7 +9,8 @@ combined aggregation on the key columns only) and picks one of two layouts:
 * some group is larger: rows are range-partitioned by (keys, order), which also splits one hot key, pinned
   by a checkpoint, numbered exactly, and cut into chunks of equal row count per key.  Bounded windows then
   run per (key, chunk) after ``spread`` has copied the edge rows of the neighbouring chunk (the halo), and
-  running aggregates get the result of the earlier chunks from a small per-chunk table.
+  running aggregates get the result of the earlier chunks from a small per-chunk table. The tables of chunks and of partitions
+are pinned and broadcast, so that joining them moves no row of the series.
 
 Recurrences (exponential averages, Kalman gains) are linear. Inside a stretch in which the decay stays below
 ``e^300`` they are running sums of re-weighted values; the stretch before adds its end value, and the one before that
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.session import durable, max_group_rows
+from barloom.session import durable, max_group_rows, small_side
 
 BLOCK = 1024
 #: ln of the weight below which an older value no longer changes a double, and of the largest weight in a stretch.
@@ -74,7 +75,7 @@ class Timeline:
 
     def spread(self, back: int = 0, ahead: int = 0) -> Timeline:
         """Copy the edge rows that windows of the given reach need into the neighbouring chunks."""
-        if not self.chunked:
+        if not self.chunked or not (back or ahead):
             return self
         size = self.chunk_rows
         at = F.pmod(F.col(_POS), F.lit(size))
@@ -157,7 +158,7 @@ class Timeline:
         same = F.col(_CHUNK) == F.col("_kc")
         for i, k in enumerate(self.keys):
             same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        out = df.withColumns({f"_l_{n}": c for n, c in local.items()}).join(carry, same, "left")
+        out = df.withColumns({f"_l_{n}": c for n, c in local.items()}).join(small_side(carry), same, "left")
         out = out.withColumns({n: _merge(k, F.col(f"_l_{n}"), F.col(f"_c_{n}")) for n, (k, _) in cols.items()})
         extra = [f"{p}{n}" for n in cols for p in ("_in_", "_l_", "_c_")]
         return replace(self, df=out.drop("_kc", *[f"_k{i}" for i in range(len(self.keys))], *extra))
@@ -221,7 +222,7 @@ class Timeline:
         same = F.col(_CHUNK) == F.col("_kc")
         for i, k in enumerate(self.keys):
             same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        out = self.df.join(carry, same, "left")
+        out = self.df.join(small_side(carry), same, "left")
         out = out.withColumns({n: F.col(n) + F.exp(-F.col(f"_d_{n}")) * F.coalesce(f"_s_{n}", F.lit(0.0)) for n in names})
         return replace(self, df=out.drop("_kc", *[f"_k{i}" for i in range(len(self.keys))], *[f"_s_{n}" for n in names]))
 
@@ -350,5 +351,5 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     same = F.col("_part") == F.col("_kp")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    out = pinned.join(runs, same).withColumn(name, F.col("_at") + F.col("_shift"))
+    out = pinned.join(small_side(runs), same).withColumn(name, F.col("_at") + F.col("_shift"))
     return out.drop("_part", "_at", "_kp", "_shift", *[f"_k{i}" for i in range(len(keys))])
