@@ -37,7 +37,7 @@ def rolling_apply(x: str, n: int, fn: Callable[[np.ndarray], float], name: str)
 
         return tl.mapped(call, schema).add({name: F.nanvl(name, F.lit(None).cast("double"))})
 
-    return Step(run, back=n)
+    return Step(run, back=n, python=True)
 
 
 def session_transform(

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from barloom.functions.scalars import pair_corr
 from barloom.plans.steps import Step, on_series
 from barloom.plans.timeline import Timeline, lay_out
-from barloom.session import durable
+from barloom.session import durable, python_rows
 
 #: Rows handled at once by the matrix kernels; bounds the memory of a task.
 KERNEL_ROWS = 2048
@@ -137,7 +137,7 @@ def map_correlations(df: DataFrame, cols: Sequence[str], n: int = 60, keys: Sequ
     cols, name = list(cols), "eigenvalues" if spectrum else "corr"
     rows = df.select(*keys, *order, *keep, *[F.col(c).cast("double").alias(f"_v_{c}") for c in cols])
     # a layout in chunks counts, samples and numbers its input
-    tl = lay_out(rows if keys else durable(rows), keys, order, split=not keys)
+    tl = lay_out(rows if keys else durable(rows), keys, order, python_rows(df.sparkSession), split=not keys)
     tl = tl.spread(n)
     fields = [tl.df.schema[c] for c in (*keys, *order, *keep)] + [tl.df.schema[f"_v_{c}"] for c in cols]
     schema = T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))])

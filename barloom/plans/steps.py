@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.plans.timeline import Timeline, lay_out
+from barloom.session import python_rows
 
 SERIES = ("symbol",)
 TICK_ORDER = ("ts", "seq")
@@ -22,6 +23,7 @@ class Step:
     ahead: int = 0
     watch: tuple[str, ...] = ()  # columns of the input that exponential means read
     unbounded: bool = False  # a recurrence: every row depends on all rows before it
+    python: bool = False  # hands whole groups to a Python function
 
 
 def on_series(
@@ -34,7 +36,8 @@ def on_series(
 ) -> DataFrame:
     """Run independent steps over one layout: one count, one shuffle, shared sorts."""
     steps = [steps] if isinstance(steps, Step) else list(steps)
-    tl = lay_out(df, keys, order, watch=sorted({c for s in steps for c in s.watch}))
+    limit = python_rows(df.sparkSession) if any(s.python for s in steps) else None
+    tl = lay_out(df, keys, order, limit, watch=sorted({c for s in steps for c in s.watch}))
     back, ahead = max((s.back for s in steps), default=0), max((s.ahead for s in steps), default=0)
     if running:
         tl = tl.running(running)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 GROUP_ROWS_CONF = "barloom.maxGroupRows"
 GROUP_ROWS_DEFAULT = 500_000
 
+#: Largest group (rows) that one Python function may hold; its rows are objects there, many times their size in Spark.
+PYTHON_ROWS = 65_536
+
 #: Largest side (rows) that may be hinted for broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -37,6 +40,10 @@ def max_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS_CONF, str(GROUP_ROWS_DEFAULT)))
 
 
+def python_rows(spark: SparkSession) -> int:
+    return min(max_group_rows(spark), PYTHON_ROWS)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a scratch folder is chosen only on a local master."""
     sc = spark.sparkContext

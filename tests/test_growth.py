@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom import session
+from barloom.functions.custom import rolling_apply
 from barloom.operators import indicators as ind
-from barloom.operators import scaling
+from barloom.operators import matrix, scaling
+from barloom.plans.steps import on_series
 
 
 def plan(df):
@@ -71,3 +73,19 @@ def test_chunked_frame_equals_whole_frame(ticks, split_groups):
     assert len(whole) == len(chunked) == 12_000
     for c in ind.feature_names():
         assert np.allclose(chunked[c].astype(float), whole[c].astype(float), rtol=1e-6, atol=1e-6, equal_nan=True), c
+
+
+def test_python_functions_get_bounded_groups(ticks, monkeypatch):
+    """Groups are within ``barloom.maxGroupRows`` here, but beyond what Python may hold."""
+    want = on_series(ticks, rolling_apply("price", 9, np.max, "m")).toPandas().set_index("seq").sort_index().m
+    spectra = matrix.map_correlations(ticks, ["price", "volume"], 60, spectrum=True).select("seq", "eigenvalues").toPandas().set_index("seq").sort_index()
+    monkeypatch.setattr(session, "PYTHON_ROWS", 2048)
+    sizes = on_series(ticks, rolling_apply("price", 9, lambda w: w.max(), "m"))
+    assert "_chunk" in plan(sizes)
+    got = sizes.toPandas().set_index("seq").sort_index().m
+    assert np.allclose(got.astype(float), want.astype(float), equal_nan=True)
+    out = matrix.map_correlations(ticks, ["price", "volume"], 60, spectrum=True).select("seq", "eigenvalues")
+    assert "_chunk" in plan(out)
+    again = out.toPandas().set_index("seq").sort_index()
+    assert list(again.index) == list(spectra.index)
+    assert np.allclose(np.stack(again.eigenvalues), np.stack(spectra.eigenvalues), atol=1e-9)
