@@ -41,6 +41,8 @@ def on_series(
     back, ahead = max((s.back for s in steps), default=0), max((s.ahead for s in steps), default=0)
     if running:
         tl = tl.running(running)
+    elif not (back or ahead) and any(s.unbounded for s in steps):
+        tl = tl.together()
     tl = tl.spread(back, ahead)
     for s in steps:
         tl = s.run(tl)

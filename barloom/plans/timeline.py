@@ -94,6 +94,10 @@ class Timeline:
         )
         return replace(self, df=df, spread_out=True, reach=(back, ahead))
 
+    def together(self) -> Timeline:
+        """Bring the rows of each chunk together once; windows over stretches of a chunk would be shuffled on their own."""
+        return replace(self, df=self.df.repartition(*self._groups())) if self.chunked else self
+
     def gather(self) -> Timeline:
         """Drop the halo copies again."""
         if not self.spread_out:

@@ -61,6 +61,7 @@ def exchanges(df):
 
 def test_chunked_recurrences_move_the_rows_once(ticks, split_groups):
     split_groups(2048)
+    assert exchanges(on_series(ticks, ind.macd()).select("symbol", "seq", "macd_hist")) == 1
     frame = ind.with_indicators(ticks, drop_incomplete=False)
     assert exchanges(frame) <= 2
     assert "SortMergeJoin" not in plan(frame)
